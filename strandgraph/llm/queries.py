@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, decontamination, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
         "op3_sharding": sharding.op3_sharding,
+        "op4_decontamination": decontamination.op4_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op4_decontamination": decontamination.ORACLE,
+    }
