@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, sharding
+from . import bpe, decontamination, exact_dedup, language, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": bpe.op2_bpe,
         "op3_sharding": sharding.op3_sharding,
         "op4_decontamination": decontamination.op4_decontamination,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op9_language_id": language.op9_language_id,
     }
 
 
