@@ -105,28 +105,34 @@ class Model:
         return -np.expm1(-risk), b, 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(lists: pa.ListArray, toxic: np.ndarray, weights: np.ndarray, *, steps: int = 150, rate: float = 0.3, decay: float = 2e-4) -> Model:
-    """Weights that make the noisy-or of each document likely, by Adam with decay."""
+def fit(lists: pa.ListArray, toxic: np.ndarray, weights: np.ndarray, *, steps: int = 200, rate: float = 0.4, decay: float = 5e-6, support: int = 10) -> Model:
+    """Weights that make the noisy-or of each document likely, by Adam with decay.
+
+    Subwords of fewer than ``support`` documents (less in small samples) keep
+    weight 0: they would only learn single documents by heart.
+    """
     b, n = bags(lists), len(lists)
     model = Model(np.zeros(BUCKETS), -4.0)
     if not n or toxic.all() or not toxic.any():
         return model
-    used = np.unique(b.buckets)
-    m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+    pairs = np.unique(b.codes * n + b.document[b.sentence])
+    documents = np.bincount(b.buckets, weights=np.bincount(pairs // n, minlength=len(b.stop))[b.owner], minlength=BUCKETS)
+    used = np.flatnonzero(documents >= max(2, min(support, n // 200)))
+    share = weights / weights.sum()
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
         z = model.logits(b)
         risk = np.bincount(b.document, weights=np.logaddexp(0, z), minlength=n)
-        pull = np.where(toxic, -1 / np.expm1(np.maximum(risk, 1e-6)), 1.0) * weights / weights.sum()
+        pull = np.where(toxic, -1 / np.expm1(np.clip(risk, 1e-6, 500)), 1.0) * share
         slope = pull[b.document] / (1 + np.exp(-np.clip(z, -50, 50)))
         word = np.bincount(b.codes, weights=slope[b.sentence], minlength=len(b.stop)) / b.per_word
-        g = np.bincount(b.buckets, weights=word[b.owner], minlength=BUCKETS)[used] + decay * model.weights[used] / n
+        g = np.bincount(b.buckets, weights=word[b.owner], minlength=BUCKETS)[used] + decay * model.weights[used]
         gb = float(slope.sum())
-        m[used] = 0.9 * m[used] + 0.1 * g
-        v[used] = 0.99 * v[used] + 0.01 * g * g
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
         step = rate * (1 - (t - 1) / steps)
-        model.weights[used] -= step * (m[used] / fix) / (np.sqrt(v[used] / fix2) + 1e-6)
+        model.weights[used] -= step * (m / fix) / (np.sqrt(v / fix2) + 5e-6)
         model.bias -= step * (mb / fix) / (np.sqrt(vb / fix2) + 1e-9)
     return model
 
