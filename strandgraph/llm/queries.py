@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, language, sharding, toxicity
+from . import bpe, decontamination, exact_dedup, language, ngram_jaccard, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.op3_sharding,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
         "op9_language_id": language.op9_language_id,
     }
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
+        "op6_ngram_jaccard": ngram_jaccard.ORACLE,
     }
