@@ -60,9 +60,11 @@ def groups(
     """
     values = [c for c in postings.columns if c != "key"]
     apart = -1 - F.col("id")
-    leaders = scratch.keep(postings.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("ids")), "leaders")
-    led = join_counted(postings, leaders, ["key"], "ids", apart).filter("id <> leader")
-    led = scratch.keep(led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "led")
+    rest = [c for c in values if c != "id"]
+    leaders = scratch.keep(postings.groupBy("key").agg(F.min(F.struct("id", *rest)).alias("leader"), F.count("*").alias("ids")), "leaders")
+    led = join_counted(postings, leaders, ["key"], "ids", apart).filter("id <> leader.id")
+    led = led.select(*[F.col(f"leader.{c}").alias(f"{c}_l") for c in values], *[F.col(c).alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
+    led = scratch.keep(led.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")).distinct(), "led")
     first = scratch.keep(linked(led), "links1")
     roots = components(scratch, first, "round1")
     placed = scratch.keep(postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, language, ngram_jaccard, sharding, toxicity
+from . import bpe, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
         "op9_language_id": language.op9_language_id,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
