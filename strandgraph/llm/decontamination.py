@@ -170,6 +170,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     )
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = decontaminate(spark, docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct()
+    gone = bounded(Scratch(spark, "decontamination").keep(found, "contaminated"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_w"))
+    return keyed.join(gone, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v")), "left_anti").select("row.*")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
 

@@ -186,5 +186,12 @@ def identify(spark: SparkSession, docs: DataFrame, limit: int = SAMPLE_ROWS) ->
         return Scratch(spark, "language").keep(found, "predictions")
 
 
+def accepted(docs: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, with all their columns."""
+    model = train(docs.filter(~held_out("doc_id", 5, 0)), limit)
+    rows = docs.select(F.struct("*").alias("row"), predict(F.col("text"), model)["rejected"].alias("rejected"))
+    return rows.filter(~F.col("rejected")).select("row.*")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, table(spark, sf_dir, "documents"))

@@ -134,11 +134,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return met.select(
         F.col("row").withField("text", text).alias("row"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` without repeated lines, and without the rows that lose all their words by that; n_chars follows the text."""
+    found = dedup_lines(spark, docs)
+    emptied = (F.col("n_removed") > 0) & (normal(F.col("row.text")) == "")
+    row = F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else F.col("row")
+    return found.filter(~F.coalesce(emptied, F.lit(False))).select(F.when(F.col("n_removed") > 0, row).otherwise(F.col("row")).alias("row")).select("row.*")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (hash of the text that stays) of every document."""
     found = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

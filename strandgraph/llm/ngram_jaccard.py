@@ -127,7 +127,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """rid, doc_id, version, n_shingles, component_id of every row of ``docs``."""
+    """rid, doc_id, version, n_shingles, root and component_id of every row of ``docs``; rows of one root are one group."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     version = F.xxhash64(F.coalesce("text", F.lit("")))
     with arrow_rows(scratch.spark, BATCH_ROWS):
@@ -180,9 +180,9 @@ def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
     roots = groups(scratch, shared, possible, narrowed, linked)
     classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("classes"))
-    labelled = scratch.keep(join_counted(classes.select("id", "root", "copies"), scratch.keep(smallest, "smallest"), ["root"], "classes", -1 - F.col("id")).select("id", "copies", "component_id"), "labelled")
-    joined = join_counted(copies, labelled, ["id"], "copies", -1 - F.col("rid")).select("rid", "doc_id", "version", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(blank.select("rid", "doc_id", "version", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    labelled = scratch.keep(join_counted(classes.select("id", "root", "copies"), scratch.keep(smallest, "smallest"), ["root"], "classes", -1 - F.col("id")).select("id", "copies", "root", "component_id"), "labelled")
+    joined = join_counted(copies, labelled, ["id"], "copies", -1 - F.col("rid")).select("rid", "doc_id", "version", F.col("n").alias("n_shingles"), "root", "component_id")
+    return joined.unionByName(blank.select("rid", "doc_id", "version", F.col("n").alias("n_shingles"), (-1 - F.col("rid")).alias("root"), F.col("doc_id").alias("component_id")))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -198,6 +198,20 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return jaccard_classes(Scratch(spark, "jaccard"), docs).select("doc_id", "n_shingles", "component_id")
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that with the smallest doc_id."""
+    scratch = Scratch(spark, "jaccard")
+    rows = scratch.keep(jaccard_classes(scratch, docs).select("doc_id", "version", "root"), "groups")
+    stay = rows.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("stay"), F.count("*").alias("rows")).filter("rows > 1")
+    met = join_counted(rows, scratch.keep(stay, "stay"), ["root"], "rows", F.lit(-(2**62)) - F.abs(F.col("version") / 4).cast("long")).filter("stay IS NOT NULL")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("version") == F.col("stay.version")))
+    gone = scratch.keep(met.filter(other).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct(), "gone")
+    repeated = not rows.groupBy("doc_id", "version").count().filter("count > 1").isEmpty()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_w"))
+    left = keyed.join(bounded(gone), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v")), "left_anti")
+    return (left.dropDuplicates(["_i", "_w"]) if repeated else left).select("row.*")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark, table(spark, sf_dir, "documents"))
 

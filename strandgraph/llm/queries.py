@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, sharding, suffix_dedup, toxicity
+from . import bpe, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, pii, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
+        "op7_pii": pii.op7_pii,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_language_id": language.op9_language_id,
         "op10_line_dedup": line_dedup.op10_line_dedup,
