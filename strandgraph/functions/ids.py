@@ -117,7 +117,7 @@ def relation_field(link_type: Column) -> Column:
 
 def split_refs(text: Column, keep_empty: bool = False) -> Column:
     """The trimmed parts of a comma list."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
     return parts if keep_empty else F.filter(parts, lambda x: x != "")
 
 
