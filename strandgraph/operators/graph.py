@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from ..functions import ids
 from ..schemas import REVERSE_LINKS
 
-#: The total order of observations of an identifier; documents before code.
-OBSERVED = [F.when(F.col("origin") == "doc", 0).otherwise(1), F.col("source").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("seq").asc_nulls_first()]
+
+def observed() -> list[Column]:
+    """The total order of observations of an identifier; documents before code."""
+    first = F.when(F.col("origin") == "doc", 0).otherwise(1)
+    return [first, *[F.col(c).asc_nulls_first() for c in ("source", "line", "seq")]]
 
 
 def reverse_of(link: Column) -> Column:
@@ -35,7 +38,7 @@ def last_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def all_identifiers(identifiers: DataFrame) -> DataFrame:
     """The first observation of each id."""
-    return first_by(identifiers, ["id"], OBSERVED)
+    return first_by(identifiers, ["id"], observed())
 
 
 def by_origin(identifiers: DataFrame, origin: str) -> DataFrame:
@@ -51,7 +54,7 @@ def duplicate_owners(identifiers: DataFrame) -> DataFrame:
 def duplicates_across_directories(identifiers: DataFrame) -> DataFrame:
     """The first observation a directory of every id that several directories hold."""
     placed = identifiers.withColumn("directory", F.regexp_extract("source", "^(.*?)/?[^/]*$", 1))
-    first = first_by(placed, ["id", "directory"], OBSERVED)
+    first = first_by(placed, ["id", "directory"], observed())
     many = first.groupBy("id").count().filter("count > 1").select("id")
     return first.join(many, "id", "left_semi")
 
