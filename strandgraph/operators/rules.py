@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import globs, ids
 from ..schemas import REQUIRED_FIELDS
 from . import graph, traverse
+from .storage import cut
 
 # Statuses, kinds of tests, and concerns that a record may declare.
 STATUSES = ("planned", "active", "deprecated")
@@ -325,4 +326,4 @@ def validate(spark: SparkSession, facts: dict[str, DataFrame], switches: dict[st
         parts += [test_annotations(d, a, n)] if switches.get("test_annotations") else []
     if "text_findings" in f:
         parts.append(f["text_findings"])
-    return union(parts)
+    return union([cut(union(parts[i : i + 8])) for i in range(0, len(parts), 8)])

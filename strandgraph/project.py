@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import globs
 from .operators import graph, impact, review, rules
+from .operators.storage import cut
 from .sources import code, git, markdown
 from .sources.config import Config, discover
 
@@ -16,28 +17,30 @@ class Project:
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None) -> None:
         self.spark, self.root, self.config = spark, root, config or discover(root)
-        docs = markdown.files(spark, f"file://{root}", "*.md", self.config.ignore).cache()
+        docs = cut(markdown.files(spark, f"file://{root}", "*.md", self.config.ignore))
         sources = markdown.files(spark, f"file://{root}", "*.{%s}" % ",".join(code.LANGUAGES), self.config.ignore)
-        sources = sources.filter(globs.matches(F.col("path"), self.config.code_patterns)).cache()
-        records = markdown.records(docs).cache()
-        declarations, annotations = code.declarations(sources).cache(), code.annotations(sources).cache()
-        identifiers = graph.merge(markdown.identifiers(records), code.identifiers(annotations)).cache()
-        nodes = graph.nodes(identifiers).cache()
-        structured = graph.occurrences(identifiers)
-        mentions = graph.plain_mentions(markdown.mentions(docs), structured)
-        occurrences = graph.occurrences(identifiers, mentions).cache()
+        sources = cut(sources.filter(globs.matches(F.col("path"), self.config.code_patterns)))
+        records = cut(markdown.records(docs))
+        declarations, annotations = cut(code.declarations(sources)), cut(code.annotations(sources))
+        identifiers = cut(graph.merge(markdown.identifiers(records), code.identifiers(annotations)))
+        nodes = cut(graph.nodes(identifiers))
+        mentions = graph.plain_mentions(markdown.mentions(docs), graph.occurrences(identifiers))
+        occurrences = cut(graph.occurrences(identifiers, mentions))
         self.facts: dict[str, DataFrame] = {
-            "files": sources, "records": records, "lines": markdown.lines(docs), "paths": docs.select("path"), "declarations": declarations,
+            "files": sources, "records": records, "lines": cut(markdown.lines(docs)), "paths": docs.select("path"), "declarations": declarations,
             "annotations": annotations, "errors": code.parse_errors(sources), "text_findings": markdown.findings(docs), "identifiers": identifiers,
-            "nodes": nodes, "edges": graph.edges(identifiers, nodes).cache(), "occurrences": occurrences, "relations": graph.relations(identifiers).cache(),
-            "entities": graph.entities(occurrences, identifiers).cache(),
+            "nodes": nodes, "edges": cut(graph.edges(identifiers, nodes)), "occurrences": occurrences, "relations": cut(graph.relations(identifiers)),
+            "entities": cut(graph.entities(occurrences, identifiers)),
         }
+        self._findings: DataFrame | None = None
 
     def validate(self) -> DataFrame:
-        """All findings."""
-        found = rules.validate(self.spark, self.facts, self.config.switches)
-        units = [(u.package, u.patterns) for u in self.config.units]
-        return found.unionByName(rules.unit_mapping(self.facts["files"].select("path"), units))
+        """All findings, found once."""
+        if self._findings is None:
+            found = rules.validate(self.spark, self.facts, self.config.switches)
+            units = [(u.package, u.patterns) for u in self.config.units]
+            self._findings = cut(found.unionByName(rules.unit_mapping(self.facts["files"].select("path"), units)))
+        return self._findings
 
     def trace(self, root: str, depth: int = 1, mentions: bool = False) -> dict[str, DataFrame]:
         return review.dossier(self.spark, root, {**self.facts, "findings": self.validate()}, depth, mentions)
@@ -49,7 +52,7 @@ class Project:
         """The review queue and the warnings after the changes since a revision."""
         changes, hunks = git.changes(self.spark, self.root, base)
         f = self.facts
-        start = impact.seeds(changes, hunks, f["occurrences"], f["entities"], f["declarations"], f["annotations"]).cache()
+        start = cut(impact.seeds(changes, hunks, f["occurrences"], f["entities"], f["declarations"], f["annotations"]))
         items = impact.queue(start, f["relations"], f["entities"])
         return items.orderBy(impact.kind_rank(F.col("kind")), "id"), impact.unchanged_specs(items, changes, start)
 

@@ -131,7 +131,7 @@ def _members(path: str, language: str, text: str, code: str) -> list[tuple]:
                     visit(c.end(), end, shown and not (c.group().startswith("namespace") and not g.get("space")), "")
                 else:
                     found.append((name, "type", start, end, public, None))
-                    visit(c.end(), end, public, "interface" if g.get("kind") == "interface" or "interface" in c.group() else "class")
+                    visit(c.end(), end, public or language == "java", "interface" if g.get("kind") == "interface" or "interface" in c.group() else "class")
                 at = end + 1
                 continue
             if g.get("test"):
