@@ -78,7 +78,7 @@ def scan(text: str) -> tuple[str, list[tuple[int, int, str]], str | None]:
 
 
 CONTAINERS = {
-    "go": r"$^",
+    "go": r"(?!)",
     "javascript": r"(?P<export>\bexport\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)[^{;]*\{",
     "typescript": r"(?P<export>\bexport\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:class|interface|namespace)\s+(?P<name>\w+)[^{;]*\{",
     "cpp": r"(?:namespace\s*(?P<space>\w*)|(?P<kind>class|struct)\s+(?P<name>\w+)[^{;()]*)\s*\{|extern\s*\{",
