@@ -19,29 +19,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._grams import text_bytes
 from ._io import table
-from ._scratch import Scratch, join_counted
+from ._scratch import HOT_SHARE, Scratch, join_counted
 from .bpe import arrow_rows
 from .decontamination import bounded
-from .line_dedup import version_of
 
 LENGTH = 100
 GRAM = 32
 #: Bytes that one symbol of a transform holds.
 STEP = 2
 #: Bytes of segments in a shard, in one merge, and of text that is cut into segments at once.
-SHARD_BYTES = 1 << 18
-MERGE_BYTES = 1 << 21
+SHARD_BYTES = 1 << 16
+MERGE_BYTES = 1 << 19
 PIECE_BYTES = 1 << 20
 #: Removed spans up to which they are broadcast to the documents.
 BROADCAST_SPANS = 2_000_000
 BATCH_ROWS = 500
 
 
+def version_of(text: Column) -> Column:
+    """32 bits that tell apart rows with one doc_id and different texts."""
+    return F.hash(F.coalesce(text, F.lit("")))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
@@ -120,23 +125,30 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def merge_transforms(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' suffixes, and where a suffix differs from the one before in LENGTH symbols.
-
-    A round deals the interleave stably by the symbols before its suffixes:
-    then it is in order by STEP symbols more. Suffixes stay in one interval
-    while those they were dealt from were in one.
+    """The suffixes of all shards in one order, as places in the shards one after the other, and the borders.
+
+    A transform maps a suffix to the one STEP symbols longer: the i-th of
+    equal symbols belongs to the i-th suffix that starts with them. A round
+    deals the interleave stably by the symbols before its suffixes and moves
+    on to the longer ones: then it is in order by STEP symbols more. Suffixes
+    stay in one interval while those they were dealt from were in one; a
+    border says that a suffix differs from the one before in LENGTH symbols.
     """
     symbols = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    interval = np.zeros(len(symbols), np.int32)
+    longer, start = np.empty(len(symbols), np.int32), 0
+    for t in transforms:
+        longer[start + np.argsort(t, kind="stable")] = np.arange(start, start + len(t), dtype=np.int32)
+        start += len(t)
+    at, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    border = np.ones(len(symbols), bool)
     for _ in range(-(-LENGTH // STEP)):
-        own = np.empty(len(symbols), np.uint16)
-        own[np.argsort(shard, kind="stable")] = symbols
-        order = np.argsort(own, kind="stable")
-        shard, interval, own = shard[order], interval[order], own[order]
-        border = np.r_[True, (own[1:] != own[:-1]) | (interval[1:] != interval[:-1])]
-        interval = np.cumsum(border, dtype=np.int32)
-    return shard, border
+        order = np.argsort(symbols[at], kind="stable")
+        at, interval = at[order], interval[order]
+        own = symbols[at]
+        np.logical_or(own[1:] != own[:-1], interval[1:] != interval[:-1], out=border[1:])
+        np.cumsum(border, out=interval)
+        at = longer[at]
+    return at, border
 
 
 def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> list[np.ndarray]:
@@ -169,9 +181,8 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> list[np.ndarra
         follow = np.where(pair + 1 < seg_end[pair], pair + 1, seg_start[pair])
         transforms.append((text[pair].astype(np.uint16) * np.uint16(256)) + text[follow])
         places.append(lo + order)
-    shard, border = merge_transforms(transforms)
-    merged = np.empty(len(text), np.int64)
-    merged[np.argsort(shard, kind="stable")] = np.concatenate(places)
+    order, border = merge_transforms(transforms)
+    merged = np.concatenate(places)[order]
     interval = np.cumsum(border)
     first = np.repeat(starts, lengths)
     isw = index - first < np.repeat(windows, lengths)
@@ -236,19 +247,26 @@ def repeated_spans(scratch: Scratch, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", version_of(F.col("text")))
     with arrow_rows(scratch.spark, BATCH_ROWS):
         long_enough = docs.filter(F.octet_length("text") >= LENGTH)
-        cut = scratch.keep(long_enough.mapInArrow(_cut, "leader long, whole long, doc_id long, version long, place long"), "segments")
-    leaders = cut.groupBy("leader").agg(F.count("*").alias("uses"), (F.min("whole") < F.max("whole")).alias("differ")).filter("uses > 1")
-    shared = join_counted(cut, scratch.keep(leaders, "leaders"), ["leader"], "uses", F.col("whole")).filter("uses IS NOT NULL").drop("uses")
-    shared = scratch.keep(shared, "shared")
+        cut = scratch.keep(long_enough.mapInArrow(_cut, "leader long, whole long, doc_id long, version int, place long"), "segments")
+    leaders = scratch.keep(cut.groupBy("leader").agg(F.count("*").alias("uses")).filter("uses > 1"), "leaders")
+    least = (leaders.agg(F.sum("uses")).first()[0] or 0) / HOT_SHARE
+    place = F.struct("doc_id", "version", "place")
+    # what no leader makes hot stays where the join has dealt it
+    same, group = W.partitionBy("leader", "whole"), W.partitionBy("leader")
+    cold = cut.join(leaders.filter(F.col("uses") <= least).select("leader"), "leader").withColumn("first", F.min(place).over(same))
+    cold = cold.withColumn("differ", F.min("whole").over(group) < F.max("whole").over(group))
+    # of the rest, copies meet on the map side first
+    hot = cut.join(F.broadcast(leaders.filter(F.col("uses") > least).select("leader")), "leader")
+    firsts = scratch.keep(hot.groupBy("leader", "whole").agg(F.min(place).alias("first"), F.count("*").alias("uses")), "firsts")
+    several = firsts.groupBy("leader").agg((F.count("*") > 1).alias("differ"))
+    firsts = firsts.join(F.broadcast(several), "leader")  # no more than HOT_SHARE leaders
+    hot = join_counted(hot, firsts, ["leader", "whole"], "uses", F.xxhash64("doc_id", "version", "place")).drop("uses")
+    shared = scratch.keep(cold.unionByName(hot).select("leader", "doc_id", "version", "place", "first", "differ"), "shared")
     scratch.drop("segments")
-    firsts = shared.groupBy("leader", "whole").agg(F.min(F.struct("doc_id", "version", "place")).alias("first"), F.first("differ").alias("differ"), F.count("*").alias("uses"))
-    firsts = scratch.keep(firsts, "firsts")
-    many = firsts.filter("uses > 1").select("leader", "whole", "first", "uses")
-    met = join_counted(shared, many, ["leader", "whole"], "uses", F.xxhash64("doc_id", "version", "place")).filter("uses IS NOT NULL")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("place") == F.col("first.place"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("place") == F.col("first.place"))
     start, windows = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    copies = met.filter(~same).select("doc_id", "version", start.alias("low"), (start + windows + LENGTH - 1).alias("high"))
-    heads = firsts.filter("differ").select("leader", F.col("first.doc_id").alias("d"), F.col("first.version").alias("v"), F.col("first.place").alias("place"))
+    copies = shared.filter(~is_first).select("doc_id", "version", start.alias("low"), (start + windows + LENGTH - 1).alias("high"))
+    heads = shared.filter(is_first & F.col("differ")).select("leader", F.col("doc_id").alias("d"), F.col("version").alias("v"), "place").distinct()
     touched = bounded(heads.select("d", "v").distinct())
     both = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))
     texts = docs.join(touched, both, "left_semi").dropDuplicates(["doc_id", "version"])
@@ -256,7 +274,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame) -> DataFrame:
     bodies = scratch.keep(bodies, "bodies")
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     deal = F.pmod(F.xxhash64("leader"), F.lit(max(1, total // MERGE_BYTES)))
-    spans = bodies.withColumn("deal", deal).groupBy("deal").applyInArrow(_merged, "doc_id long, version long, low long, high long")
+    spans = bodies.withColumn("deal", deal).groupBy("deal").applyInArrow(_merged, "doc_id long, version int, low long, high long")
     return scratch.keep(copies.unionByName(spans), "spans")
 
 
