@@ -1,0 +1,161 @@
+"""Each operator on a small table with nulls, empty and repeated rows and clashing columns, against brute force."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandgraph.llm import bpe, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, pii, sharding, suffix_dedup, toxicity
+from strandgraph.llm._scratch import Scratch
+
+WORDS = [f"w{i}" for i in range(40)]
+LONG = " ".join(WORDS)
+ROWS = [
+    (1, LONG, "en", 0),
+    (2, LONG + " extra", "en", 0),
+    (3, LONG, None, 0),
+    (3, LONG, None, 0),
+    (4, "", "de", 0),
+    (5, None, "de", 0),
+    (None, "Only words here, nothing more.\nSecond line of text.", "fr", 0),
+    (7, "Only words here; nothing MORE!\nA third line, quite its own.\n\n!!", "fr", 0),
+    (8, "ünï " * 700 + "\n" + LONG, "de", 0),
+    (9, " ".join(["other", *WORDS[:13], "tail"]), "en", 0),
+    (10, "one two", "en", 0),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    frame = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, n_chars long")
+    # columns whose names the operators might use themselves
+    return frame.withColumns({c: F.lit(7) for c in ("rid", "version", "key", "row", "slot", "name", "gone", "words")}).repartition(3).cache()
+
+
+def texts():
+    return [(i, t or "") for i, t, *_ in ROWS]
+
+
+def sha(text):
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(spark, docs, weak):
+    route = (lambda c: F.pmod(F.xxhash64(c), F.lit(2))) if weak else F.xxhash64
+    got = exact_dedup.exact_dedup(spark, docs, 64, route).collect()
+    groups = defaultdict(list)
+    for i, t in texts():
+        groups[t].append(i)
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in texts())
+    for t, ids in groups.items():
+        own = [r for r in got if r.text_sha256 == sha(t)]
+        top = max((i for i in ids if i is not None), default=None)
+        assert len(own) == len(ids) and all(r.keep_id == top and r.group_size == len(ids) for r in own) and sum(r.kept for r in own) == 1
+
+
+def test_sharding(spark, docs):
+    even = dict.fromkeys(range(3), 1.0)
+    got = sharding.shard(spark, docs, even, even | {3: 1.0}).collect()
+    assert len(got) == len(ROWS) and all(r.grown_shard in (r.shard, 3) for r in got)
+    for s in range(3):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    sizes = Counter((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == sizes
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    heavy = sharding.shard(spark, many, {0: 1.0, 1: 3.0}).groupBy("shard").count().collect()
+    assert 0.7 < {r.shard: r["count"] for r in heavy}[1] / 4000 < 0.8
+
+
+def test_bpe(spark, docs):
+    tokenizer = bpe._tokenizer(bpe.default_path())
+    want = Counter()
+    for i, t in texts():
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))] += 1
+    assert Counter(tuple(r) for r in bpe.encode_and_decode(spark, docs).collect()) == want
+
+
+def test_decontamination(spark, docs):
+    items = spark.createDataFrame([(20, " ".join(WORDS[:13]).upper()), (3, "one two"), (7, None), (8, "!"), (9, "not there")], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): r for r in decontamination.decontaminate(spark, docs, items).collect()}
+    assert (got[1, 40].n_hit, got[1, 40].n_items, got[1, 40].items_sha256, got[1, 40].contaminated) == (13, 1, sha("20"), True)
+    assert (got[9, 15].n_hit, got[10, 2].n_hit, got[10, 2].items_sha256) == (13, 2, sha("3"))
+    assert not got[8, 740].contaminated and got[8, 740].n_hit == 13
+    assert (got[5, 0].n_hit, got[5, 0].contaminated) == (0, False)
+    left = decontamination.uncontaminated(spark, docs, items)
+    assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 4, 5, 7, 8]
+    none = decontamination.decontaminate(spark, docs, items.limit(0)).collect()
+    assert len(none) == len(ROWS) and not any(r.n_hit for r in none)
+
+
+def test_proximity(spark, docs):
+    items = spark.createDataFrame([(1, "w1 w4")], "item_id long, text string")
+    scratch = Scratch(spark, "test")
+    windows = decontamination.phrases(items)
+    terms = windows.select(F.explode("phrase").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id())
+    index = decontamination.build_index(scratch, docs.select("doc_id", "text"), scratch.keep(terms, "t"))
+    picked = decontamination.rarest(scratch, windows, scratch.spark.read.parquet(f"{scratch.root}/t"), index)
+    assert {r.distance for r in decontamination.proximity(index, picked, 3).collect()} == {3}
+    assert decontamination.proximity(index, picked, 2).isEmpty()
+
+
+def test_jaccard(spark, docs):
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(spark, docs).collect()}
+    assert {(1, 36, 1), (2, 37, 1), (3, 36, 1), (4, 0, 4), (5, 0, 5), (10, 1, 10)} <= got
+    left = ngram_jaccard.one_of_each(spark, docs)
+    assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 4, 5, 7, 8, 9, 10]
+
+
+def test_line_dedup(spark, docs):
+    left = line_dedup.without_repeated_lines(spark, docs)
+    assert left.columns == docs.columns
+    got = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
+    assert got[7][0] == "A third line, quite its own.\n\n!!" and got[7][1] == len(got[7][0])
+    assert got[8][0] == "ünï " * 700 and got[5][0] is None and got[4] == ("", 0)
+    assert 2 not in got and 3 not in got and got[1][0] == LONG
+
+
+def test_suffix_dedup(spark, docs):
+    got = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.dedup_substrings(spark, docs).collect()}
+    seen = set()
+    for i, t in sorted({(i, t) for i, t in texts()}, key=lambda x: (x[0] is not None, x[0])):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        assert got[i, len(raw)].kept == kept and got[i, len(raw)].kept_sha256 == sha(kept)
+
+
+def test_language(spark, docs):
+    got = language.identify(spark, docs).collect()
+    assert len(got) == len(ROWS)
+    assert all(r.lang_pred == "und" and r.rejected for r in got if r.doc_id in (4, 5))
+    assert language.accepted(docs).columns == docs.columns
+    assert language.identify(spark, docs.limit(0)).isEmpty()
+
+
+def test_toxicity(spark, docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (99, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark, docs, labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_pii(spark):
+    rows = [(1, "mail a.bc@mail1.example.com and A.BC@mail1.example.com"), (1, "mail a.bc@mail1.example.com and A.BC@mail1.example.com"), (2, None), (3, ""), (4, "x a.bc@mail1.example.com y 10.2.3.4 z 10.2.3.5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
+    got = pii.replace(spark, docs).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 5 and by[2].text is None and by[3].text == ""
+    one, two = by[1].text.split()[1], by[1].text.split()[3]
+    assert one.lower() == two.lower() != "a.bc@mail1.example.com" and two[0].isupper()
+    assert by[4].text.split()[1] == one and by[4].text.split()[3] != by[4].text.split()[5] and by[4].n_entities == 3
+    dense = spark.createDataFrame([(i, f"ip {i % 10}.{i // 10}.1.1") for i in range(60)], "doc_id long, text string")
+    found = pii.replace(spark, dense).collect()
+    assert len({r.text for r in found}) == 60 and not {r.text for r in found} & {f"ip {i % 10}.{i // 10}.1.1" for i in range(60)}
