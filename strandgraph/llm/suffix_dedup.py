@@ -253,10 +253,11 @@ def repeated_spans(scratch: Scratch, docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "version", "place")
     # what no leader makes hot stays where the join has dealt it
     same, group = W.partitionBy("leader", "whole"), W.partitionBy("leader")
-    cold = cut.join(leaders.filter(F.col("uses") <= least).select("leader"), "leader").withColumn("first", F.min(place).over(same))
+    busy = F.broadcast(leaders.filter(F.col("uses") > least).select("leader"))
+    cold = cut.join(busy, "leader", "left_anti").join(leaders.filter(F.col("uses") <= least).select("leader"), "leader").withColumn("first", F.min(place).over(same))
     cold = cold.withColumn("differ", F.min("whole").over(group) < F.max("whole").over(group))
     # of the rest, copies meet on the map side first
-    hot = cut.join(F.broadcast(leaders.filter(F.col("uses") > least).select("leader")), "leader")
+    hot = cut.join(busy, "leader")
     firsts = scratch.keep(hot.groupBy("leader", "whole").agg(F.min(place).alias("first"), F.count("*").alias("uses")), "firsts")
     several = firsts.groupBy("leader").agg((F.count("*") > 1).alias("differ"))
     firsts = firsts.join(F.broadcast(several), "leader")  # no more than HOT_SHARE leaders
