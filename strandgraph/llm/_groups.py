@@ -2,9 +2,11 @@
 
 Things that share a key may be linked. Every thing is first compared with the
 leader of each of its keys; the links found give components. Only keys whose
-things are still in different components are looked at again, and there only
-pairs from different components are compared. No link between different
-components is lost, and a group of n copies costs n comparisons a leader.
+things are still in different components are looked at again: first, what
+stands outside a key's largest component is compared with a few of its
+members, drawn anew each round; in the end all pairs from different components
+are compared. So no link between different components is lost, and a group of
+n copies costs some n comparisons.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ from ._scratch import Scratch, join_counted
 
 #: Rounds after which label propagation must have settled; a path of 2**60 links would need more.
 ROUNDS = 60
+#: Members of a key's largest component that the rest of the key is compared with in one round.
+PIVOTS = 4
+#: Rounds with pivots at most, and the share of linked pairs below which no other follows; all pairs left are compared after them.
+PIVOT_ROUNDS = 6
+LEAST_HITS = 0.02
 
 
 def components(scratch: Scratch, links: DataFrame, label: str) -> DataFrame:
@@ -59,23 +66,47 @@ def groups(
     pairs (a, b) and returns those that are linked.
     """
     values = [c for c in postings.columns if c != "key"]
+    others = [c for c in values if c != "id"]
     apart = -1 - F.col("id")
-    rest = [c for c in values if c != "id"]
-    leaders = scratch.keep(postings.groupBy("key").agg(F.min(F.struct("id", *rest)).alias("leader"), F.count("*").alias("ids")), "leaders")
+    sided = lambda frame, side, *more: frame.select("key", *more, *[F.col(c).alias(f"{c}_{side}") for c in [*values, "root"]])
+
+    def compared(pairs: DataFrame, before: DataFrame | None, label: str) -> tuple[DataFrame, DataFrame]:
+        """The new pairs, and those of them that are linked."""
+        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = scratch.keep(new if before is None else new.join(before, ["a", "b"], "left_anti"), f"pairs-{label}")
+        return new, scratch.keep(linked(new).select("a", "b"), f"links-{label}")
+
+    def mixed_keys(links: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """The roots of linked ids, and the postings of keys with several roots, with the most common one as ``main``."""
+        roots = components(scratch, links, f"roots-{label}")
+        placed = scratch.keep(postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), f"placed-{label}")
+        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("ids"))
+        mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("ids", "root")).alias("main"), F.max("ids").alias("most"), F.sum("ids").alias("ids"), F.count("*").alias("roots"))
+        mixed = scratch.keep(mixed.filter("roots > 1").select("key", "main", "ids", (F.col("ids") - F.col("most")).alias("left")), f"mixed-{label}")
+        return roots, scratch.keep(join_counted(placed, mixed, ["key"], "ids", apart).filter("main IS NOT NULL"), f"marked-{label}")
+
+    leaders = scratch.keep(postings.groupBy("key").agg(F.min(F.struct("id", *others)).alias("leader"), F.count("*").alias("ids")), "leaders")
     led = join_counted(postings, leaders, ["key"], "ids", apart).filter("id <> leader.id")
     led = led.select(*[F.col(f"leader.{c}").alias(f"{c}_l") for c in values], *[F.col(c).alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
-    led = scratch.keep(led.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")).distinct(), "led")
-    first = scratch.keep(linked(led), "links1")
-    roots = components(scratch, first, "round1")
-    placed = scratch.keep(postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("ids"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("ids", "root")).alias("main"), F.sum("ids").alias("ids"), F.count("*").alias("roots")).filter("roots > 1")
-    marked = scratch.keep(join_counted(placed, scratch.keep(mixed.drop("roots"), "mixed-keys"), ["key"], "ids", apart).filter("main IS NOT NULL"), "mixed")
-    sided = lambda frame, side, *more: frame.select("key", *more, *[F.col(c).alias(f"{c}_{side}") for c in [*values, "root"]])
+    seen, links = compared(led.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), None, "led")
+    roots, marked = mixed_keys(links, "0")
+    for turn in range(1, PIVOT_ROUNDS + 1):
+        rest = marked.filter("root <> main")
+        full = rest.agg(F.sum("ids")).first()[0] or 0
+        if full <= PIVOTS * marked.count():
+            break  # all pairs cost no more than another round
+        draws = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + j)).alias("draw"), F.struct(*values, "root").alias("pivot"))).alias(f"p{j}") for j in range(PIVOTS)]
+        pivots = marked.filter("root = main").groupBy("key").agg(*draws).select("key", F.array_distinct(F.array(*[F.col(f"p{j}.pivot") for j in range(PIVOTS)])).alias("pivots"))
+        pivots = scratch.keep(pivots.join(rest.groupBy("key").agg(F.count("*").alias("ids")), "key"), f"pivots-{turn}")
+        met = join_counted(rest.drop("ids", "main", "left"), pivots, ["key"], "ids", apart)
+        met = sided(met, "l", F.explode("pivots").alias("p")).select("*", *[F.col(f"p.{c}").alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
+        new, found = compared(met.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), seen, f"pivot{turn}")
+        seen, links = seen.unionByName(new), links.unionByName(found)
+        tried, hit = new.count(), found.count()
+        roots, marked = mixed_keys(links, str(turn))
+        if hit < LEAST_HITS * tried:
+            break
     rest, every = sided(marked.filter("root <> main"), "l"), sided(marked, "r", "main")
     pairs = rest.join(every, "key").filter("root_l <> root_r AND (root_r = main OR root_l < root_r)").filter(possible("l", "r"))
-    left = narrowed(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
-    second = scratch.keep(linked(scratch.keep(left, "left")), "links2")
-    if second.isEmpty():
-        return roots
-    return components(scratch, first.select("a", "b").unionByName(second.select("a", "b")), "round2")
+    _, found = compared(narrowed(pairs), seen, "cross")
+    return roots if found.isEmpty() else components(scratch, links.unionByName(found), "roots-all")

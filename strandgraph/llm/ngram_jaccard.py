@@ -149,8 +149,9 @@ def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
     turn = iter(range(100))
 
     def possible(left: str, right: str):
-        a, b = F.col(f"n_{left}"), F.col(f"n_{right}")
-        return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+        a, b, pa, pb = F.col(f"n_{left}"), F.col(f"n_{right}"), F.col(f"pos_{left}"), F.col(f"pos_{right}")
+        most = F.least(pa, pb) + F.least(a - pa, b - pb)
+        return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * most >= PERCENT * (a + b))
 
     def narrowed(pairs: DataFrame) -> DataFrame:
         swap = F.col("id_l") > F.col("id_r")
