@@ -24,6 +24,8 @@ ROUNDS = 60
 PIVOTS = 4
 #: Rounds with pivots at most, and the share of linked pairs below which no other follows; all pairs left are compared after them.
 PIVOT_ROUNDS = 6
+#: Pairs by key that are compared at once rather than after another round.
+FEW_PAIRS = 1_000_000
 LEAST_HITS = 0.02
 
 
@@ -93,7 +95,7 @@ def groups(
     for turn in range(1, PIVOT_ROUNDS + 1):
         rest = marked.filter("root <> main")
         full = rest.agg(F.sum("ids")).first()[0] or 0
-        if full <= PIVOTS * marked.count():
+        if full <= max(FEW_PAIRS, PIVOTS * marked.count()):
             break  # all pairs cost no more than another round
         draws = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + j)).alias("draw"), F.struct(*values, "root").alias("pivot"))).alias(f"p{j}") for j in range(PIVOTS)]
         pivots = marked.filter("root = main").groupBy("key").agg(*draws).select("key", F.array_distinct(F.array(*[F.col(f"p{j}.pivot") for j in range(PIVOTS)])).alias("pivots"))
