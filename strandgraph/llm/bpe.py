@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._grams import text_bytes
 from ._io import table
 from ._scratch import Scratch
 
@@ -28,7 +29,9 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^" + SPACE + r"\p{L}\p{N}]++|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]++"
 )
 #: Bytes of words after which a chunk is closed.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
+#: Words that the library encodes at once.
+ENCODE_WORDS = 8192
 #: Rows that cross to Python at once.
 BATCH_ROWS = 256
 
@@ -69,44 +72,62 @@ def _split_exactly(path: str, text: str) -> list[str]:
     return words
 
 
-CHUNKS = "chunk long, bucket int, rid array<long>, doc_id array<long>, sizes array<int>, codes array<int>, start int, words array<string>"
+def _pressed(*parts: np.ndarray) -> bytes:
+    """Arrays of integers as planes of bytes, and arrays of bytes, compressed together."""
+    planes = [x.view(np.uint8).reshape(-1, 4).T.ravel() if x.dtype == np.int32 else x for x in parts]
+    whole = np.concatenate(planes)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole.tobytes(), codec="zstd", asbytes=True)
+
+
+def _opened(payload: bytes, *counts: int) -> list[np.ndarray]:
+    """The arrays of integers that ``_pressed`` took, and the bytes after them."""
+    whole = np.frombuffer(pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    found, at = [], 0
+    for n in counts:
+        found.append(np.ascontiguousarray(whole[at : at + 4 * n].reshape(4, n).T).view(np.int32).ravel())
+        at += 4 * n
+    return [*found, whole[at:]]
+
+
+def _whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+#: bucket -1: the documents of a chunk, ``payload`` their words as codes. Else words of that bucket, and their codes.
+CHUNKS = pa.schema(
+    [
+        ("chunk", pa.int64()),
+        ("bucket", pa.int32()),
+        ("n", pa.int32()),
+        ("payload", pa.binary()),
+        ("rid", pa.list_(pa.int64())),
+        ("doc_id", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int32())),
+    ]
+)
+CHUNKS_DDL = "chunk long, bucket int, n int, payload binary, rid array<long>, doc_id array<long>, sizes array<int>"
 
 
 def _packer(path: str, buckets: int):
-    def flush(chunk: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(chunk: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         import pandas as pd
 
-        whole = pa.Table.from_batches(parts).combine_chunks()
-        lists = whole["words"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        whole = pa.Table.from_batches(parts)
+        lists = _whole(whole["words"])
         sizes = np.diff(lists.offsets.to_numpy()).astype(np.int32)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary
-        deal = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(buckets)).astype(np.int32)
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        rank = np.empty(len(words), np.int32)
+        rank[np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.int32)
+        rows = [{"chunk": chunk, "bucket": -1, "n": len(codes), "payload": _pressed(rank[codes]), "rid": whole["rid"].to_pylist(), "doc_id": whole["doc_id"].to_pylist(), "sizes": sizes}]
+        deal = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(buckets)).astype(np.int32) if len(words) else np.zeros(0, np.int32)
         order = np.argsort(deal, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        codes = place[coded.indices.to_numpy()]
-        words, deal = words.take(pa.array(order)), deal[order]
-        starts = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]]) if len(deal) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(deal)] if len(deal) else starts
-        n = len(starts)
-        none = lambda kind: pa.array([None] * n, kind)
-        one = lambda values, kind: pa.concat_arrays([pa.array([values], kind), none(kind)])
-        longs, ints, texts = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())
-        word_lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(deal)].astype(np.int32)), words) if n else pa.array([], texts)
-        columns = [
-            pa.array([chunk] * (n + 1), pa.int64()),
-            pa.array([-1, *deal[starts]], pa.int32()),
-            pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole["rid"].combine_chunks().cast(pa.int64())), none(longs)]),
-            pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole["doc_id"].combine_chunks().cast(pa.int64())), none(longs)]),
-            one(sizes, ints),
-            one(codes, ints),
-            pa.array([None, *starts], pa.int32()),
-            pa.concat_arrays([pa.array([None], texts), word_lists]),
-        ]
-        del ends
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CHUNKS.split(", ")])
+        bounds = np.flatnonzero(np.r_[True, deal[order][1:] != deal[order][:-1], True]) if len(words) else np.zeros(1, int)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own = order[a:b]
+            data, offsets = text_bytes(words.take(pa.array(own)))
+            rows.append({"chunk": chunk, "bucket": int(deal[own[0]]), "n": len(own), "payload": _pressed(rank[own], np.diff(offsets).astype(np.int32), data)})
+        return pa.RecordBatch.from_pylist(rows, schema=CHUNKS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,63 +141,65 @@ def _packer(path: str, buckets: int):
             parts.append(pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), lists], names=["rid", "doc_id", "words"]))
             held += lists.nbytes
             if held >= CHUNK_BYTES:
-                yield from flush(chunk, parts)
+                yield flush(chunk, parts)
                 chunk, parts, held = chunk + 1, [], 0
         if parts:
-            yield from flush(chunk, parts)
+            yield flush(chunk, parts)
 
     return pack
 
 
-ENCODED_WORDS = "chunk long, start int, sizes array<int>, ids array<int>"
+ENCODED_WORDS = "chunk long, n int, tokens int, payload binary"
 
 
 def _word_encoder(path: str):
-    def encode(words: pa.Table) -> pa.Table:
-        lists = words["words"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        coded = lists.flatten().dictionary_encode()
-        encoded = [e.ids for e in _tokenizer(path).encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int32, int(lengths.sum()))
+    def encode(rows: pa.Table) -> pa.Table:
+        counts = rows["n"].to_pylist()
+        opened = [_opened(p, n, n) for p, n in zip(rows["payload"].to_pylist(), counts, strict=True)]
+        ends = np.r_[0, np.cumsum(np.concatenate([x[1] for x in opened]))].astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(np.concatenate([x[2] for x in opened])))
+        coded = words.dictionary_encode()
+        lengths, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for a in range(0, len(coded.dictionary), ENCODE_WORDS):
+            encoded = [e.ids for e in _tokenizer(path).encode_batch(coded.dictionary.slice(a, ENCODE_WORDS).to_pylist(), add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, encoded), np.int32, len(encoded)))
+            flat.append(np.fromiter((i for ids in encoded for i in ids), np.int32, int(lengths[-1].sum())))
+        lengths, flat = np.concatenate(lengths), np.concatenate(flat)
         indices = coded.indices.to_numpy()
-        taken = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat)).take(pa.array(indices))
+        taken = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat)).take(pa.array(indices)).flatten().to_numpy()
         sizes = lengths[indices]
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        tokens = np.r_[0, np.cumsum(sizes)].astype(np.int32)[offsets]
-        return pa.table(
-            {
-                "chunk": words["chunk"],
-                "start": words["start"],
-                "sizes": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sizes)),
-                "ids": pa.ListArray.from_arrays(pa.array(tokens), taken.flatten()),
-            }
-        )
+        word, token = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(sizes)]
+        payloads, tokens = [], []
+        for i, (codes, *_) in enumerate(opened):
+            ids = taken[token[word[i]] : token[word[i + 1]]]
+            payloads.append(_pressed(codes, sizes[word[i] : word[i + 1]], ids))
+            tokens.append(len(ids))
+        return pa.table({"chunk": rows["chunk"], "n": rows["n"], "tokens": pa.array(tokens, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     return encode
 
 
 def _placed(texts: pa.Table, words: pa.Table) -> pa.Table:
     """The ids of a chunk's documents, by the positions of its words."""
-    words = words.sort_by("start")
-    flat = lambda t, name: t[name].combine_chunks().flatten() if len(t) else pa.array([], pa.int32())
-    sizes = flat(words, "sizes").to_numpy()
-    table_of = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat(words, "ids"))
-    codes = flat(texts, "codes").to_numpy()
-    tokens = np.r_[0, np.cumsum(sizes[codes])].astype(np.int32)
-    bounds = tokens[np.r_[0, np.cumsum(flat(texts, "sizes").to_numpy())]]
-    ids = pa.ListArray.from_arrays(pa.array(bounds), table_of.take(pa.array(codes)).flatten())
-    return pa.table({"rid": flat(texts, "rid"), "doc_id": flat(texts, "doc_id"), "ids": ids})
-
-
-def encode(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch | None = None) -> DataFrame:
+    parts = [_opened(p, n, n, t) for p, n, t in zip(words["payload"].to_pylist(), words["n"].to_pylist(), words["tokens"].to_pylist(), strict=True)]
+    join = lambda i: np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int32)
+    sizes, order = join(1), np.argsort(join(0), kind="stable")
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(join(2))).take(pa.array(order))
+    codes, _ = _opened(texts["payload"][0].as_py(), texts["n"][0].as_py())
+    flat = lambda name: _whole(texts[name]).flatten()
+    tokens = np.r_[0, np.cumsum(sizes[order][codes])].astype(np.int32)
+    bounds = tokens[np.r_[0, np.cumsum(flat("sizes").to_numpy())]]
+    ids = pa.ListArray.from_arrays(pa.array(bounds), lists.take(pa.array(codes)).flatten())
+    return pa.table({"rid": flat("rid"), "doc_id": flat("doc_id"), "ids": ids})
+
+
+def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, ids (array<int>).
 
     ``ids`` is what the tokenizers library gives for the whole text with
     add_special_tokens=False; a null or empty text has none. ``rid`` numbers
     the rows; repeated rows and null doc_ids are kept, other columns ignored.
     """
-    scratch = scratch or Scratch(spark, "bpe")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     odd = text.rlike(r"\p{Cn}")
@@ -188,11 +211,12 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch | N
         F.when(~odd, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("words"),
         F.when(odd, text).alias("odd"),
     )
-    with arrow_rows(spark, BATCH_ROWS):
-        chunks = scratch.keep(rows.mapInArrow(_packer(path, buckets), CHUNKS), "chunks")
-    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "start", "words")
+    # A chunk is numbered by its task and its order there, so both readings of
+    # the texts give the same chunks and none is stored.
+    chunks = rows.mapInArrow(_packer(path, buckets), CHUNKS_DDL)
+    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "n", "payload")
     coded = words.groupBy("bucket").applyInArrow(_word_encoder(path), ENCODED_WORDS)
-    texts = chunks.filter("bucket = -1").select("chunk", "rid", "doc_id", "sizes", "codes")
+    texts = chunks.filter("bucket = -1").select("chunk", "n", "payload", "rid", "doc_id", "sizes")
     return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_placed, "rid long, doc_id long, ids array<int>")
 
 
@@ -241,16 +265,14 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, path: str | None = N
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path = path or default_path()
     scratch = Scratch(spark, "bpe")
-    done = decode(encode(spark, docs, path, scratch), path).select(
+    done = decode(encode(spark, docs, path), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
     with arrow_rows(spark, BATCH_ROWS):
-        kept = scratch.keep(done, "digests")
-    scratch.drop("chunks")
-    return kept
+        return scratch.keep(done, "digests")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
