@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from ._scratch import Scratch, join_counted
 
-#: Rounds after which label propagation must have settled; a path of 2**60 links would need more.
-ROUNDS = 60
 #: Members of a key's largest component that the rest of the key is compared with in one round.
 PIVOTS = 4
 #: Rounds with pivots at most, and the share of linked pairs below which no other follows; all pairs left are compared after them.
@@ -32,23 +30,36 @@ LEAST_HITS = 0.02
 def components(scratch: Scratch, links: DataFrame, label: str) -> DataFrame:
     """The smallest id that each id of ``links`` (a, b) reaches: id, root.
 
-    In each round an id takes the smallest label of its neighbours and then
-    the label of that label, so labels travel exponentially far. All
-    aggregates combine on the map side. Ids without a link are absent.
+    In each round an id moves to the neighbour that comes first in the order
+    of the round, unless it comes first itself, and the edges move along: what
+    was connected stays so. The first order is that of the ids, which settles
+    stars around their smallest id at once; the others are drawn anew, so that
+    a fixed share of the ids is left behind in each round, whatever the shape.
+    The last id of an order always is, so the rounds end without a limit.
+    Ids without a link are absent.
     """
-    edges = scratch.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{label}-edges")
-    labels = scratch.keep(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"), f"{label}-0")
-    for turn in range(1, ROUNDS + 1):
-        near = edges.join(labels.withColumnsRenamed({"id": "b", "root": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("root").alias("far"))
-        new = scratch.keep(step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("before")), f"{label}-{turn}")
-        settled = new.filter("root <> before").isEmpty()
-        scratch.drop(f"{label}-{turn - 1}")
-        labels = new.select("id", "root")
-        if settled:
-            return labels
-    raise RuntimeError("labels did not settle")
+    edges = scratch.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{label}-edges-0")
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        turn = len(steps)
+        place = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn else F.col(c)).alias("draw"), F.col(c).alias("to"))  # noqa: B023, E731
+        near = edges.groupBy("a").agg(F.min(place("b")).alias("near"))
+        step = scratch.keep(near.select(F.col("a").alias("id"), F.least(place("a"), F.col("near"))["to"].alias("to")), f"{label}-step-{turn}")
+        steps.append(step)
+        moved = edges.join(step.withColumnsRenamed({"id": "a", "to": "to_a"}), "a").join(step.withColumnsRenamed({"id": "b", "to": "to_b"}), "b")
+        edges = scratch.keep(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct(), f"{label}-edges-{turn + 1}")
+        scratch.drop(f"{label}-edges-{turn}")
+    if len(steps) == 1:
+        return steps[0].withColumnRenamed("to", "root")  # every id moved to a smaller one, and all to the same
+    labels = steps[-1].withColumnRenamed("to", "root")
+    for turn in range(len(steps) - 2, -1, -1):
+        sizes = steps[turn].groupBy("to").agg(F.count("*").alias("ids"))
+        known = scratch.keep(labels.withColumnRenamed("id", "to").join(sizes, "to"), f"{label}-known-{turn}")
+        labels = join_counted(steps[turn], known, ["to"], "ids", -1 - F.col("id")).select("id", F.coalesce("root", "to").alias("root"))
+        labels = scratch.keep(labels, f"{label}-labels-{turn}")
+    smallest = labels.groupBy("root").agg(F.min("id").alias("smallest"), F.count("*").alias("ids"))
+    named = join_counted(labels, scratch.keep(smallest, f"{label}-smallest"), ["root"], "ids", -1 - F.col("id"))
+    return scratch.keep(named.select("id", F.col("smallest").alias("root")), f"{label}-named")
 
 
 def groups(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandgraph.llm import bpe, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, pii, sharding, suffix_dedup, toxicity
+from strandgraph.llm._groups import components
 from strandgraph.llm._scratch import Scratch
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -159,3 +160,12 @@ def test_pii(spark):
     dense = spark.createDataFrame([(i, f"ip {i % 10}.{i // 10}.1.1") for i in range(60)], "doc_id long, text string")
     found = pii.replace(spark, dense).collect()
     assert len({r.text for r in found}) == 60 and not {r.text for r in found} & {f"ip {i % 10}.{i // 10}.1.1" for i in range(60)}
+
+
+def test_components_of_a_long_chain(spark):
+    path = [1, *range(100, 1, -1)]
+    pairs = [*zip(path, path[1:]), (200, 201), (202, 201), (203, 202)]
+    found = components(Scratch(spark, "test"), spark.createDataFrame(pairs, "a long, b long"), "chain")
+    assert {(r.id, r.root) for r in found.collect()} == {(i, 1) for i in path} | {(i, 200) for i in range(200, 204)}
+    none = components(Scratch(spark, "test"), spark.createDataFrame([], "a long, b long"), "none")
+    assert none.isEmpty()
