@@ -4,8 +4,10 @@ An entity is a type and a canonical value, so one written in several formats
 stays one entity. Each distinct entity of the corpus gets one surrogate, made
 from a keyed hash: equal entities get equal surrogates everywhere. Entities
 whose surrogate meets another's, or a value that occurs in the corpus, draw
-again until all differ. A surrogate is poured into the format of each place:
-separators, case, script, number of digits, check digits, the ending that
+again until all differ; after some draws in the format of the value each draw
+is longer than the one before, so the space of surrogates never runs out. A
+surrogate is poured into the format of each place: separators, case, script,
+number of digits (but for those longer draws), check digits, the ending that
 marks gender, and the title before a name stay.
 """
 
@@ -17,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,8 @@ from ._io import table
 from ._scratch import Scratch, join_counted
 from .line_dedup import version_of
 
-#: Draws of one entity before the run gives up.
-DRAWS = 40
+#: Draws of one entity in the format of its value; each further draw is a character longer.
+FORMAT_DRAWS = 12
 #: Spans up to which they are broadcast to the documents.
 BROADCAST_SPANS = 500_000
 DEFAULT_KEY = "surrogates"
@@ -114,12 +117,16 @@ def _alphabet(char: str) -> str:
     return near or char
 
 
-def _letters(text: str, stream: _Stream, keep_last: bool = False) -> str:
+def _letters(text: str, stream: _Stream, keep_last: bool = False, plain: bool = False) -> str:
+    """Other letters and digits; ``plain`` takes cased letters from all of a-z, accented or not, vowel or not."""
     out = []
     for i, c in enumerate(text):
         ends = i + 1 == len(text) or not text[i + 1].isalpha()
         if c.isdigit():
             out.append(str(stream.below(10)))
+        elif plain and (c.islower() or c.isupper()):
+            pick = chr(97 + stream.below(26))
+            out.append(pick.upper() if c.isupper() else pick)
         elif c.isalpha() and not (keep_last and ends):
             pool = _alphabet(c.lower())
             pick = pool[stream.below(len(pool))]
@@ -137,44 +144,51 @@ def _luhn(digits: str) -> bool:
 def surrogate(key: str, kind: str, value: str, draw: int) -> str:
     """The canonical surrogate of a canonical value."""
     s = _Stream(key, kind, value, draw)
+    longer = max(0, draw - FORMAT_DRAWS + 1)
     if kind == "ip":
         parts = []
         for part in value.split("."):
-            low, high = (0, 9) if len(part) == 1 else (10, 99) if len(part) == 2 else (100, 254)
+            low, high = (0, 254) if longer else (0, 9) if len(part) == 1 else (10, 99) if len(part) == 2 else (100, 254)
             parts.append(str(low + s.below(high - low + 1)))
-        return ".".join(parts)
+        # more than four parts only where the addresses themselves run out
+        return ".".join([*parts, *[str(s.below(255)) for _ in range(longer - FORMAT_DRAWS)]])
     if kind == "phone":
-        return value[:1] + "".join(str(s.below(10)) for _ in value[1:])
+        return value[:1] + "".join(str(s.below(10)) for _ in range(len(value) - 1 + longer))
     if kind == "ssn":
-        return "9" + "".join(str(s.below(10)) for _ in value[1:])
+        return "9" + "".join(str(s.below(10)) for _ in range(len(value) - 1 + longer))
     if kind == "card":
-        body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
+        body = value[0] + "".join(str(s.below(10)) for _ in range(len(value) - 2 + longer))
         last = next(str(d) for d in range(10) if _luhn(body + str(d))) if _luhn(value) else str(s.below(10))
         return body + last
     if kind == "iban":
         body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in value[4:])
+        body += "".join(str(s.below(10)) for _ in range(longer))
         number = "".join(str(int(c, 36)) for c in body + value[:2])
         return f"{value[:2]}{98 - int(number + '00') % 97:02d}{body}"
     if kind == "email":
         local, host = value.rsplit("@", 1)
+        local += "x" * longer
         labels = host.split(".")
         return "@".join([_letters(local, s), ".".join([*[_letters(x, s) for x in labels[:-1]], labels[-1]])])
     if kind == "secret":
         if re.fullmatch(r"(AKIA|ASIA)[0-9A-Z]{16}", value):
             return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in value[4:])
         if re.fullmatch(r"[0-9a-f]+", value):
-            return "".join("0123456789abcdef"[s.below(16)] for _ in value)
-        return "".join(chr(97 + s.below(26)) if c.islower() else chr(65 + s.below(26)) if c.isupper() else str(s.below(10)) if c.isdigit() else c for c in value)
-    return _letters(value, s, keep_last=True)
+            return "".join("0123456789abcdef"[s.below(16)] for _ in range(len(value) + longer))
+        made = _letters(value + "x" * longer, s, plain=True)
+        return made if any(c.isalnum() for c in value) else "".join(chr(97 + s.below(26)) for _ in made)
+    return _letters(value[:-1] + "x" * longer + value[-1:], s, keep_last=True)
 
 
 def pour(kind: str, canonical_surrogate: str, shown: str) -> str:
     """The surrogate in the format of the place it stands in."""
     if kind in ("card", "phone", "ssn", "iban"):
         left = iter(canonical_surrogate)
-        return "".join(next(left) if c.isalnum() else c for c in shown)
+        return "".join([*[next(left) if c.isalnum() else c for c in shown], *left])
     if kind in ("email", "name") and len(canonical_surrogate) == len(shown):
         return "".join(n.upper() if c.isupper() else n for n, c in zip(canonical_surrogate, shown, strict=True))
+    if kind == "name":
+        return canonical_surrogate.upper() if shown.isupper() else canonical_surrogate.title() if shown[:1].isupper() else canonical_surrogate
     return canonical_surrogate
 
 
@@ -203,7 +217,7 @@ def surrogates(scratch: Scratch, found: DataFrame, key: str) -> DataFrame:
 
     open_ = values.withColumn("draw", F.lit(0))
     settled = None
-    for turn in range(DRAWS):
+    for turn in count():
         drawn = scratch.keep(open_.withColumn("surrogate", make("kind", "value", "draw")), f"drawn{turn}")
         taken = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         if settled is not None:
@@ -217,7 +231,6 @@ def surrogates(scratch: Scratch, found: DataFrame, key: str) -> DataFrame:
         open_ = judged.filter("NOT good").select("kind", "value", "uses", F.lit(turn + 1).alias("draw"))
         if open_.isEmpty():
             return settled
-    raise RuntimeError("too few surrogates of some kind for its entities")
 
 
 def replace(spark: SparkSession, docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
