@@ -50,8 +50,9 @@ PATTERNS = (
     ("phone", r"(?<![\w.])\+\d{7,15}(?!\w)"),
     ("name", rf"\b(?:{TITLES})\.? (?P<value>{NAME}(?: {NAME}){{0,2}})"),
 )
-#: A text without any of these holds no entity.
-HINT = rf"[@0-9]|(?i:password|passwd|pwd|secret|api_?key|token)|\b(?:{TITLES})"
+#: A text without any of these holds no entity. It is for Java, whose tables of
+#: Unicode may be older: \p{Cn} are characters that it doesn't know yet.
+HINT = rf"[@\p{{Nd}}\p{{Cn}}]|AKIA|ASIA|(?iu:password|passwd|pwd|secret|api_?key|token)|{TITLES}"
 
 
 @lru_cache(maxsize=1)
@@ -60,8 +61,14 @@ def _patterns() -> tuple[re.Pattern, list[str]]:
     return re.compile("|".join(parts)), [k for k, _ in PATTERNS]
 
 
+def _ascii_digits(value: str) -> str:
+    return "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value)
+
+
 def canonical(kind: str, value: str) -> str:
     """What names the entity in every format."""
+    if kind in ("card", "phone", "ssn", "iban", "ip"):
+        value = _ascii_digits(value)
     if kind in ("card", "phone", "ssn"):
         return re.sub(r"\D", "", value)
     if kind == "iban":
@@ -183,7 +190,8 @@ def surrogate(key: str, kind: str, value: str, draw: int) -> str:
 def pour(kind: str, canonical_surrogate: str, shown: str) -> str:
     """The surrogate in the format of the place it stands in."""
     if kind in ("card", "phone", "ssn", "iban"):
-        left = iter(canonical_surrogate)
+        zero = next((ord(c) - unicodedata.decimal(c) for c in shown if c.isdecimal()), 48)
+        left = (chr(zero + int(c)) if c.isdecimal() else c for c in canonical_surrogate)
         return "".join([*[next(left) if c.isalnum() else c for c in shown], *left])
     if kind in ("email", "name") and len(canonical_surrogate) == len(shown):
         return "".join(n.upper() if c.isupper() else n for n, c in zip(canonical_surrogate, shown, strict=True))
