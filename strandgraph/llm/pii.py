@@ -1,7 +1,9 @@
 """PII surrogates: detected entities get keyed replacements of the same type.
 
 An entity is a type and a canonical value, so one written in several formats
-stays one entity. Each distinct entity of the corpus gets one surrogate, made
+stays one entity. A name behind a title, and each of its words, is looked for
+in the rest of its document too; names get their surrogates word by word, so
+that a full name and a part of it stay the same person. Each distinct entity of the corpus gets one surrogate, made
 from a keyed hash: equal entities get equal surrogates everywhere. Entities
 whose surrogate meets another's, or a value that occurs in the corpus, draw
 again until all differ; after some draws in the format of the value each draw
@@ -19,7 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,8 +91,25 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             if not upper or not names[0].group()[0].isupper():
                 continue
             b = a + next((names[k - 1].end() for k in range(1, len(names)) if not names[k].group()[0].isupper()), names[-1].end())
+            b -= 2 * bool(re.search(r"..['’][sS]$", text[a:b]))
         found.append((a, b, kinds[i], canonical(kinds[i], text[a:b])))
-    return found
+    known = {w for a, b, kind, _ in found if kind == "name" for w in text[a:b].split(" ")}
+    return sorted([*found, *_mentions(text, known, found)]) if known else found
+
+
+def _mentions(text: str, known: set[str], found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Capitalised runs of the ``known`` words of names between the entities ``found``."""
+    word = "(?:" + "|".join(re.escape(w) for w in sorted(known, key=lambda w: (-len(w), w))) + r")(?!\w)"
+    run = re.compile(rf"(?<!\w)(?i:{word}(?: {word})*)")
+    more, at = [], 0
+    for a, b in [*[x[:2] for x in found], (len(text), len(text))]:
+        for m in run.finditer(text, at, a):
+            for upper, words in groupby(re.finditer(r"\S+", m.group()), lambda w: w.group()[0].isupper()):
+                ends = [m.start() + x for w in words for x in w.span()]
+                if upper:
+                    more.append((ends[0], ends[-1], "name", canonical("name", text[ends[0] : ends[-1]])))
+        at = b
+    return more
 
 
 class _Stream:
@@ -200,16 +219,28 @@ def pour(kind: str, canonical_surrogate: str, shown: str) -> str:
     return canonical_surrogate
 
 
+def _words(text: str, start: int, end: int, kind: str, value: str) -> list[tuple[int, int, str, str, int | None]]:
+    """What gets a surrogate of its own: the words of a name, any other entity as it is."""
+    if kind != "name":
+        return [(start, end, kind, value, end)]
+    words = [(start + w.start(), start + w.end()) for w in re.finditer(r"[^ ]+", text[start:end])]
+    return [(a, b, kind, canonical(kind, text[a:b]), None if k else end) for k, (a, b) in enumerate(words)]
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, version, start, end (in characters), kind and value of every entity of every row."""
-    schema = "doc_id long, version long, start int, end int, kind string, value string"
+    """doc_id, version, start, end (in characters), kind and value of every entity of every row.
+
+    A name has a row for each of its words; ``whole`` is the end of the entity
+    on the first of them, and null on the others.
+    """
+    schema = "doc_id long, version long, start int, end int, kind string, value string, whole int"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, *e) for i, t in enumerate(batch.column("text").to_pylist()) for e in detect(t)]
+            found = [(i, *e) for i, t in enumerate(batch.column("text").to_pylist()) for x in detect(t) for e in _words(t, *x)]
             row = pa.array([e[0] for e in found], pa.int64())
-            columns = [pa.array([e[k] for e in found], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()), (4, pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("version").take(row), *columns], names=["doc_id", "version", "start", "end", "kind", "value"])
+            columns = [pa.array([e[k] for e in found], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()), (4, pa.string()), (5, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("version").take(row), *columns], names=["doc_id", "version", "start", "end", "kind", "value", "whole"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of(F.col("text")).alias("version"), "text")
     return rows.filter(F.col("text").rlike(HINT)).mapInArrow(find, schema)
@@ -253,7 +284,7 @@ def replace(spark: SparkSession, docs: DataFrame, key: str = DEFAULT_KEY) -> Dat
     found = scratch.keep(entities(docs).distinct(), "entities")
     chosen = scratch.keep(surrogates(scratch, found, key), "surrogates")
     spans = join_counted(found, chosen, ["kind", "value"], "uses", F.concat(F.lit("\0"), F.xxhash64("doc_id", "version", "start").cast("string")))
-    grouped = spans.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("spans"))
+    grouped = spans.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "surrogate", "whole"))).alias("spans"))
     grouped = scratch.keep(grouped, "spans").select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "spans")
     if found.count() <= BROADCAST_SPANS:
         grouped = F.broadcast(grouped)
@@ -272,11 +303,12 @@ def replace(spark: SparkSession, docs: DataFrame, key: str = DEFAULT_KEY) -> Dat
         return pa.array(out, pa.string())
 
     touched = F.coalesce(F.size("spans"), F.lit(0)) > 0
+    first = F.filter("spans", lambda x: x["whole"].isNotNull())
     return met.select(
         "doc_id",
-        F.greatest(F.lit(0), F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_entities"),
+        F.greatest(F.lit(0), F.coalesce(F.size(first), F.lit(0))).cast("long").alias("n_entities"),
         F.when(touched, rewrite(F.when(touched, F.col("text")), "spans")).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))), F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("entities"),
+        F.coalesce(F.transform(first, lambda x: F.struct(x["start"].alias("start"), x["whole"].alias("end"), x["kind"].alias("kind"))), F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("entities"),
     )
 
 

@@ -188,3 +188,16 @@ def test_pii_finds_entities_without_ascii_digits(spark):
     got = {r.doc_id: r for r in pii.replace(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].n_entities for i, _ in rows] == [1, 1, 1, 1, 1, 0] and all(got[i].text != t for i, t in rows[:5])
     assert pii._ascii_digits(got[1].text) == got[3].text and not any(c in "0123456789" for c in got[1].text)
+
+
+def test_pii_keeps_a_person_one_in_a_document(spark):
+    text = "Mr. John Smith met Dr. Lee. John Smith spoke, SMITH's smith and john left; Mr. Smith's car. Smithson, a.Smith@b.org"
+    rows = [(1, text), (2, "John Smith, no title"), (3, "Mrs. Smith")]
+    got = {r.doc_id: r for r in pii.replace(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    john, smith = got[1].text.split()[1:3]
+    lee = got[1].text.split()[5]
+    head, mail = got[1].text.rsplit(" ", 1)
+    assert head == f"Mr. {john} {smith} met Dr. {lee} {john} {smith} spoke, {smith.upper()}'s smith and john left; Mr. {smith}'s car. Smithson,"
+    assert len({john, smith, lee[:-1], "John", "Smith", "Lee"}) == 6 and mail != "a.Smith@b.org"
+    assert got[2].text == rows[1][1] and got[3].text == f"Mrs. {smith}"
+    assert got[1].n_entities == len(got[1].entities) == 6 and text[got[1].entities[0].start : got[1].entities[0].end] == "John Smith"
