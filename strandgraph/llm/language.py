@@ -4,6 +4,8 @@ A text is the average of the embeddings of its hashed subwords; a linear layer
 and a softmax give the languages. Both are trained by stochastic gradient
 descent in numpy on a bounded sample. Since the layer is linear, a trained
 model is one table of logits by bucket, which scores a text in one pass.
+A text is rejected for a low score, or for subwords that are rarer in the
+sample than those of its texts are.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ DIMENSION = 16
 SAMPLE_ROWS = 3000
 #: Bytes that are turned into subwords at once.
 PIECE_BYTES = 1 << 20
+#: Share of the rightly judged calibration texts that lie below each level of rejection.
+TAIL = 0.005
 
 
 def letters(text: Column) -> Column:
@@ -54,11 +58,19 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float
+    #: Logarithm of the share of every bucket in the sample, and the least mean of a text.
+    familiar: np.ndarray
+    least_familiar: float
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The best label of each text (-1: no letters) and its calibrated probability."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``scores``, and whether each text is rejected."""
         data, offsets = text_bytes(texts)
         labels, total, n = len(self.labels), np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+        familiar = np.zeros(len(texts))
         first = 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, side="right")) - 1)
@@ -71,6 +83,7 @@ class Model:
                     owner, buckets = owner[inside], buckets[inside]
                     for k in range(labels):
                         total[:, k] += np.bincount(owner, weights=self.logits[buckets, k], minlength=len(texts))
+                    familiar += np.bincount(owner, weights=self.familiar[buckets], minlength=len(texts))
                     n += np.bincount(owner, minlength=len(texts))
             first = last
         z = (total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
@@ -78,7 +91,9 @@ class Model:
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         empty = np.diff(offsets) <= 2
-        return np.where(empty, -1, best), np.where(empty, 0.0, p[np.arange(len(p)), best])
+        score = p[np.arange(len(p)), best]
+        rejected = empty | (score < self.least) | (familiar / np.maximum(n, 1) < self.least_familiar)
+        return np.where(empty, -1, best), np.where(empty, 0.0, score), rejected
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -90,12 +105,16 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], *, epochs:
     """A model of bags (buckets, counts) with their labels.
 
     Every fifth bag is set aside: its texts choose the temperature, by
-    likelihood, and ``least``, the smallest score at which the accepted ones
-    are right in a share of ``precision``.
+    likelihood, and ``least``: the smallest score at which the accepted ones
+    are right in a share of ``precision``, or the score that all but TAIL of
+    the right ones reach, if that is higher. If no score reaches the
+    precision, all texts are rejected. The same tail of the right ones gives
+    the least familiarity, which a language without labels or letter junk
+    lacks however sure the softmax is.
     """
     names = sorted(set(labels))
     if not names:
-        return Model([UNKNOWN], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 0.0)
+        return Model([UNKNOWN], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, np.inf, np.zeros(BUCKETS), 0.0)
     y = np.array([names.index(x) for x in labels])
     aside = np.arange(len(y)) % 5 == 4
     learn = np.flatnonzero(~aside) if len(y) >= 25 else np.arange(len(y))
@@ -133,8 +152,15 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], *, epochs:
     best, right = p.max(axis=1), p.argmax(axis=1) == y[judged]
     order = np.argsort(-best)
     good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision)
-    least = float(best[order][good[-1]]) if len(good) and good[-1] + 1 < len(order) else 0.0
-    return Model(names, table_ @ weight, bias, float(heat), least)
+    least, least_familiar = np.inf, 0.0
+    seen = np.bincount(np.concatenate([bags[i][0] for i in learn]).astype(np.int64), weights=np.concatenate([bags[i][1] for i in learn]), minlength=BUCKETS)
+    familiar = np.log((seen + 0.5) / (seen.sum() + 0.5 * BUCKETS))
+    if len(good):
+        # rounding of sums taken in another order must reject no text of the calibration itself
+        least = max(float(best[order][good[-1]]), float(np.quantile(best[right], TAIL, method="lower"))) - 1e-9
+        means = np.array([familiar[bags[i][0]] @ share[i] for i in judged[right]])
+        least_familiar = float(np.quantile(means, TAIL, method="lower")) - 1e-9
+    return Model(names, table_ @ weight, bias, float(heat), least, familiar, least_familiar)
 
 
 def train(docs: DataFrame, limit: int = SAMPLE_ROWS, seed: int = 7) -> Model:
@@ -158,15 +184,16 @@ def predict(text: Column, model: Model) -> Column:
 
     A null text and one without letters give ``und`` with score 0. ``score``
     is the calibrated probability of lang_pred; ``rejected`` says that it is
-    below the model's least score, or that the text is ``und``.
+    below the model's least score, that the text is less familiar than texts
+    of the sample are, or that it is ``und``.
     """
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
     def judge(texts: pa.Array) -> pa.Array:
-        best, score = model.scores(texts)
+        best, score, rejected = model.judged(texts)
         names = np.array([*model.labels, UNKNOWN], dtype=object)
         return pa.StructArray.from_arrays(
-            [pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array((best < 0) | (score < model.least))], names=["lang_pred", "score", "rejected"]
+            [pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=["lang_pred", "score", "rejected"]
         )
 
     return judge(letters(text))
