@@ -1,11 +1,14 @@
-"""N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
+"""Components of an n-gram Jaccard join over the document by n-gram incidence.
 
 Rows are documents with distinct sets, columns are hashed shingles, ordered so
 that frequent ones come last. A row enters the product with its first columns
 only, as many as the size-derived bound needs: two sets that are similar
-enough share one of them. Each block of columns adds up the overlaps of its
-pairs; a pair stays only while overlap so far plus what the smaller rest can
-add reaches the overlap that its sizes demand. What stays is counted in full.
+enough share one of them. Pairs with leaders and drawn pivots of a column are
+counted in full at once; of the pairs still in different components after
+that, the overlaps of all columns are added up first, and a pair stays only
+while overlap plus what the smaller rest can add reaches the overlap that its
+sizes demand. Links inside a component are not listed: the result has the
+components only, no pairs, overlaps or numbers of links.
 """
 
 from __future__ import annotations
