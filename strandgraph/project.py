@@ -21,14 +21,15 @@ class Project:
         sources = markdown.files(spark, f"file://{root}", "*.{%s}" % ",".join(code.LANGUAGES), self.config.ignore)
         sources = cut(sources.filter(globs.matches(F.col("path"), self.config.code_patterns)))
         records = cut(markdown.records(docs))
-        declarations, annotations = cut(code.declarations(sources)), cut(code.annotations(sources))
+        parsed = cut(code.parsed(sources, self.config.annotations))
+        declarations, annotations = code.declarations(parsed), cut(code.annotations(parsed))
         identifiers = cut(graph.merge(markdown.identifiers(records), code.identifiers(annotations)))
         nodes = cut(graph.nodes(identifiers))
         mentions = graph.plain_mentions(markdown.mentions(docs), graph.occurrences(identifiers))
         occurrences = cut(graph.occurrences(identifiers, mentions))
         self.facts: dict[str, DataFrame] = {
             "files": sources, "records": records, "lines": cut(markdown.lines(docs)), "paths": docs.select("path"), "declarations": declarations,
-            "annotations": annotations, "errors": code.parse_errors(sources), "text_findings": markdown.findings(docs), "identifiers": identifiers,
+            "annotations": annotations, "errors": code.parse_errors(parsed), "raw": markdown.raw_lines(docs), "text_findings": markdown.findings(docs), "identifiers": identifiers,
             "nodes": nodes, "edges": cut(graph.edges(identifiers, nodes)), "occurrences": occurrences, "relations": cut(graph.relations(identifiers)),
             "entities": cut(graph.entities(occurrences, identifiers)),
         }
@@ -39,7 +40,9 @@ class Project:
         if self._findings is None:
             found = rules.validate(self.spark, self.facts, self.config.switches)
             units = [(u.package, u.patterns) for u in self.config.units]
-            self._findings = cut(found.unionByName(rules.unit_mapping(self.facts["files"].select("path"), units)))
+            sources = self.facts["files"].select("path")
+            found = found.unionByName(rules.unit_mapping(sources, units)).unionByName(rules.unmirrored_docs(self.facts["paths"], sources, units))
+            self._findings = cut(found.unionByName(rules.notices(self.spark, self.config)))
         return self._findings
 
     def trace(self, root: str, depth: int = 1, mentions: bool = False) -> dict[str, DataFrame]:

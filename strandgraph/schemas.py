@@ -82,6 +82,9 @@ REQUIRED_FIELDS = (
     ("testing", "oracle", False, False, False, None),
 )
 
+# Fixed value: the version of the record format.
+RECORD_VERSION = "1.1"
+
 # Fixed limits.
 TRACE_DEPTH_DEFAULT, TRACE_DEPTH_MAX, IMPACT_DEPTH, REVIEW_ROOTS_MAX = 1, 5, 2, 10
 RECORD_BYTES, EXCERPT_BYTES, EXCERPTS_BYTES, TOP_RULES = 20_000, 8_000, 64_000, 5

@@ -16,9 +16,10 @@ import re
 import tokenize
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import ids
 from ..schemas import ANNOTATIONS, DECLARATIONS, PARSE_ERRORS
@@ -27,7 +28,7 @@ from ..schemas import ANNOTATIONS, DECLARATIONS, PARSE_ERRORS
 LANGUAGES = {"py": "python", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "h": "cpp", "hpp": "cpp", "java": "java"}
 MARKS = {"@test-contract": "test-contract", "@implement": "implement", "@test": "test"}
 JAVA_TESTS = ("Test", "ParameterizedTest", "RepeatedTest", "TestFactory", "TestTemplate")
-IGNORE_START, IGNORE_END = "@ignore-start", "@ignore-end"
+IGNORE_ONE, IGNORE_START, IGNORE_END = ("@ignore",), ("@ignore-start", "@ignore start"), ("@ignore-end", "@ignore end")
 
 
 def language_of(path: str) -> str | None:
@@ -195,8 +196,16 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple[int, int, str
     return found, comments
 
 
-def analyse(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
-    """Declarations, annotations and errors of one file."""
+def marks_of(configured: dict[str, str] | None) -> dict[str, str]:
+    """Marks and their kinds, longest first, from those of a configuration."""
+    kinds = {"implement": "implement", "test": "test", "test_contract": "test-contract"}
+    found = {mark: kinds[name] for name, mark in configured.items()} if configured else MARKS
+    return dict(sorted(found.items(), key=lambda m: -len(m[0])))
+
+
+def analyse(path: str, text: str, marks: dict[str, str] | None = None) -> tuple[list[dict], list[dict], list[dict]]:
+    """Declarations, annotations and errors of one file. Marks and directives have any case."""
+    marks = marks or MARKS
     language = language_of(path)
     error = lambda message, line=0: [{"path": path, "line": line, "message": message}]
     if language is None:
@@ -219,9 +228,12 @@ def analyse(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
             marked.append((a, b, line_of(a) + offset, re.sub(r"^\s*(?://+|/\*+|\*+/?|#+)?\s?|\s*\*/\s*$", "", line).strip()))
     spans, start = [], None
     for _, _, line, body in marked:
-        if body.startswith(IGNORE_START) and start is None:
+        directive = body.lower()
+        if directive in IGNORE_ONE:
+            spans.append((line, line))
+        elif directive in IGNORE_START and start is None:
             start = line
-        elif body.startswith(IGNORE_END) and start is not None:
+        elif directive in IGNORE_END and start is not None:
             spans.append((start, line))
             start = None
     if start is not None:
@@ -235,9 +247,14 @@ def analyse(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
     begins, ends = [m[2] for m in members], sorted((a, b) for a, b, _ in comments)
     annotations = []
     for a, b, line, body in marked:
-        mark = next((m for m in MARKS if body.startswith(m)), None)
-        rest = body[len(mark) :] if mark else ""
-        if mark is None or re.match(r"[\w-]", rest) and not re.match(r"(?:SPEC|TEST|CONTRACT|DESIGN)-", rest):
+        low, mark, rest = body.lower(), None, ""
+        for m, kind in marks.items():
+            tail = body[len(m) :]
+            due = "SPEC-" if kind == "implement" else "TEST-"
+            if low.startswith(m.lower()) and (tail == "" or tail[0] in " \t" or tail.upper().startswith(due)):
+                mark, rest = m, tail
+                break
+        if mark is None:
             continue
         k = bisect.bisect_left(begins, b)
         while k < len(begins) and declarations[k]["ignored"]:
@@ -252,7 +269,7 @@ def analyse(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
         owner = declarations[k] if attached else None
         annotations.append(
             {
-                "path": path, "kind": MARKS[mark], "prefix": mark, "refs": [r for r in (x.strip() for x in rest.split(",")) if r], "line": line, "raw": body,
+                "path": path, "kind": marks[mark], "prefix": mark, "refs": [r for r in (x.strip() for x in rest.split(",")) if r], "line": line, "raw": body,
                 "attached": attached and not ignored(line), "declaration": owner["name"] if owner else None, "declaration_line": owner["line"] if owner else None,
                 "has_separator": rest == "" or rest[0].isspace(), "ignored": ignored(line), "comment_end": b,
             }
@@ -260,27 +277,40 @@ def analyse(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]]:
     return declarations, annotations, []
 
 
-def _part(found: DataFrame, part: int, schema: str) -> DataFrame:
-    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+def _structs(schema: str) -> str:
+    return "array<struct<" + ", ".join(f"{c.strip().split(' ')[0]}: {c.strip().split(' ', 1)[1]}" for c in schema.split(", ")) + ">>"
+
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed(found: DataFrame, marks: dict[str, str] | None = None) -> DataFrame:
+    """One row a file (path, content): declarations, annotations and errors, each file parsed once."""
+    chosen = marks_of(marks)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, c in zip(batch.path, batch.content, strict=True) for r in analyse(p, c or "")[part]]
-            yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("declaration_line",) if c in columns})
+            parts = [analyse(p, c or "", chosen) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist([{"path": p, "declarations": d, "annotations": a, "errors": e} for p, (d, a, e) in zip(batch.column("path").to_pylist(), parts, strict=True)], schema=kinds)
+
+    schema = f"path string, declarations {_structs(DECLARATIONS)}, annotations {_structs(ANNOTATIONS)}, errors {_structs(PARSE_ERRORS)}"
+    kinds = to_arrow_schema(found.sparkSession.createDataFrame([], schema).schema)
+    return found.select("path", "content").mapInArrow(read, schema)
+
 
-    return found.select("path", "content").mapInPandas(read, schema)
+def _part(found: DataFrame, part: str) -> DataFrame:
+    rows = found if part in found.columns else parsed(found)
+    return rows.select(F.explode(part).alias("x")).select("x.*")
 
 
 def declarations(found: DataFrame) -> DataFrame:
-    return _part(found, 0, DECLARATIONS)
+    """The declarations of files (path, content), or of files that ``parsed`` has read."""
+    return _part(found, "declarations")
 
 
 def annotations(found: DataFrame) -> DataFrame:
-    return _part(found, 1, ANNOTATIONS)
+    return _part(found, "annotations")
 
 
 def parse_errors(found: DataFrame) -> DataFrame:
-    return _part(found, 2, PARSE_ERRORS)
+    return _part(found, "errors")
 
 
 def identifiers(found: DataFrame) -> DataFrame:

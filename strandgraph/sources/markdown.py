@@ -18,7 +18,6 @@ from ..functions import globs, ids
 from ..schemas import FINDINGS, RECORDS, ROLES
 
 ROLE_OF = dict(ROLES)
-VERSION = "1.0"
 #: role -> heading prefix, and the list fields its records may have besides the lifecycle.
 FIELDS = {
     "design": ("Component:", ("depends-on",)),
@@ -238,6 +237,12 @@ def lines(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInPandas(read, "path string, line int, body string, fenced boolean, heading string")
 
 
+def raw_lines(found: DataFrame) -> DataFrame:
+    """path, line and body of every line of a file, front matter and fences included."""
+    rows = found.select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n", -1)).alias("at", "body"))
+    return rows.select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("body", "\r$", "").alias("body"))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """entity_id, path and line of every plain reference."""
     each = lines(found).select("path", "line", F.explode(ids.loose_references(F.col("body"))).alias("entity_id"))

@@ -9,7 +9,7 @@ from strandgraph.project import Project
 from strandgraph.sources import code, git, markdown
 from strandgraph.sources.config import Config, check, discover, docs_roots
 
-IDENTITY = "---\nidentity:\n  version: '1.0'\n  package: internal/box\n  namespace: BOX\n---\n"
+IDENTITY = "---\nidentity:\n  version: '1.1'\n  package: internal/box\n  namespace: BOX\n---\n"
 SPEC = IDENTITY + """
 # Specifications
 
@@ -175,8 +175,8 @@ def test_units_and_headings(spark):
     paths = spark.createDataFrame([("a/x.go",), ("b/x.go",), ("c/x.go",)], "path string")
     found = {r.rule: r.source for r in rules.unit_mapping(paths, [("p", ["a/**", "b/**"]), ("q", ["b/*"])]).collect()}
     assert found == {"source-unit-unmapped": "c/x.go", "source-unit-ambiguous": "b/x.go"}
-    text = "# SPEC-A-1: x\nbare SPEC-A-2 and `SPEC-A-3`\n```\nSPEC-A-4\n# SPEC-A-1\n```\n## SPEC-A-1: y\n| SPEC-A-5 |\n"
+    text = "## SPEC-A-1: x\nbare SPEC-A-2 and `SPEC-A-3`\n```\nSPEC-A-4\n# SPEC-A-1\n```\n## SPEC-A-1: y\n| SPEC-A-5 |\n"
     lines = markdown.lines(spark.createDataFrame([("f.md", text)], "path string, content string"))
-    assert [r.link for r in rules.duplicate_headings(lines).collect()] == ["SPEC-A-1"]
+    assert [r.message for r in rules.duplicate_headings(lines).collect()] == ["SPEC-A-1 heads lines 1, 7"]
     assert {r.link for r in rules.bare_markers(lines).collect()} == {"SPEC-A-2", "SPEC-A-5"}
     assert rules.record_tables(lines).count() == 1
