@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import IMPACT_DEPTH
+from .storage import cut
 from .traverse import _both_ways
 
 REASON = "struct<kind: string, path: string, line: int, source_id: string, relation: string, record_id: string, field: string, conservative: boolean>"
@@ -70,7 +71,7 @@ def queue(start: DataFrame, relations: DataFrame, entities: DataFrame, depth: in
         steps = frontier.select(F.col("id").alias("from_id")).join(ways, "from_id").join(known, "to_id", "left_semi")
         why = _reason("related_entity", path=F.col("path"), line=F.col("line"), source_id=F.col("from_id"), relation=F.col("type"), record_id=F.col("record_id"), field=F.col("field"))
         reasons = reasons.unionByName(steps.select(F.col("to_id").alias("id"), why.alias("reason")))
-        frontier = steps.select(F.col("to_id").alias("id")).distinct().join(distance, "id", "left_anti").withColumn("distance", F.lit(level + 1))
+        frontier = cut(steps.select(F.col("to_id").alias("id")).distinct().join(distance, "id", "left_anti").withColumn("distance", F.lit(level + 1)))
         distance = distance.unionByName(frontier)
     gathered = reasons.groupBy("id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     joined = distance.join(gathered, "id").join(entities, "id", "left")

@@ -71,8 +71,8 @@ def snapshot(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def as_json(findings: DataFrame, schema: str = "trace.report.v1") -> str:
-    """The report as one JSON document; only a report's own findings come to the driver."""
-    rows = [r.asDict() for r in ordered(findings).collect()]
+    """The report as one JSON document, read partition by partition; ``write`` is for reports that a driver does not hold."""
+    rows = (r.asDict() for r in ordered(findings).toLocalIterator())
     sums = totals(findings).first().asDict()
     return json.dumps({"schema": schema, **sums, "findings": [{k: v for k, v in r.items() if v is not None} for r in rows]}, indent=2, ensure_ascii=False)
 
@@ -83,7 +83,7 @@ def as_markdown(findings: DataFrame, repair: bool = False) -> str:
     out = ["# Traceability report", "", f"- Status: {'valid' if sums.valid else 'invalid'}", f"- Errors: {sums.errors}", f"- Warnings: {sums.warnings}", ""]
     out += ["## Most frequent rules", "", *[f"- {r.rule}: {r.n}" for r in top_rules(findings).collect()], "", "## Findings", ""]
     last = None
-    for r in ordered(findings).collect():
+    for r in ordered(findings).toLocalIterator():
         if repair and r.rule != last:
             out += [f"### {r.rule}", ""]
             last = r.rule

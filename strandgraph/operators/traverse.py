@@ -47,7 +47,7 @@ def trace(roots: DataFrame, relations: DataFrame, entities: DataFrame, depth: in
         steps = frontier.select("root_id", F.col("id").alias("from_id")).join(ways, "from_id").withColumn("depth", F.lit(level))
         seen = steps if seen is None else seen.unionByName(steps)
         new = steps.select("root_id", "to_id").distinct().join(known, "to_id", "left_semi").withColumnRenamed("to_id", "id")
-        frontier = new.join(reached, ["root_id", "id"], "left_anti").withColumn("depth", F.lit(level))
+        frontier = cut(new.join(reached, ["root_id", "id"], "left_anti").withColumn("depth", F.lit(level)))
         reached = reached.unionByName(frontier.select("root_id", "id", "depth"))
     if seen is None:
         seen = roots.select("root_id").join(ways, F.lit(False)).withColumn("depth", F.lit(0))
@@ -57,20 +57,68 @@ def trace(roots: DataFrame, relations: DataFrame, entities: DataFrame, depth: in
     return reached, found.select("root_id", *relations.columns, "depth", F.when(F.col("way") == 0, F.lit("outbound")).otherwise(F.lit("inbound")).alias("direction"))
 
 
-def cycles(links: DataFrame, depth: int) -> DataFrame:
-    """The nodes of ``links`` (src, dst) that reach themselves in ``depth`` steps at most: id, cycle.
-
-    ``cycle`` is the smallest id of the nodes that reach each other. Paths are
-    doubled: a round joins the closure with itself, so rounds grow with the
-    logarithm of ``depth``.
+def _core(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges that are left when those that start where none ends, or end where none starts, go again and again."""
+    left = edges.count()
+    while left:
+        starts, ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = cut(edges.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"))
+        before, left = left, edges.count()
+        if left == before:
+            break
+    return edges, left
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` (id, label), each the smallest of all labels that lead to the id."""
+    while True:
+        come = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("come"))
+        after = cut(labels.join(come, "id", "left").select("id", F.least("label", "come").alias("label"), (F.col("come") < F.col("label")).alias("moved")))
+        moved = not after.filter("moved").isEmpty()
+        labels = after.select("id", "label")
+        if not moved:
+            return labels
+
+
+def cycles(links: DataFrame) -> DataFrame:
+    """The nodes of ``links`` (src, dst) that reach themselves, in any number of steps: id, cycle, members.
+
+    ``cycle`` is the smallest id of the nodes that reach each other, and
+    ``members`` their number. Nodes that lie on no path between cycles are cut
+    off first. Of the rest, a node takes the smallest id that reaches it; the
+    nodes that reach this id in turn make a cycle with it. They are taken out,
+    and the rest goes on, so there is no limit to the length of a cycle, and
+    no list of all pairs that reach each other.
     """
-    reach, steps = links.select("src", "dst").distinct(), 1
-    while steps < depth:
-        far = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        reach, steps = cut(reach.unionByName(far).distinct()), steps * 2
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"], "left_semi")
-    return mutual.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("cycle"), F.count("*").alias("members"))
+    own = links.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")).distinct()
+    edges, left = _core(cut(links.filter("src <> dst").select("src", "dst").distinct()))
+    found = cut(own)
+    while left:
+        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+        labels = _spread(edges, nodes.withColumn("label", F.col("id")))
+        inside = edges.join(labels.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(labels.withColumnsRenamed({"id": "dst", "label": "b"}), "dst").filter("a = b")
+        back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # against the edges, the label itself spreads to the nodes that reach it
+        roots = labels.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label"))
+        reached = _spread_known(back, roots)
+        ring = reached.filter("label IS NOT NULL").select("id", F.col("label").alias("cycle"))
+        several = ring.groupBy("cycle").count().filter("count > 1").select("cycle")
+        found = cut(found.unionByName(ring.join(several, "cycle", "left_semi").select("id", "cycle")))
+        rest = edges.join(ring.select(F.col("id").alias("src")), "src", "left_anti").join(ring.select(F.col("id").alias("dst")), "dst", "left_anti")
+        edges, left = _core(cut(rest.select("src", "dst")))
+    named = found.groupBy("id").agg(F.min("cycle").alias("cycle"))
+    return named.join(named.groupBy("cycle").agg(F.count("*").alias("members")), "cycle").select("id", "cycle", "members")
+
+
+def _spread_known(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` (id, label) where ids without a label take one along the edges, until none does."""
+    while True:
+        come = edges.join(labels.filter("label IS NOT NULL").withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("come"))
+        after = cut(labels.join(come, "id", "left").select("id", F.coalesce("label", "come").alias("label"), (F.col("label").isNull() & F.col("come").isNotNull()).alias("moved")))
+        moved = not after.filter("moved").isEmpty()
+        labels = after.select("id", "label")
+        if not moved:
+            return labels
 
 
 def hops(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:

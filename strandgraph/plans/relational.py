@@ -400,14 +400,14 @@ def d31_list_parsing(spark, sf):
 
 
 @query(r"""
-WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)', 1) FROM pages WHERE page_id % 2 = 0)
+WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)', 1) FROM pages)
 SELECT page_id, max(len(root))::INT AS n FROM pages JOIN r ON root <> '' AND (url = root OR starts_with(url, root || '/')) GROUP BY page_id
 """)
 def d32_longest_prefix(spark, sf):
     """The deepest known root of each path: an equality join on its own prefixes."""
     pages = read(spark, sf, "pages").select("page_id", "url")
     host = pages.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root"))
-    deeper = pages.filter("page_id % 2 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)", 1).alias("root"))
+    deeper = pages.select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)", 1).alias("root"))
     roots = host.union(deeper).filter("root <> ''").distinct()
     parts = F.split("url", "/")
     each = pages.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("root"))
@@ -423,7 +423,7 @@ def d33_cycles(spark, sf):
     """Nodes on a cycle of a derived graph."""
     n = F.col("n_nationkey")
     links = read(spark, sf, "nation").select(ref("nation", n).alias("src"), ref("nation", (n * n + 3) % 25).alias("dst"))
-    return traverse.cycles(links, 32).select("id")
+    return traverse.cycles(links).select("id")
 
 
 @query("""
