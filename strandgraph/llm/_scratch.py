@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints"
 #: there can be no more than HOT_SHARE of them, whatever the size of the data.
 HOT_SHARE = 1000
 
+#: Rows among which frequent keys are looked for.
+SAMPLE_ROWS = 400_000
+
+#: What a table takes in memory, at most, for a byte of its compressed files.
+BROADCAST_BLOWUP = 8
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -49,15 +56,52 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: Column) -> DataFrame:
+def written_bytes(frame: DataFrame) -> int:
+    """Bytes of the files that a kept table is read from, as its plan knows them."""
+    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def bounded_bytes(frame: DataFrame, megabytes: int) -> DataFrame:
+    """A kept table, to be broadcast if its files times BROADCAST_BLOWUP are within the bound; else joins shuffle it."""
+    return F.broadcast(frame) if written_bytes(frame) * BROADCAST_BLOWUP <= megabytes << 20 else frame
+
+
+def frequent(scratch: Scratch, rows: DataFrame, key: str) -> DataFrame:
+    """Keys with more than 1/HOT_SHARE of the rows, as a sample of them tells; no more than HOT_SHARE of them.
+
+    It only decides where rows meet: a key that the sample misses is handled
+    as any other, and one that it finds in vain as a frequent one.
+    """
+    share = max(1, rows.count() // SAMPLE_ROWS)
+    drawn = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(share)) == 0)
+    counts = scratch.keep(drawn.groupBy(key).agg(F.count("*").alias("rows")), f"drawn-{key}")
+    least = max(1, (counts.agg(F.sum("rows")).first()[0] or 0) / HOT_SHARE)
+    return counts.filter(F.col("rows") > least).select(key)
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for what is planned inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: Column, megabytes: int = 0) -> DataFrame:
     """Left join to ``right``, which has one row a key and in ``weight`` the left rows of that key.
 
-    Keys above 1/HOT_SHARE of all rows (at most HOT_SHARE keys) meet in a
+    A kept table within ``megabytes`` (see ``bounded_bytes``) is broadcast.
+    Else keys above 1/HOT_SHARE of all rows (at most HOT_SHARE keys) meet in a
     broadcast join; the rest meet in a shuffle join in which no key is hot.
     ``spread`` gives a left row a value of the last key that no right row has,
     so that rows already served do not gather under one key.
     """
     values = [c for c in right.columns if c not in keys]
+    if megabytes and written_bytes(right) * BROADCAST_BLOWUP <= megabytes << 20:
+        return left.join(F.broadcast(right), keys, "left").select(*left.columns, *values)
     total = right.agg(F.sum(weight)).first()[0] or 0
     least = total / HOT_SHARE
     hot = right.filter(F.col(weight) > least)
