@@ -7,9 +7,11 @@ cannot repeat. Segments that are equal as a whole are represented by the
 first. For leaders with several different segments the suffixes of these are
 put in order: small shards of segments are sorted and transformed, and the
 transforms are merged by refining an interleave of the shards, one round for
-every STEP bytes, until LENGTH bytes are told apart. Rounds also carry the
+every symbol, until LENGTH bytes are told apart. Rounds also carry the
 borders between suffixes that differ so far, the common prefixes; what stays
-between two borders is a repeated interval, whose first window stays.
+between two borders is a repeated interval, whose first window stays. Leaders
+with more than LEADER_SEGMENTS different segments are split by the windows'
+own hashes, so that no leader has to fit into one merge.
 """
 
 from __future__ import annotations
@@ -19,26 +21,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._grams import text_bytes
 from ._io import table
-from ._scratch import HOT_SHARE, Scratch, join_counted
+from ._scratch import Scratch, bounded_bytes, frequent, join_counted
 from .bpe import arrow_rows
-from .decontamination import bounded
 
 LENGTH = 100
 GRAM = 32
-#: Bytes that one symbol of a transform holds.
-STEP = 2
-#: Bytes of segments in a shard, in one merge, and of text that is cut into segments at once.
-SHARD_BYTES = 1 << 16
-MERGE_BYTES = 1 << 19
+#: Bytes that one symbol of a transform holds: the most for which a merge has no more than SYMBOLS different ones.
+STEPS = (4, 2)
+SYMBOLS = 1 << 16
+#: Different segments of a leader that meet in one merge, at most.
+LEADER_SEGMENTS = 4096
+#: Groups that the segments of a frequent leader are dealt into before copies meet.
+SALTS = 256
+#: Bytes of segments in a shard, in one merge (a task has DEALT merges on average), and of text that is cut into segments at once.
+SHARD_BYTES = 1 << 15
+MERGE_BYTES = 1 << 17
+DEALT = 8
 PIECE_BYTES = 1 << 20
-#: Removed spans up to which they are broadcast to the documents.
-BROADCAST_SPANS = 2_000_000
+#: Megabytes up to which segments and spans are broadcast to the documents.
+BROADCAST_MB = 10
 BATCH_ROWS = 500
 
 
@@ -124,15 +132,15 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         yield a, b, np.array([0, b - a])
 
 
-def merge_transforms(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of all shards in one order, as places in the shards one after the other, and the borders.
 
-    A transform maps a suffix to the one STEP symbols longer: the i-th of
-    equal symbols belongs to the i-th suffix that starts with them. A round
-    deals the interleave stably by the symbols before its suffixes and moves
-    on to the longer ones: then it is in order by STEP symbols more. Suffixes
-    stay in one interval while those they were dealt from were in one; a
-    border says that a suffix differs from the one before in LENGTH symbols.
+    A transform maps a suffix to the one a symbol longer: the i-th of equal
+    symbols belongs to the i-th suffix that starts with them. A round deals
+    the interleave stably by the symbols before its suffixes and moves on to
+    the longer ones: then it is in order by one symbol more. Suffixes stay in
+    one interval while those they were dealt from were in one; a border says
+    that a suffix differs from the one before in the symbols of all rounds.
     """
     symbols = np.concatenate(transforms)
     longer, start = np.empty(len(symbols), np.int32), 0
@@ -141,33 +149,45 @@ def merge_transforms(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
         start += len(t)
     at, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     border = np.ones(len(symbols), bool)
-    for _ in range(-(-LENGTH // STEP)):
-        order = np.argsort(symbols[at], kind="stable")
-        at, interval = at[order], interval[order]
+    for _ in range(rounds):
         own = symbols[at]
+        order = np.argsort(own, kind="stable")
+        own, interval = own[order], interval[order]
         np.logical_or(own[1:] != own[:-1], interval[1:] != interval[:-1], out=border[1:])
         np.cumsum(border, out=interval)
-        at = longer[at]
+        at = longer[at[order]]
     return at, border
 
 
 def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> list[np.ndarray]:
     """For segments in corpus order, which of their windows start earlier in another (or the same) segment."""
-    lengths = np.array([len(b) for b in bodies], np.int64) + STEP
+    pad = max(STEPS)
+    lengths = np.array([len(b) for b in bodies], np.int64) + pad
     ends = np.cumsum(lengths)
     starts = ends - lengths
     text = np.zeros(int(ends[-1]), np.uint8)
     raw = np.frombuffer(b"".join(bodies), np.uint8)
-    inside = np.repeat(starts - np.r_[0, np.cumsum(lengths - STEP)][:-1], lengths - STEP) + np.arange(len(raw))
-    text[inside] = raw
+    inside = np.repeat(starts - np.r_[0, np.cumsum(lengths - pad)][:-1], lengths - pad) + np.arange(len(raw))
     used = np.flatnonzero(np.bincount(raw, minlength=256))
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(1, len(used) + 1)  # UTF-8 has no more than 243 different bytes
     text[inside] = code[raw]
     index = np.arange(len(text))
     seg_start, seg_end = np.repeat(starts, lengths), np.repeat(ends, lengths)
-    back = index - STEP
-    previous = np.where(back >= seg_start, back, back + (seg_end - seg_start))
+    after = np.zeros(len(text), np.uint32)
+    for k in range(pad):
+        place = np.minimum(index + k, len(text) - 1)
+        after = after << np.uint32(8) | np.where(index + k < seg_end, text[place], 0)
+    for step in STEPS:
+        at = index - step
+        before = np.zeros(len(text), np.uint32)  # the bytes before each place, a segment's end coming before its start
+        for k in range(step):
+            place = at + k
+            before = before << np.uint32(8) | text[np.where(place < seg_start, place + (seg_end - seg_start), place)]
+        found, symbols = np.unique(before, return_inverse=True)
+        if len(found) <= SYMBOLS:
+            break
+    symbols = symbols.astype(np.uint16)
     cuts = [0]
     for i in range(1, len(bodies)):
         if ends[i] - starts[cuts[-1]] > SHARD_BYTES:
@@ -176,16 +196,13 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> list[np.ndarra
     places, transforms = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = starts[a], ends[b - 1]
-        order = _ordered(text[lo:hi], ends[a:b] - lo, lengths[a:b])
-        pair = previous[lo + order]
-        follow = np.where(pair + 1 < seg_end[pair], pair + 1, seg_start[pair])
-        transforms.append((text[pair].astype(np.uint16) * np.uint16(256)) + text[follow])
-        places.append(lo + order)
-    order, border = merge_transforms(transforms)
+        order = lo + _ordered(after[lo:hi], pad, ends[a:b] - lo, lengths[a:b])
+        transforms.append(symbols[order])
+        places.append(order)
+    order, border = merge_transforms(transforms, LENGTH // step)
     merged = np.concatenate(places)[order]
     interval = np.cumsum(border)
-    first = np.repeat(starts, lengths)
-    isw = index - first < np.repeat(windows, lengths)
+    isw = index - seg_start < np.repeat(windows, lengths)
     rows = np.flatnonzero(isw[merged])
     at, interval = merged[rows], interval[rows]
     order = np.lexsort((at, interval))
@@ -195,14 +212,14 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> list[np.ndarra
     return [flags[a : a + w] for a, w in zip(starts, windows, strict=True)]
 
 
-def _ordered(text: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The suffixes of a shard in the order of LENGTH symbols, by doubling."""
-    n, depth, rank = len(text), 1, text.astype(np.int64)
-    edge, index = np.repeat(ends, lengths), np.arange(len(text))
+def _ordered(codes: np.ndarray, depth: int, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The suffixes of a shard in the order of LENGTH symbols, by doubling; ``codes`` are the order of their first ``depth``."""
+    n, rank = len(codes), np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    edge, index = np.repeat(ends, lengths), np.arange(n)
     while depth < LENGTH:
         ahead = index + depth
-        key = rank * (n + 257) + np.where(ahead < edge, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        key = rank * (n + 1) + np.where(ahead < edge, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(key)
         key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
@@ -210,73 +227,108 @@ def _ordered(text: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndar
     return np.argsort(rank, kind="stable")
 
 
-def _portions(leaders: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """Runs of rows, whole leaders together where they fit, and whether the run goes on with the leader before it."""
-    first, held, goes_on = 0, 0, False
+def _portions(leaders: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with whole leaders, each of MERGE_BYTES or little more."""
+    first, held = 0, 0
     for i in range(len(leaders)):
-        new = i == 0 or leaders[i] != leaders[i - 1]
-        if i > first and (held >= MERGE_BYTES and new or held >= 4 * MERGE_BYTES):
-            yield first, i, goes_on
-            first, held, goes_on = i, 0, not new
+        if held >= MERGE_BYTES and leaders[i] != leaders[i - 1]:
+            yield first, i
+            first, held = i, 0
         held += sizes[i]
     if first < len(leaders):
-        yield first, len(leaders), goes_on
+        yield first, len(leaders)
 
 
 def _merged(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("leader", "ascending"), ("doc_id", "ascending"), ("version", "ascending"), ("start", "ascending")])
+    # a row of a repeated document comes as often as the document does
+    order = pc.sort_indices(rows, [(c, "ascending") for c in ("leader", "doc_id", "version", "start")], null_placement="at_start")
+    rows = rows.take(order).combine_chunks()
+    new = pa.array([True], pa.bool_())
+    if len(rows) > 1:
+        above, below = rows.slice(0, len(rows) - 1), rows.slice(1)
+        same = [pc.or_kleene(pc.fill_null(pc.equal(above[c], below[c]), False), pc.and_(pc.is_null(above[c]), pc.is_null(below[c]))) for c in ("leader", "doc_id", "version", "start")]
+        differs = pc.invert(pc.and_(pc.and_(same[0], same[1]), pc.and_(same[2], same[3])))
+        new = pa.concat_arrays([new, differs.combine_chunks() if isinstance(differs, pa.ChunkedArray) else differs])
+    rows = rows.filter(new) if len(rows) else rows
     bodies, windows, leaders = rows["body"].to_pylist(), rows["windows"].to_numpy().astype(np.int64), rows["leader"].to_numpy()
-    sizes = np.array([len(b) for b in bodies])
-    found, carried = [], []
-    for a, b, goes_on in _portions(leaders, sizes):
-        old = carried if goes_on else []
-        index = [*old, *range(a, b)]
-        flags = repeated_windows([bodies[i] for i in index], windows[index])
-        for i, f in zip(index[len(old) :], flags[len(old) :], strict=True):
+    found = []
+    for a, b in _portions(leaders, np.array([len(x) for x in bodies], np.int64)):
+        for i, f in enumerate(repeated_windows(bodies[a:b], windows[a:b]), a):
             edges = np.flatnonzero(np.diff(np.r_[0, f.astype(np.int8), 0]))
             found += [(i, int(x), int(y)) for x, y in zip(edges[::2], edges[1::2], strict=True)]
-        carried = [i for i, f in zip(index, flags, strict=True) if leaders[i] == leaders[b - 1] and not f.all()]
     row = pa.array([x[0] for x in found], pa.int64())
     start = rows["start"].combine_chunks().take(row).to_numpy() if found else np.zeros(0, np.int64)
     low, high = np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64)
     return pa.table({"doc_id": rows["doc_id"].take(row), "version": rows["version"].take(row), "low": pa.array(start + low), "high": pa.array(start + high + LENGTH - 1)})
 
 
+def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of each segment by 128 bits."""
+    import xxhash
+
+    for batch in batches:
+        bodies, windows = batch.column("body").to_pylist(), batch.column("windows").to_pylist()
+        hashes = [xxhash.xxh3_128_digest(body[i : i + LENGTH]) for body, n in zip(bodies, windows, strict=True) for i in range(n)]
+        pairs = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+        row = pa.array(np.repeat(np.arange(len(bodies)), windows))
+        start = np.concatenate([s + np.arange(n) for s, n in zip(batch.column("start").to_pylist(), windows, strict=True)]) if bodies else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), batch.column("doc_id").take(row), batch.column("version").take(row), pa.array(start)],
+            names=["h1", "h2", "doc_id", "version", "start"],
+        )
+
+
+def _heads(scratch: Scratch, cut: DataFrame) -> DataFrame:
+    """The segments whose leader occurs again: leader, doc_id, version, place, head and heads.
+
+    ``head`` says that no equal segment comes earlier; ``heads`` is the number
+    of the leader's different segments. Of the segments of frequent leaders,
+    copies are found group by group first, so no task has all of them.
+    """
+    # no more than HOT_SHARE leaders
+    often_led = F.col("leader").isin([r.leader for r in frequent(scratch, cut.select("leader", "doc_id", "version", "place"), "leader").collect()])
+    columns = ["leader", "whole", "doc_id", "version", "place"]
+    is_first = lambda *by: F.rank().over(W.partitionBy(*by).orderBy("doc_id", "version", "place")) == 1
+
+    rest = cut.filter(~often_led).repartition("leader").select(*columns, is_first("leader", "whole").alias("head"))
+    group = W.partitionBy("leader")
+    rest = rest.select("*", F.count("*").over(group).alias("uses"), F.sum(F.col("head").cast("int")).over(group).alias("heads")).filter("uses > 1").drop("uses")
+
+    often = cut.filter(often_led).withColumn("salt", F.pmod(F.xxhash64("doc_id", "version", "place"), F.lit(SALTS)))
+    often = scratch.keep(often.select(*columns, is_first("leader", "whole", "salt").alias("near_head")), "often")
+    firsts = scratch.keep(often.filter("near_head").select(*columns, is_first("leader", "whole").alias("head")), "firsts")
+    heads = firsts.filter("head").groupBy("leader").agg(F.countDistinct("whole").alias("heads"))
+    firsts = firsts.join(F.broadcast(heads), "leader")
+    later = often.filter("NOT near_head").select(*columns, F.lit(False).alias("head"), F.lit(0).cast("long").alias("heads"))
+    return scratch.keep(rest.unionByName(firsts).unionByName(later).drop("whole"), "shared")
+
+
 def repeated_spans(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """Stretches of bytes to remove, which may overlap: doc_id, version, low, high."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", version_of(F.col("text")))
+    docs = docs.select("doc_id", "text").withColumn("version", version_of(F.col("text")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     with arrow_rows(scratch.spark, BATCH_ROWS):
         long_enough = docs.filter(F.octet_length("text") >= LENGTH)
-        cut = scratch.keep(long_enough.mapInArrow(_cut, "leader long, whole long, doc_id long, version int, place long"), "segments")
-    leaders = scratch.keep(cut.groupBy("leader").agg(F.count("*").alias("uses")).filter("uses > 1"), "leaders")
-    least = (leaders.agg(F.sum("uses")).first()[0] or 0) / HOT_SHARE
-    place = F.struct("doc_id", "version", "place")
-    # what no leader makes hot stays where the join has dealt it
-    same, group = W.partitionBy("leader", "whole"), W.partitionBy("leader")
-    busy = F.broadcast(leaders.filter(F.col("uses") > least).select("leader"))
-    cold = cut.join(busy, "leader", "left_anti").join(leaders.filter(F.col("uses") <= least).select("leader"), "leader").withColumn("first", F.min(place).over(same))
-    cold = cold.withColumn("differ", F.min("whole").over(group) < F.max("whole").over(group))
-    # of the rest, copies meet on the map side first
-    hot = cut.join(busy, "leader")
-    firsts = scratch.keep(hot.groupBy("leader", "whole").agg(F.min(place).alias("first"), F.count("*").alias("uses")), "firsts")
-    several = firsts.groupBy("leader").agg((F.count("*") > 1).alias("differ"))
-    firsts = firsts.join(F.broadcast(several), "leader")  # no more than HOT_SHARE leaders
-    hot = join_counted(hot, firsts, ["leader", "whole"], "uses", F.xxhash64("doc_id", "version", "place")).drop("uses")
-    shared = scratch.keep(cold.unionByName(hot).select("leader", "doc_id", "version", "place", "first", "differ"), "shared")
+        cut = scratch.keep(long_enough.mapInArrow(_cut, f"leader long, whole long, doc_id {kind}, version int, place long"), "segments")
+    shared = _heads(scratch, cut)
     scratch.drop("segments")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("place") == F.col("first.place"))
     start, windows = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    copies = shared.filter(~is_first).select("doc_id", "version", start.alias("low"), (start + windows + LENGTH - 1).alias("high"))
-    heads = shared.filter(is_first & F.col("differ")).select("leader", F.col("doc_id").alias("d"), F.col("version").alias("v"), "place").distinct()
-    touched = bounded(heads.select("d", "v").distinct())
-    both = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))
-    texts = docs.join(touched, both, "left_semi").dropDuplicates(["doc_id", "version"])
-    bodies = texts.join(heads, both).select("leader", "doc_id", "version", start.alias("start"), windows.alias("windows"), F.substring(F.col("text").cast("binary"), start + 1, windows + LENGTH - 1).alias("body"))
-    bodies = scratch.keep(bodies, "bodies")
-    total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    deal = F.pmod(F.xxhash64("leader"), F.lit(max(1, total // MERGE_BYTES)))
-    spans = bodies.withColumn("deal", deal).groupBy("deal").applyInArrow(_merged, "doc_id long, version int, low long, high long")
-    return scratch.keep(copies.unionByName(spans), "spans")
+    copies = shared.filter("NOT head").select("doc_id", "version", start.alias("low"), (start + windows + LENGTH - 1).alias("high"))
+    at = F.struct("leader", start.alias("start"), windows.alias("windows"), (F.col("heads") > LEADER_SEGMENTS).alias("deep"))
+    wanted = shared.filter("head AND heads > 1").groupBy(F.col("doc_id").alias("d"), F.col("version").alias("v")).agg(F.collect_set(at).alias("at"))
+    wanted = bounded_bytes(scratch.keep(wanted, "wanted"), BROADCAST_MB)
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc_id", "version", "text", F.explode("at").alias("x"))
+    body = F.substring(F.col("text").cast("binary"), F.col("x.start") + 1, F.col("x.windows") + LENGTH - 1)
+    bodies = scratch.keep(texts.select("x.*", "doc_id", "version", body.alias("body")), "bodies")
+    total = bodies.filter("NOT deep").agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    deal = F.pmod(F.xxhash64("leader"), F.lit(max(1, total // (DEALT * MERGE_BYTES))))
+    spans = bodies.filter("NOT deep").withColumn("deal", deal).groupBy("deal").applyInArrow(_merged, f"doc_id {kind}, version int, low long, high long")
+    with arrow_rows(scratch.spark, 10 * BATCH_ROWS):
+        each = scratch.keep(bodies.filter("deep").mapInArrow(_hashed_windows, f"h1 long, h2 long, doc_id {kind}, version int, start long"), "windows")
+    firsts = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count("*").alias("uses")).filter("uses > 1")
+    met = join_counted(each, scratch.keep(firsts, "first-windows"), ["h1", "h2"], "uses", F.xxhash64("doc_id", "version", "start")).filter("first IS NOT NULL")
+    deep = met.filter(F.struct("doc_id", "version", "start") != F.col("first")).select("doc_id", "version", F.col("start").alias("low"), (F.col("start") + LENGTH).alias("high"))
+    return scratch.keep(copies.unionByName(spans).unionByName(deep), "spans")
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,13 +359,14 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, scratch: Scratch | No
     Null counts as empty; other columns are ignored.
     """
     scratch = scratch or Scratch(spark, "suffix-dedup")
+    docs = docs.select("doc_id", "text")
     spans = repeated_spans(scratch, docs)
     gone = scratch.keep(spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "gone")
-    light = (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
-    gone = gone.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", version_of(F.col("text")))
-    met = rows.join(F.broadcast(gone) if light else gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, length: long>>"
+    gone = bounded_bytes(gone, BROADCAST_MB).select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "spans")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("version", version_of(F.col("text")))
+    met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, length: long>>"
     return met.select("doc_id", "text", "spans").mapInArrow(_removed, schema)
 
 
