@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op3_sharding": sharding.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
         "op6_ngram_jaccard": ngram_jaccard.ORACLE,
     }

@@ -84,3 +84,26 @@ def shard(spark: SparkSession, docs: DataFrame, weights: dict[int, float], grown
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = dict.fromkeys(range(SHARDS), 1.0)
     return shard(spark, table(spark, sf_dir, "documents"), even, even | {SHARDS: 1.0})
+
+
+#: DuckDB has no crc32: ``bits`` is its table, by the polynomial of the standard, and ``list_reduce`` goes over the bytes.
+ORACLE = f"""
+WITH bits AS (
+  SELECT list(list_reduce([i] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)
+), d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, strlen(coalesce(text, '')) + 8 AS size,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(range(strlen(coalesce(text, ''))),
+           lambda i: ((instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)::BIGINT),
+           lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
+  FROM (SELECT *, hex(coalesce(text, '')) AS h FROM documents), bits
+), draws AS (
+  SELECT DISTINCT key, s::INTEGER AS s, substr(md5(key || ':' || s), 1, 15) AS draw FROM d, range({SHARDS + 1}) r(s)
+), won AS (
+  SELECT key, max_by(s, draw || lpad(s::VARCHAR, 4, '0')) FILTER (s < {SHARDS}) AS shard, max_by(s, draw || lpad(s::VARCHAR, 4, '0')) AS grown_shard
+  FROM draws GROUP BY key
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':' || text_crc32), doc_id, size) - 1 AS slot, grown_shard
+FROM d JOIN won USING (key)
+"""
