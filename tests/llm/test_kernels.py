@@ -53,15 +53,32 @@ def test_packed_numbers_come_back():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), min_size=1, max_size=4))
-def test_shingle_sets_have_the_sizes_of_plain_sets(lists):
-    hashes, bounds = ngram_jaccard.shingle_sets(pa.array(lists, pa.list_(pa.string())))
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "C", "ü", "\u2003x"]), max_size=9), min_size=1, max_size=4), st.sampled_from([" ", "\t", "\n ", "\x0b\x0c"]), st.sampled_from([1, 8, 1 << 18]))
+def test_shingle_sets_have_the_sizes_of_plain_sets(lists, gap, piece):
+    before, ngram_jaccard.PIECE_BYTES = ngram_jaccard.PIECE_BYTES, piece
+    try:
+        hashes, bounds = ngram_jaccard.shingle_sets(pa.array([gap + gap.join(x) if i % 2 else gap.join(x).lower() for i, x in enumerate(lists)] + [None]))
+    finally:
+        ngram_jaccard.PIECE_BYTES = before
+    lists = [[w.replace("C", "c") for w in x] for x in lists] + [[]]
     want = [({tuple(x[i : i + 5]) for i in range(len(x) - 4)} if len(x) >= 5 else {tuple(x)} - {()}) for x in lists]
     got = [set(hashes[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert [len(s) for s in got] == [len(s) for s in want]
     assert all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(len(lists)) for j in range(i))
 
 
+def test_noisy_or_of_a_small_bag():
+    model = toxicity.Model(np.random.default_rng(2).normal(0, 3, toxicity.BUCKETS), -1.0)
+    lists = [["good", "day", ".", "you", "idiot", "!", "?"], ["day"], []]
+    score, _, probability = model.scores(pa.array(lists, pa.list_(pa.string())))
+    single = lambda words: model.scores(pa.array([words], pa.list_(pa.string())))[2][0]
+    word = lambda w: np.log(single([w]) / (1 - single([w]))) - model.bias
+    sentence = lambda words: 1 / (1 + np.exp(-(model.bias + sum(word(w) for w in words))))
+    own = [sentence(["good", "day"]), sentence(["you", "idiot"]), sentence(["day"])]
+    assert np.allclose(probability, own)
+    assert np.allclose(score, [1 - (1 - own[0]) * (1 - own[1]), own[2], 0])
+
+
 def test_noisy_or_learns_from_documents():
     lists = pa.array([["good", "day", ".", "awful", "idiot", "."] if i % 4 == 0 else ["good", "day", ".", f"word{i}", "."] for i in range(200)], pa.list_(pa.string()))
     toxic = np.arange(200) % 4 == 0

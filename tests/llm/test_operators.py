@@ -1,6 +1,9 @@
 """Each operator on a small table with nulls, empty and repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import os
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,6 +165,157 @@ def test_pii(spark):
     assert len({r.text for r in found}) == 60 and not {r.text for r in found} & {f"ip {i % 10}.{i // 10}.1.1" for i in range(60)}
 
 
+def test_sharding_matches_its_sql(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    documents = docs.select("doc_id", "text").toArrow()  # noqa: F841  the table of the query
+    want = Counter(duckdb.connect().execute(sharding.ORACLE).fetchall())
+    even = dict.fromkeys(range(sharding.SHARDS), 1.0)
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert Counter(tuple(r) for r in sharding.shard(spark, docs, even, even | {sharding.SHARDS: 1.0}).select(*columns).collect()) == want
+
+
+def removed(rows):
+    seen, found = set(), Counter()
+    for i, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0])):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        found[i, len(raw), sum(gone)] += 1
+    return found
+
+
+@pytest.mark.parametrize("segments", [4096, 1])
+def test_suffix_dedup_of_nulls_long_texts_and_frequent_grams(spark, monkeypatch, segments):
+    monkeypatch.setattr(suffix_dedup, "LEADER_SEGMENTS", segments)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    a, b, c = (" ".join(words[i : i + 60]) for i in (0, 100, 200))
+    gram = "the one gram that all of these texts have in common, "
+    rows = [(None, a), (5, a + b), (7, b + c), (8, a[:150] + c[50:] + a), (9, " ".join(words * 4)), (10, ""), (11, "x" * 700)]
+    rows += [(20 + i, f"{rng.random()} {gram}{i % 7} {gram}{rng.random()}") for i in range(60)]
+    frame = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_substrings(spark, frame).collect())
+    assert got == removed(rows)
+
+
+def test_suffix_dedup_takes_any_doc_id_and_an_empty_table(spark):
+    rows = [("b", LONG * 3), ("a", LONG * 3)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_substrings(spark, frame).collect()}
+    assert got == {i: (n, k) for i, n, k in removed(rows)}
+    assert suffix_dedup.dedup_substrings(spark, frame.limit(0)).isEmpty()
+
+
+def test_jaccard_matches_brute_force(spark):
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 6, 30, 80]))] for _ in range(12)]
+    rows = [(100 - i, None if i == 5 else "  ".join(w if rng.random() > 0.02 else "new" for w in base[i % 12])) for i in range(90)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := (t or "").split()) >= 5 else {tuple(w)} - {()} for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    root[i] = root[j] = min(root[i], root[j])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(spark, frame).collect()} == {(i, len(sets[i]), root[i]) for i in sets}
+    assert ngram_jaccard.ngram_jaccard(spark, frame.limit(0)).isEmpty()
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("cap", [128, 3])
+def test_line_links_match_brute_force(spark, monkeypatch, cap):
+    monkeypatch.setattr(line_dedup, "CAP", cap)
+    rng = random.Random(9)
+    base = [" ".join(f"word{rng.randrange(900)}" for _ in range(rng.choice([4, 15, 40]))) for _ in range(6)]
+    lines = sorted({" ".join(w if rng.random() > 0.04 else f"new{rng.randrange(50)}" for w in base[i % 6].split()) for i in range(70)} | {"a b c d", "b a c d", "d c b a"})
+    docs = spark.createDataFrame([(i, "?!\n" + t) for i, t in enumerate(lines)], "doc_id long, text string").repartition(2)
+    scratch = Scratch(spark, "test")
+    rows = scratch.keep(line_dedup._occurrences(docs), "rows")
+    forms = scratch.keep(rows.select(F.col("doc_id").alias("id"), "simhash", "length", F.struct("doc_id", "line", "version").alias("place")), "forms")
+    found = components(scratch, line_dedup.links(scratch, docs, forms), "roots").collect()
+    root = {i: i for i in range(len(lines))} | {r.id: r.root for r in found}
+    bits = {r.id: r.simhash for r in forms.collect()}
+    near = lambda i, j: bin((bits[i] ^ bits[j]) & (1 << 64) - 1).count("1")
+    alike = lambda a, b: edits(a, b) <= 20 * max(len(a), len(b)) // 100
+    pairs = [(i, j) for i in root for j in range(i) if near(i, j) <= line_dedup.LOOSE and alike(lines[i], lines[j])]
+    reach = {i: {i} for i in root}
+    for i, j in pairs:
+        joined = reach[i] | reach[j]
+        for k in joined:
+            reach[k] = joined
+    assert all(root[i] == root[j] for i, j in pairs if near(i, j) <= line_dedup.DISTANCE)
+    assert all(i in reach[r] for i, r in root.items()) and len(pairs) > 10
+
+
+def test_line_dedup_of_an_empty_table(spark):
+    assert line_dedup.dedup_lines(spark, spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_simhash_counts_any_number_of_words(spark):
+    rows = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (1, 2, 3, 62, 63, 64, 127, 128, 300)]
+    frame = spark.createDataFrame(rows, "n int, body string")
+    hashes = {r.n: [h & (1 << 64) - 1 for h in r.h] for r in frame.select("n", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    want = {n: sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in own) > n) for n, own in hashes.items()}
+    assert {r.n: r.simhash & (1 << 64) - 1 for r in line_dedup.with_simhash(frame, F.split("body", " ")).collect()} == want
+
+
+def test_language_of_texts_without_letters(spark):
+    rows = [(i, "the cat and the dog" if i % 2 else "der Hund und die Katze", "en" if i % 2 else "de") for i in range(60)] + [(100, "12345", None), (101, "!!!", None), (102, " ", None), (103, None, None), (104, "a", None)]
+    got = {r.doc_id: r for r in language.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all((got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True) for i in (100, 101, 102, 103))
+    assert got[104].lang_pred in ("en", "de")
+    kept = {r.doc_id for r in language.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept & {100, 101, 102, 103} and len(kept) > 50
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    scratch, docs = Scratch(spark, "test"), spark.read.parquet(f"{sf}/documents.parquet")
+    columns, tables = docs.columns, {}
+    for name, stage in pipeline.STAGES:
+        docs = scratch.keep(stage(spark, docs, sf), name)
+        assert name == "bpe" or docs.columns == columns
+        tables[name] = docs.collect()
+    first = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert 0.9 * len(first) < len(tables["language_id"]) <= len(first)
+    forms = Counter(" ".join(re.split(r"[^\w]|_", x.lower())).split().__str__() for r in tables["line_dedup"] for x in (r.text or "").split("\n") if re.search(r"[^\W_]", x))
+    assert not [f for f, n in forms.items() if n > 1 and len(f) > 12]
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text.lower()) for r in tables["line_dedup"]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    similar = lambda i, j: 100 * (n := len(sets[i] & sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - n)
+    left = [r.doc_id for r in tables["ngram_jaccard"]]
+    assert not [1 for i in left for j in left if i < j and i in sets and j in sets and similar(i, j)]
+    assert all(any(similar(i, j) for j in sets if j != i) for i in set(sets) - set(left))
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({65 + i: 97 + i for i in range(26)}))
+    windows = {tuple(w[k : k + 13]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for w in [terms(r.text)] if w for k in range(max(1, len(w) - 12))}
+    sizes, bad = {len(w) for w in windows}, set()
+    for r in tables["ngram_jaccard"]:
+        w = terms(r.text or "")
+        hit = {p for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for p in range(k, k + n)}
+        bad |= {r.doc_id} if hit and 20 * len(hit) >= len(w) else set()
+    assert {r.doc_id for r in tables["decontamination"]} == set(left) - bad
+    tokenizer = bpe._tokenizer(bpe.default_path())
+    ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids for r in tables["decontamination"]}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in tables["bpe"]} == {i: (len(x), sha(",".join(map(str, x)))) for i, x in ids.items()}
+
+
 def test_components_of_a_long_chain(spark):
     path = [1, *range(100, 1, -1)]
     pairs = [*zip(path, path[1:]), (200, 201), (202, 201), (203, 202)]
