@@ -68,6 +68,7 @@ def groups(
     possible: Callable[[str, str], Column],
     narrowed: Callable[[DataFrame], DataFrame],
     linked: Callable[[DataFrame], DataFrame],
+    before: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """id and root of every id that has a link.
 
@@ -81,7 +82,9 @@ def groups(
     values = [c for c in postings.columns if c != "key"]
     others = [c for c in values if c != "id"]
     apart = -1 - F.col("id")
-    sided = lambda frame, side, *more: frame.select("key", *more, *[F.col(c).alias(f"{c}_{side}") for c in [*values, "root"]])
+
+    def sided(frame: DataFrame, side: str, *more) -> DataFrame:
+        return frame.select("key", *more, *[F.col(c).alias(f"{c}_{side}") for c in [*values, "root"]])
 
     def compared(pairs: DataFrame, before: DataFrame | None, label: str) -> tuple[DataFrame, DataFrame]:
         """The new pairs, and those of them that are linked."""
@@ -119,7 +122,11 @@ def groups(
         roots, marked = mixed_keys(links, str(turn))
         if hit < LEAST_HITS * tried:
             break
+    again = F.lit(False)
+    if before:
+        marked, again = before(marked), F.arrays_overlap("before_l", "before_r")
+        values = [*values, "before"]
     rest, every = sided(marked.filter("root <> main"), "l"), sided(marked, "r", "main")
-    pairs = rest.join(every, "key").filter("root_l <> root_r AND (root_r = main OR root_l < root_r)").filter(possible("l", "r"))
+    pairs = rest.join(every, "key").filter("root_l <> root_r AND (root_r = main OR root_l < root_r)").filter(possible("l", "r") & ~again)
     _, found = compared(narrowed(pairs), seen, "cross")
     return roots if found.isEmpty() else components(scratch, links.unionByName(found), "roots-all")

@@ -3,41 +3,45 @@
 Rows are documents with distinct sets, columns are hashed shingles, ordered so
 that frequent ones come last. A row enters the product with its first columns
 only, as many as the size-derived bound needs: two sets that are similar
-enough share one of them. Pairs with leaders and drawn pivots of a column are
-counted in full at once; of the pairs still in different components after
-that, the overlaps of all columns are added up first, and a pair stays only
-while overlap plus what the smaller rest can add reaches the overlap that its
-sizes demand. Links inside a component are not listed: the result has the
-components only, no pairs, overlaps or numbers of links.
+enough share one of them, and all that they share stands behind the first in
+both. Pairs of rows that meet under a column are discarded if their sizes, the
+places of the column, or the number of columns that either shares with any
+other row cannot give the overlap that is needed. Of the rest the overlap is
+added up block by block of columns, and a pair goes as soon as overlap plus the
+smaller rest is too little. Rows are paired with leaders and drawn pivots of a
+column first, and then only with rows of other components. Links inside a
+component are not listed: the result has the components only, no pairs,
+overlaps or numbers of links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ._grams import text_bytes
 from ._groups import groups
 from ._io import table
-from ._scratch import Scratch, join_counted
+from ._scratch import Scratch, bounded_bytes, frequent, join_counted
 from .bpe import arrow_rows
-from .decontamination import bounded
 
 WIDTH = 5
 PERCENT = 75
 #: Counters of the frequency sketch that orders the columns; its size is fixed.
 SKETCH = 1 << 20
-BATCH_ROWS = 2000
-
-
-def shingle_words(text):
-    """Words between ASCII white space, A-Z in lower case; none for null."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(r"[^\x20\x09-\x0D]++"), F.lit(0))
+BATCH_ROWS = 1000
+#: Blocks of columns in which overlaps are added up.
+BLOCKS = 8
+#: Columns before a posting that are looked at for an earlier meeting of two rows.
+BEFORE = 8
+#: Bytes of text that are cut into shingles at once.
+PIECE_BYTES = 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -46,37 +50,85 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 64-bit shingle hashes of every list of words, in order, and their bounds."""
-    import pandas as pd
+#: Random values of bytes; A-Z have those of a-z.
+_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_VALUES[65:91] = _VALUES[97:123]
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0xD1342543DE82EF95
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    found = np.full(n, base & ((1 << 64) - 1), np.uint64)
+    found[:1] = 1
+    return np.cumprod(found, dtype=np.uint64)
 
-    coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
-    word = pd.util.hash_array(names, categorize=False)[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.uint64)
-    offsets = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
-    n = np.diff(offsets)
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between ASCII white space of texts one after the other, A-Z as a-z, and the bounds of each text's words.
+
+    A word's hash is a polynomial of its bytes' values, taken from running
+    sums over all bytes.
+    """
+    n = len(data)
+    inside = ~_BLANK[data]
+    edge = np.zeros(n + 1, bool)  # a text begins
+    edge[offsets[:-1]] = True
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:n]
+    ends = np.empty(n, bool)
+    if n:
+        ends[:-1] = inside[:-1] & (~inside[1:] | edge[1:n])
+        ends[-1] = inside[-1]
+    first, last = np.flatnonzero(start), np.flatnonzero(ends) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[data] * _powers(_BASE, n), out=sums[1:])
+    back = _powers(pow(_BASE, -1, 1 << 64), n + 1)
+    return _mixed((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)), np.searchsorted(first, offsets)
+
+
+def _piece_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    word, bounds = word_hashes(data, offsets)
+    n = np.diff(bounds)
     full = np.zeros(max(0, len(word) - WIDTH + 1), np.uint64)
     for i in range(WIDTH):
         full = _mixed(full + word[i : i + len(full)] + np.uint64(i + 1))
-    owner = np.repeat(np.arange(len(n)), np.maximum(n - WIDTH + 1, 0))
-    starts = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(np.maximum(n - WIDTH + 1, 0))][:-1], np.maximum(n - WIDTH + 1, 0)) + np.repeat(offsets[:-1], np.maximum(n - WIDTH + 1, 0))
-    hashes = full[starts] if len(starts) else np.zeros(0, np.uint64)
+    many = np.maximum(n - WIDTH + 1, 0)
     short = np.flatnonzero((n > 0) & (n < WIDTH))
-    extra = np.zeros(len(short), np.uint64)
-    for k, d in enumerate(short):
-        for i, w in enumerate(word[offsets[d] : offsets[d + 1]]):
-            extra[k : k + 1] = _mixed(extra[k : k + 1] + w + np.uint64(i + 1 + 97 * n[d]))
-    owner, hashes = np.r_[owner, short], np.r_[hashes, extra]
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    keep = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])] if len(owner) else np.zeros(0, bool)
-    owner, hashes = owner[keep], hashes[keep]
-    return hashes, np.searchsorted(owner, np.arange(len(n) + 1))
+    sizes = many.copy()
+    sizes[short] = 1
+    edges = np.r_[0, np.cumsum(sizes)]
+    hashes = np.zeros(edges[-1], np.uint64)
+    owner = np.repeat(np.arange(len(n)), many)
+    hashes[np.arange(len(owner)) + np.repeat(edges[:-1] - np.r_[0, np.cumsum(many)][:-1], many)] = full[np.arange(len(owner)) + np.repeat(bounds[:-1] - np.r_[0, np.cumsum(many)][:-1], many)]
+    for d in short:
+        x = np.zeros(1, np.uint64)
+        for i, w in enumerate(word[bounds[d] : bounds[d + 1]]):
+            x = _mixed(x + w + np.uint64(i + 1 + 97 * n[d]))
+        hashes[edges[d]] = x[0]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        hashes[a:b].sort()
+    keep = np.ones(len(hashes), bool)
+    keep[1:] = hashes[1:] != hashes[:-1]
+    keep[edges[:-1][sizes > 0]] = True
+    return hashes[keep], np.r_[0, np.cumsum(keep)][edges]
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit shingle hashes of every text, in order, and their bounds; texts are read in pieces of some PIECE_BYTES."""
+    data, offsets = text_bytes(texts)
+    found, bounds, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, side="right")) - 1)
+        hashes, edges = _piece_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        bounds.append(bounds[-1][-1] + edges[1:])
+        found.append(hashes)
+        first = last
+    return np.concatenate(found), np.concatenate(bounds)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, _ = shingle_sets(batch.column("words"))
+        hashes, _ = shingle_sets(batch.column("text"))
         found, counts = np.unique(hashes, return_counts=True)
         many = counts >= 2
         cell, counts = (found[many] % np.uint64(SKETCH)).astype(np.int64), counts[many]
@@ -85,13 +137,13 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cell[order][first]), pa.array(counts[order][first].astype(np.int64))], names=["cell", "count"])
 
 
-def frequency_levels(words: DataFrame) -> np.ndarray:
+def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For every cell of the sketch the logarithm of the count of its most frequent shingle.
 
     All documents are counted; a shingle that a batch holds once adds
     nothing, since only the order of columns depends on the levels.
     """
-    rows = words.mapInArrow(_frequent, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
+    rows = docs.select("text").mapInArrow(_frequent, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
     levels = np.zeros(SKETCH, np.uint8)
     levels[rows["cell"].to_numpy()] = np.log2(rows["count"].to_numpy() + 1.0).astype(np.uint8) if len(rows) else 0
     return levels
@@ -100,18 +152,18 @@ def frequency_levels(words: DataFrame) -> np.ndarray:
 def _columns(levels: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, bounds = shingle_sets(batch.column("words"))
+            hashes, bounds = shingle_sets(batch.column("text"))
             sizes = np.diff(bounds)
             sums = np.r_[np.uint64(0), np.cumsum(hashes)]
             others = np.r_[np.uint64(0), np.cumsum(_mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)))]
-            level = levels[(hashes % np.uint64(SKETCH)).astype(np.int64)]
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((hashes, level, owner))
-            needed = -(-PERCENT * sizes // 100)
-            prefix = np.where(sizes > 0, sizes - needed + 1, 0)
-            inside = np.arange(len(hashes)) - bounds[:-1][owner] < prefix[owner]
-            keys = hashes[order][inside].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(keys))
+            # a column's key puts frequent ones last; 56 bits of its hash are enough to look for candidates
+            keys = levels[(hashes % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+            prefix = np.where(sizes > 0, sizes - -(-PERCENT * sizes // 100) + 1, 0)
+            inside = np.zeros(len(keys), bool)
+            for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), prefix.tolist(), strict=True):
+                keys[a:b].sort()
+                inside[a : a + n] = True
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(keys[inside].view(np.int64)))
             f1 = (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
             f2 = (others[bounds[1:]] - others[bounds[:-1]]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -124,64 +176,86 @@ def _columns(levels: np.ndarray):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, bounds = shingle_sets(batch.column("words"))
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "hashes"])
+        hashes, bounds = shingle_sets(batch.column("text"))
+        cell = np.repeat(np.arange(len(batch)), np.diff(bounds)) * BLOCKS + (hashes >> np.uint64(64 - BLOCKS.bit_length() + 1)).astype(np.int64)
+        inner = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(batch) * BLOCKS))].astype(np.int32)
+        blocks = pa.ListArray.from_arrays(pa.array(inner), pa.array(hashes.view(np.int64)))
+        rows = pa.ListArray.from_arrays(pa.array((np.arange(len(batch) + 1) * BLOCKS).astype(np.int32)), blocks)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), rows], names=["id", "blocks"])
+
+
+def similar(x: Column, y: Column, n_x: Column, n_y: Column) -> Column:
+    """Whether two rows, in blocks of columns, have the overlap that their sizes demand.
+
+    The overlap is added up block by block, until what it and the smaller rest
+    can reach is too little.
+    """
+    enough = lambda overlap: (100 + PERCENT) * overlap >= PERCENT * (n_x + n_y)
+    state = lambda overlap, a, b: F.struct(overlap.cast("long").alias("overlap"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+
+    def add(s: Column, i: Column) -> Column:
+        a, b = F.get(x, i), F.get(y, i)
+        return F.when(enough(s["overlap"] + F.least(s["a"], s["b"])), state(s["overlap"] + F.size(F.array_intersect(a, b)), s["a"] - F.size(a), s["b"] - F.size(b))).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), state(F.lit(0), n_x, n_y), add, lambda s: enough(s["overlap"]))
 
 
 def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """rid, doc_id, version, n_shingles, root and component_id of every row of ``docs``; rows of one root are one group."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     with arrow_rows(scratch.spark, BATCH_ROWS):
-        levels = frequency_levels(docs.select(shingle_words(F.col("text")).alias("words")))
-        words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", version.alias("version"), shingle_words(F.col("text")).alias("words"))
-        rows = scratch.keep(words.mapInArrow(_columns(levels), "rid long, doc_id long, version long, n long, f1 long, f2 long, keys array<long>"), "rows")
+        levels = frequency_levels(docs)
+        numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "version", "text")
+        rows = scratch.keep(numbered.mapInArrow(_columns(levels), f"rid long, doc_id {kind}, version long, n long, f1 long, f2 long, keys array<long>"), "rows")
     blank = scratch.keep(rows.filter("n = 0").select("rid", "doc_id", "version", "n"), "blank")
     classes = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("id"), F.min("doc_id").alias("smallest"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
     copies = join_counted(rows.filter("n > 0").select("rid", "doc_id", "version", "n", "f1", "f2"), classes, ["n", "f1", "f2"], "copies", -1 - F.col("rid"))
     copies = scratch.keep(copies.select("rid", "doc_id", "version", "n", "id"), "copies")
     others = copies.filter("rid <> id").select("rid")
-    heads = rows.filter("n > 0").select("rid", "n", "keys").join(bounded(others), "rid", "left_anti")
-    each = heads.select(F.col("rid").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
-    shared = each.withColumn("ids", F.count("*").over(W.partitionBy("key"))).filter("ids > 1").select("key", "id", "n", "pos")
-    shared = scratch.keep(shared, "shared")
+    heads = rows.filter("n > 0").select("rid", "n", "keys").join(others, "rid", "left_anti")
+    each = heads.select(F.col("rid").alias("id"), "n", F.size("keys").alias("columns"), F.posexplode("keys").alias("pos", "key"))
+    often = F.broadcast(frequent(scratch, each.select("key", "id"), "key"))
+    counted = each.join(often, "key", "left_anti").withColumn("ids", F.count("*").over(W.partitionBy("key"))).filter("ids > 1").drop("ids")
+    shared = scratch.keep(counted.unionByName(each.join(often, "key", "left_semi")), "shared")
     scratch.drop("rows")
+    # a set can have no more in common with another than its columns that are shared and those beyond its prefix
+    reach = F.col("n") - F.col("columns") + F.count("*").over(W.partitionBy("id"))
+    shared = scratch.keep(shared.withColumn("reach", reach).drop("columns"), "postings")
+    scratch.drop("shared")
     places = copies.filter("rid = id").select("id", "doc_id", "version", "n")
-    turn = iter(range(100))
+    turn = count()
 
     def possible(left: str, right: str):
         a, b, pa, pb = F.col(f"n_{left}"), F.col(f"n_{right}"), F.col(f"pos_{left}"), F.col(f"pos_{right}")
-        most = F.least(pa, pb) + F.least(a - pa, b - pb)
+        # the first column that two sets share has all others behind it in both
+        most = F.least(a - pa, b - pb, F.col(f"reach_{left}"), F.col(f"reach_{right}"))
         return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * most >= PERCENT * (a + b))
 
-    def narrowed(pairs: DataFrame) -> DataFrame:
-        swap = F.col("id_l") > F.col("id_r")
-        first = lambda c: F.when(swap, F.col(f"{c}_r")).otherwise(F.col(f"{c}_l"))
-        second = lambda c: F.when(swap, F.col(f"{c}_l")).otherwise(F.col(f"{c}_r"))
-        rows = pairs.select(first("id").alias("a"), second("id").alias("b"), first("n").alias("na"), second("n").alias("nb"), first("pos").alias("pa"), second("pos").alias("pb"))
-        sums = rows.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.count("*").alias("overlap"))
-        most = F.col("overlap") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-        return sums.filter((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))
+    def before(postings: DataFrame) -> DataFrame:
+        """Some columns of the row that come before, which two rows that share them meet under."""
+        return postings.withColumn("before", F.collect_list("key").over(W.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1)))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        k = next(turn)
-        n = places.select("id", "n")
+        k, n = next(turn), places.select("id", "n")
         close = pairs.join(n.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
-        close = scratch.keep(close.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b"), f"close{k}")
-        wanted = scratch.keep(close.select(F.col("a").alias("id")).union(close.select("b")).distinct().join(places, "id").select("id", F.col("doc_id").alias("d"), F.col("version").alias("v")), f"wanted{k}")
+        close = scratch.keep(close.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b", "na", "nb"), f"close{k}")
+        wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct().join(places, "id")
+        wanted = scratch.keep(wanted.select("id", F.col("doc_id").alias("d"), F.col("version").alias("v")), f"wanted{k}")
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))
-        texts = docs.withColumn("version", version).join(bounded(wanted), same).dropDuplicates(["id"]).select("id", shingle_words(F.col("text")).alias("words"))
+        texts = docs.join(bounded_bytes(wanted, 128), same).select("id", "text")
         with arrow_rows(scratch.spark, BATCH_ROWS):
-            sets = scratch.keep(texts.mapInArrow(_sets, "id long, hashes array<long>"), f"sets{k}")
-        halves = close.join(sets.withColumnsRenamed({"id": "b", "hashes": "hb"}), "b")
-        leaders = sets.join(close.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("pairs")), "id").withColumnsRenamed({"id": "a", "hashes": "ha"})
+            sets = scratch.keep(texts.mapInArrow(_sets, "id long, blocks array<array<long>>").dropDuplicates(["id"]), f"sets{k}")
+        halves = close.join(sets.withColumnsRenamed({"id": "b", "blocks": "y"}), "b")
+        leaders = sets.join(close.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("pairs")), "id").withColumnsRenamed({"id": "a", "blocks": "x"})
         whole = join_counted(halves, leaders, ["a"], "pairs", -1 - F.col("b"))
-        overlap = F.size(F.array_intersect("ha", "hb"))
-        return whole.filter((100 + PERCENT) * overlap >= PERCENT * (F.size("ha") + F.size("hb"))).select("a", "b")
+        near = scratch.keep(whole.filter(similar(F.col("x"), F.col("y"), F.col("na"), F.col("nb"))).select("a", "b"), f"near{k}")
+        scratch.drop(f"sets{k}")
+        return near
 
-    roots = groups(scratch, shared, possible, narrowed, linked)
+    both = lambda rows: rows.select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
+    roots = groups(scratch, shared, possible, both, linked, before)
     classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("classes"))
     labelled = scratch.keep(join_counted(classes.select("id", "root", "copies"), scratch.keep(smallest, "smallest"), ["root"], "classes", -1 - F.col("id")).select("id", "copies", "root", "component_id"), "labelled")
@@ -212,7 +286,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     gone = scratch.keep(met.filter(other).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct(), "gone")
     repeated = not rows.groupBy("doc_id", "version").count().filter("count > 1").isEmpty()
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_w"))
-    left = keyed.join(bounded(gone), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v")), "left_anti")
+    left = keyed.join(bounded_bytes(gone, 128), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v")), "left_anti")
     return (left.dropDuplicates(["_i", "_w"]) if repeated else left).select("row.*")
 
 
