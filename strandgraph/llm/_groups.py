@@ -24,7 +24,7 @@ PIVOTS = 4
 PIVOT_ROUNDS = 6
 #: Pairs by key that are compared at once rather than after another round.
 FEW_PAIRS = 1_000_000
-LEAST_HITS = 0.02
+LEAST_HITS = 0.1
 
 
 def components(scratch: Scratch, links: DataFrame, label: str) -> DataFrame:
@@ -118,10 +118,10 @@ def groups(
         met = sided(met, "l", F.explode("pivots").alias("p")).select("*", *[F.col(f"p.{c}").alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
         new, found = compared(met.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), seen, f"pivot{turn}")
         seen, links = seen.unionByName(new), links.unionByName(found)
-        tried, hit = new.count(), found.count()
-        roots, marked = mixed_keys(links, str(turn))
-        if hit < LEAST_HITS * tried:
+        if found.count() < LEAST_HITS * new.count():
+            roots = None  # what these links connect is left to the last components
             break
+        roots, marked = mixed_keys(links, str(turn))
     again = F.lit(False)
     if before:
         marked, again = before(marked), F.arrays_overlap("before_l", "before_r")
@@ -129,4 +129,4 @@ def groups(
     rest, every = sided(marked.filter("root <> main"), "l"), sided(marked, "r", "main")
     pairs = rest.join(every, "key").filter("root_l <> root_r AND (root_r = main OR root_l < root_r)").filter(possible("l", "r") & ~again)
     _, found = compared(narrowed(pairs), seen, "cross")
-    return roots if found.isEmpty() else components(scratch, links.unionByName(found), "roots-all")
+    return roots if roots is not None and found.isEmpty() else components(scratch, links.unionByName(found), "roots-all")

@@ -181,7 +181,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(batch) * BLOCKS))].astype(np.int32)
         blocks = pa.ListArray.from_arrays(pa.array(inner), pa.array(hashes.view(np.int64)))
         rows = pa.ListArray.from_arrays(pa.array((np.arange(len(batch) + 1) * BLOCKS).astype(np.int32)), blocks)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), rows], names=["id", "blocks"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds).astype(np.int64)), rows], names=["id", "n", "blocks"])
 
 
 def similar(x: Column, y: Column, n_x: Column, n_y: Column) -> Column:
@@ -238,21 +238,19 @@ def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
         return postings.withColumn("before", F.collect_list("key").over(W.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1)))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        k, n = next(turn), places.select("id", "n")
-        close = pairs.join(n.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
-        close = scratch.keep(close.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b", "na", "nb"), f"close{k}")
-        wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct().join(places, "id")
+        k = next(turn)
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(places, "id")
         wanted = scratch.keep(wanted.select("id", F.col("doc_id").alias("d"), F.col("version").alias("v")), f"wanted{k}")
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))
         texts = docs.join(bounded_bytes(wanted, 128), same).select("id", "text")
         with arrow_rows(scratch.spark, BATCH_ROWS):
-            sets = scratch.keep(texts.mapInArrow(_sets, "id long, blocks array<array<long>>").dropDuplicates(["id"]), f"sets{k}")
-        halves = close.join(sets.withColumnsRenamed({"id": "b", "blocks": "y"}), "b")
-        leaders = sets.join(close.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("pairs")), "id").withColumnsRenamed({"id": "a", "blocks": "x"})
+            sets = scratch.keep(texts.mapInArrow(_sets, "id long, n long, blocks array<array<long>>").dropDuplicates(["id"]), f"sets{k}")
+        if k:
+            scratch.drop(f"sets{k - 1}")  # the links of that call have been kept
+        halves = pairs.join(sets.withColumnsRenamed({"id": "b", "n": "nb", "blocks": "y"}), "b")
+        leaders = sets.join(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("pairs")), "id").withColumnsRenamed({"id": "a", "n": "na", "blocks": "x"})
         whole = join_counted(halves, leaders, ["a"], "pairs", -1 - F.col("b"))
-        near = scratch.keep(whole.filter(similar(F.col("x"), F.col("y"), F.col("na"), F.col("nb"))).select("a", "b"), f"near{k}")
-        scratch.drop(f"sets{k}")
-        return near
+        return whole.filter(similar(F.col("x"), F.col("y"), F.col("na"), F.col("nb"))).select("a", "b")
 
     both = lambda rows: rows.select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
     roots = groups(scratch, shared, possible, both, linked, before)
@@ -291,6 +289,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ngram_jaccard`` of ``documents``: every row with the size of its set and its component; empty sets are alone."""
     return ngram_jaccard(spark, table(spark, sf_dir, "documents"))
 
 
