@@ -193,8 +193,8 @@ def _placed(texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"rid": flat("rid"), "doc_id": flat("doc_id"), "ids": ids})
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """One row per row of ``docs``: rid, doc_id, ids (array<int>).
+def encode(spark: SparkSession, docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """One row per row of ``docs``: rid, doc_id, ids (array<int>), and ``decoded`` (see ``decode``) if asked for.
 
     ``ids`` is what the tokenizers library gives for the whole text with
     add_special_tokens=False; a null or empty text has none. ``rid`` numbers
@@ -217,7 +217,14 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     words = chunks.filter("bucket >= 0").select("chunk", "bucket", "n", "payload")
     coded = words.groupBy("bucket").applyInArrow(_word_encoder(path), ENCODED_WORDS)
     texts = chunks.filter("bucket = -1").select("chunk", "n", "payload", "rid", "doc_id", "sizes")
-    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_placed, "rid long, doc_id long, ids array<int>")
+    schema = "rid long, doc_id long, ids array<int>"
+
+    def spelt(texts: pa.Table, words: pa.Table) -> pa.Table:
+        found = _placed(texts, words)
+        return found.append_column("decoded", _spelt(_whole(found["ids"]), path))
+
+    # decoding in the same worker takes half the memory of two
+    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(spelt if decoded else _placed, schema + ", decoded string" * decoded)
 
 
 @lru_cache(maxsize=2)
@@ -233,6 +240,16 @@ def _pieces(path: str) -> pa.Array:
     return pa.array(pieces, pa.binary())
 
 
+def _spelt(lists: pa.ListArray, path: str) -> pa.Array:
+    """The texts that lists of ids spell, by a join of ids to the table of pieces."""
+    joined = _pieces(path).take(lists.flatten())
+    _, offsets, data = joined.buffers()
+    ends = np.frombuffer(offsets, np.int32)[joined.offset : joined.offset + len(joined) + 1]
+    whole = memoryview(data) if data else memoryview(b"")
+    bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return pa.array([bytes(whole[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with a column ``decoded``: the text that its ``ids`` spell.
 
@@ -243,13 +260,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            joined = _pieces(path).take(lists.flatten())
-            data, ends = joined.buffers()[2], joined.offsets.to_numpy() if hasattr(joined, "offsets") else np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1]
-            whole = memoryview(data) if data else memoryview(b"")
-            bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-            texts = [bytes(whole[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _spelt(batch.column("ids"), path)], names=[*batch.schema.names, "decoded"])
 
     schema = encoded.select("*", F.lit("").alias("decoded")).schema
     return encoded.mapInArrow(look_up, schema)
@@ -265,7 +276,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, path: str | None = N
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path = path or default_path()
     scratch = Scratch(spark, "bpe")
-    done = decode(encode(spark, docs, path), path).select(
+    done = encode(spark, docs, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
@@ -276,4 +287,5 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, path: str | None = N
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_and_decode`` of ``documents``: every row; null and empty texts have no token."""
     return encode_and_decode(spark, table(spark, sf_dir, "documents"))
