@@ -30,14 +30,14 @@ DIMENSION = 16
 #: Labelled rows that the model is fitted on, at most; a fifth of them calibrate it.
 SAMPLE_ROWS = 3000
 #: Bytes that are turned into subwords at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: Share of the rightly judged calibration texts that lie below each level of rejection.
 TAIL = 0.005
 
 
 def letters(text: Column) -> Column:
-    """The words of a text in lower case, between single spaces; a space alone if it has no letters."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "), F.lit(" "))
+    """The words of a text in lower case, between single spaces; two spaces if it has no letters."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
 def _counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -221,4 +221,5 @@ def accepted(docs: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify`` of ``documents``: every row; texts without a letter are ``und``."""
     return identify(spark, table(spark, sf_dir, "documents"))
