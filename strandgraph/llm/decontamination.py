@@ -179,6 +179,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, windo
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``decontaminate`` of ``documents`` against ``benchmark``: every row with its hits; null texts have no words."""
     return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
 
 

@@ -117,6 +117,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_B
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``exact_dedup`` of ``documents``: every row, of equal texts the one with the largest doc_id stays; null counts as empty."""
     return exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 

@@ -35,7 +35,8 @@ from .line_dedup import version_of
 FORMAT_DRAWS = 12
 #: Spans up to which they are broadcast to the documents.
 BROADCAST_SPANS = 500_000
-DEFAULT_KEY = "surrogates"
+#: The setting that holds the key of the query, and the key where it is unset: surrogates of a known key can be searched for.
+KEY_SETTING, DEFAULT_KEY = "spark.strandgraph.pii.key", "surrogates"
 
 TITLES = r"Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Madame|Monsieur|Mme|Señora|Señor|Sra|Sr|г-жа|г-н|κ\."
 NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
@@ -272,7 +273,7 @@ def surrogates(scratch: Scratch, found: DataFrame, key: str) -> DataFrame:
             return settled
 
 
-def replace(spark: SparkSession, docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def replace(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_entities, text with surrogates, entities.
 
     ``entities`` lists start, end, kind in the original text. A null text
@@ -313,4 +314,5 @@ def replace(spark: SparkSession, docs: DataFrame, key: str = DEFAULT_KEY) -> Dat
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(spark, table(spark, sf_dir, "documents"))
+    """``replace`` of ``documents``, keyed by the setting KEY_SETTING: every row, null texts stay null."""
+    return replace(spark, table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, DEFAULT_KEY))

@@ -82,6 +82,7 @@ def shard(spark: SparkSession, docs: DataFrame, weights: dict[int, float], grown
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shard`` of ``documents`` over 24 even shards by key, and with one more; null texts have no bytes, null doc_ids one shard."""
     even = dict.fromkeys(range(SHARDS), 1.0)
     return shard(spark, table(spark, sf_dir, "documents"), even, even | {SHARDS: 1.0})
 

@@ -371,6 +371,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, scratch: Scratch | No
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ``dedup_substrings`` of ``documents``: every row; null counts as empty."""
     scratch = Scratch(spark, "suffix-dedup")
     found = dedup_substrings(spark, table(spark, sf_dir, "documents"), scratch).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     with arrow_rows(spark, BATCH_ROWS):

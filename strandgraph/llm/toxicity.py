@@ -195,4 +195,5 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``toxicity`` of ``documents``, learnt from ``labels``: every row with a score; texts without a sentence score 0."""
     return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
