@@ -9,8 +9,13 @@ from strandgraph.llm._io import table
 from strandgraph.llm._scratch import Scratch
 
 
+#: Rows that cross to Python at once, in stages that leave their plan to the caller.
+BATCH_ROWS = 1000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return language.accepted(docs)
 
 
