@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, binary_output, bpe, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, pii, sharding, suffix_dedup, toxicity
+from . import alignment, binary_output, bpe, collocations, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, pii, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_binary_output": binary_output.op11_binary_output,
         "op12_alignment": alignment.op12_alignment,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_sharding": sharding.ORACLE,
         "op4_decontamination": decontamination.ORACLE,
         "op6_ngram_jaccard": ngram_jaccard.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
