@@ -36,6 +36,28 @@ def last_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_by(rows, keys, [F.col(c).desc() for c in order])
 
 
+def merge_checked(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row for each key: its values if all its rows have the same, else nulls; ``rows`` in number, and ``conflict``.
+
+    Two ends of an order tell whether values differ, so no group is collected;
+    nulls are values like any other.
+    """
+    value = F.struct(*values)
+    met = rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("rows"))
+    conflict = ~F.col("_low").eqNullSafe(F.col("_high"))
+    return met.select(*keys, *[F.when(~conflict, F.col("_low")[v]).alias(v) for v in values], "rows", conflict.alias("conflict"))
+
+
+def merged_writes(existing: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plans to write files (path, new, data) of both sets, one for each path, and the paths for which they disagree.
+
+    Paths are compared without ``.`` and doubled separators. Equal plans are one.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "/(\\.?/)+", "/"), r"^(\./)+", ""), "/$", "")
+    whole = merge_checked(existing.unionByName(more).withColumn("path", clean), ["path"], ["new", "data"])
+    return whole.filter("NOT conflict").select("path", "new", "data"), whole.filter("conflict").select("path")
+
+
 def all_identifiers(identifiers: DataFrame) -> DataFrame:
     """The first observation of each id."""
     return first_by(identifiers, ["id"], observed())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import IMPACT_DEPTH
+from .ranges import meeting
 from .storage import cut
 from .traverse import _both_ways
 
@@ -27,9 +28,8 @@ def indexed_changes(changes: DataFrame, entities: DataFrame) -> DataFrame:
 
 def touched_spans(spans: DataFrame, hunks: DataFrame, keys: list[str]) -> DataFrame:
     """Spans (line, end_line) that a hunk (new_start, new_lines) with the same keys meets; empty hunks meet none."""
-    used = hunks.filter("new_lines > 0").select(*keys, "new_start", (F.col("new_start") + F.col("new_lines") - 1).alias("new_end"))
-    met = spans.join(used, keys).filter("line <= new_end AND end_line >= new_start")
-    return met.select(*spans.columns).distinct()
+    used = hunks.filter("new_lines > 0").select(*keys, F.col("new_start").alias("first"), (F.col("new_start") + F.col("new_lines") - 1).alias("last"))
+    return meeting(spans, used, keys)
 
 
 def _reason(kind: str, **parts: Column) -> Column:
@@ -85,9 +85,14 @@ def kind_rank(kind: Column) -> Column:
     return F.when(kind == "spec", 0).when(kind == "test", 1).when(kind == "contract", 2).when(kind == "component", 3).otherwise(4)
 
 
+def evidence_paths(start: DataFrame) -> DataFrame:
+    """The paths of all evidence that changed, as rows; every warning of ``unchanged_specs`` is about all of them."""
+    return start.filter("evidence AND reason.path IS NOT NULL").select(F.col("reason.path").alias("evidence_path")).distinct()
+
+
 def unchanged_specs(items: DataFrame, changes: DataFrame, start: DataFrame) -> DataFrame:
-    """Queued SPECs whose own file did not change while evidence did: id, path and all evidence paths."""
+    """Queued SPECs whose own file did not change while evidence did: id and path; none if no evidence changed."""
     paths = changes.select("path").union(changes.filter("old_path IS NOT NULL").select("old_path")).distinct()
-    evidence = start.filter("evidence AND reason.path IS NOT NULL").agg(F.array_sort(F.collect_set("reason.path")).alias("evidence_paths")).filter(F.size("evidence_paths") > 0)
     quiet = items.filter("kind = 'spec' AND owner_path IS NOT NULL").join(paths.withColumnRenamed("path", "owner_path"), "owner_path", "left_anti")
-    return quiet.select("id", F.col("owner_path").alias("path")).crossJoin(F.broadcast(evidence))
+    any_ = evidence_paths(start).limit(1).select(F.lit(True).alias("_any"))
+    return quiet.select("id", F.col("owner_path").alias("path"), F.lit(True).alias("_any")).join(any_, "_any", "left_semi").drop("_any")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import ids
 from ..schemas import EXCERPT_BYTES, EXCERPTS_BYTES, RECORD_BYTES, REVIEW_ROOTS_MAX
 from . import traverse
+from .ranges import running_sum
 
 
 def declaration_evidence(reached: DataFrame, declarations: DataFrame, annotations: DataFrame, files: DataFrame) -> DataFrame:
@@ -41,10 +41,9 @@ def declaration_evidence(reached: DataFrame, declarations: DataFrame, annotation
 
 
 def running_budget(rows: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
-    """``rows`` with ``emitted``: the bytes that the budget of the group leaves for each, by a window."""
-    before = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.least(F.lit(EXCERPT_BYTES), F.col(size))).over(before), F.lit(0))
-    return rows.withColumn("emitted", F.greatest(F.lit(0), F.least(F.lit(EXCERPT_BYTES), F.col(size), EXCERPTS_BYTES - used)))
+    """``rows`` with ``emitted``: the bytes that the budget of the group leaves for each, in the order given."""
+    spent = running_sum(rows, group, order, F.least(F.lit(EXCERPT_BYTES), F.col(size)))
+    return spent.withColumn("emitted", F.greatest(F.lit(0), F.least(F.lit(EXCERPT_BYTES), F.col(size), EXCERPTS_BYTES - F.col("before")))).drop("before")
 
 
 def canonical(found: DataFrame, records: DataFrame) -> DataFrame:

@@ -57,16 +57,47 @@ def trace(roots: DataFrame, relations: DataFrame, entities: DataFrame, depth: in
     return reached, found.select("root_id", *relations.columns, "depth", F.when(F.col("way") == 0, F.lit("outbound")).otherwise(F.lit("inbound")).alias("direction"))
 
 
-def _core(edges: DataFrame) -> tuple[DataFrame, int]:
-    """The edges that are left when those that start where none ends, or end where none starts, go again and again."""
-    left = edges.count()
-    while left:
-        starts, ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
-        edges = cut(edges.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"))
-        before, left = left, edges.count()
-        if left == before:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges without those that start where none ends, or end where none starts."""
+    starts, ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+    return edges.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst")
+
+
+def _followed(edges: DataFrame) -> DataFrame | None:
+    """Nodes that one edge enters and one leaves, each with the end of its path: id, ptr, low, last.
+
+    ``ptr`` is the node behind the path, and ``last`` the last node of it. On
+    a ring of such nodes ``ptr`` stays on the ring, and ``low`` is its smallest
+    id. Pointers double their reach in every round, so a path of n nodes
+    takes log2(n) rounds.
+    """
+    leave = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("ptr")).filter("n = 1").select(F.col("src").alias("id"), "ptr")
+    enter = edges.groupBy("dst").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("dst").alias("id"))
+    path = cut(leave.join(enter, "id", "left_semi").select("id", "ptr", F.col("id").alias("low"), F.col("id").alias("last")))
+    size, reach = path.count(), 1
+    if not size:
+        return None
+    while reach <= size:
+        ahead = path.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"), F.col("last").alias("_last"))
+        moved = path.join(ahead, "ptr", "left").select("id", F.coalesce("_ptr", "ptr").alias("ptr"), F.least("low", "_low").alias("low"), F.coalesce("_last", "last").alias("last"), F.col("_ptr").isNotNull().alias("moved"))
+        path, reach = cut(moved), reach * 2
+        if path.filter("moved").isEmpty():
             break
-    return edges, left
+    return path.drop("moved")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """The edges with an edge in place of each path, the edges that stand for paths (src, dst, via), their nodes (via, id), and rings (id, label)."""
+    path = _followed(edges)
+    if path is None:
+        return None
+    onward = path.join(path.select(F.col("id").alias("ptr")), "ptr", "left_semi")
+    rings = onward.select("id", F.col("low").alias("label"))
+    open_ = path.join(path.select(F.col("id").alias("ptr")), "ptr", "left_anti")
+    bare = edges.join(path.select(F.col("id").alias("src")), "src", "left_anti")
+    entered = bare.join(path.select(F.col("id").alias("dst"), "ptr", "last"), "dst", "left")
+    entered = cut(entered.select("src", F.coalesce("ptr", "dst").alias("dst"), F.col("last").alias("via")))
+    return cut(entered.filter("src <> dst").select("src", "dst").distinct()), entered.filter("via IS NOT NULL"), open_.select(F.col("last").alias("via"), "id"), cut(rings)
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -80,34 +111,58 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
+def _led_both_ways(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that reach, and are reached by, the smallest id that reaches them (id, label), and the edges between the others."""
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    labels = _spread(edges, nodes.withColumn("label", F.col("id")))
+    inside = edges.join(labels.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(labels.withColumnsRenamed({"id": "dst", "label": "b"}), "dst").filter("a = b")
+    back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    # against the edges, the label itself spreads to the nodes that reach it
+    roots = labels.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label"))
+    ring = _spread_known(back, roots).filter("label IS NOT NULL")
+    rest = edges.join(ring.select(F.col("id").alias("src")), "src", "left_anti").join(ring.select(F.col("id").alias("dst")), "dst", "left_anti")
+    several = ring.groupBy("label").count().filter("count > 1").select("label")
+    return cut(ring.join(several, "label", "left_semi").select("id", "label")), cut(rest.select("src", "dst"))
+
+
 def cycles(links: DataFrame) -> DataFrame:
     """The nodes of ``links`` (src, dst) that reach themselves, in any number of steps: id, cycle, members.
 
     ``cycle`` is the smallest id of the nodes that reach each other, and
-    ``members`` their number. Nodes that lie on no path between cycles are cut
-    off first. Of the rest, a node takes the smallest id that reaches it; the
-    nodes that reach this id in turn make a cycle with it. They are taken out,
-    and the rest goes on, so there is no limit to the length of a cycle, and
-    no list of all pairs that reach each other.
+    ``members`` their number. Paths of nodes that one edge enters and one
+    leaves become single edges, and what lies on no way between cycles goes,
+    again and again, so rings, paths and trees take a number of rounds that
+    grows as the logarithm of their size. In what is left, a node takes the
+    smallest id that reaches it; the nodes that reach this id in turn make a
+    cycle with it. At last the nodes of a path belong to a cycle if both its
+    ends do. There is no limit to the length of a cycle, and no list of all
+    pairs that reach each other.
     """
-    own = links.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")).distinct()
-    edges, left = _core(cut(links.filter("src <> dst").select("src", "dst").distinct()))
-    found = cut(own)
+    pairs = cut(links.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    edges, levels = pairs.filter("src <> dst"), []
+    labels = pairs.filter("src <> dst").select(F.col("src").alias("id"), F.col("src").alias("label")).limit(0)
+    left = edges.count()
     while left:
-        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-        labels = _spread(edges, nodes.withColumn("label", F.col("id")))
-        inside = edges.join(labels.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(labels.withColumnsRenamed({"id": "dst", "label": "b"}), "dst").filter("a = b")
-        back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        # against the edges, the label itself spreads to the nodes that reach it
-        roots = labels.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label"))
-        reached = _spread_known(back, roots)
-        ring = reached.filter("label IS NOT NULL").select("id", F.col("label").alias("cycle"))
-        several = ring.groupBy("cycle").count().filter("count > 1").select("cycle")
-        found = cut(found.unionByName(ring.join(several, "cycle", "left_semi").select("id", "cycle")))
-        rest = edges.join(ring.select(F.col("id").alias("src")), "src", "left_anti").join(ring.select(F.col("id").alias("dst")), "dst", "left_anti")
-        edges, left = _core(cut(rest.select("src", "dst")))
-    named = found.groupBy("id").agg(F.min("cycle").alias("cycle"))
-    return named.join(named.groupBy("cycle").agg(F.count("*").alias("members")), "cycle").select("id", "cycle", "members")
+        short = _contracted(edges)
+        if short:
+            edges, ways, nodes, rings = short
+            levels.append((ways, nodes))
+            labels = labels.unionByName(rings)
+        edges = cut(_trimmed(edges))
+        before, left = left, edges.count()
+        if left == before:
+            found, edges = _led_both_ways(edges)
+            labels, left = labels.unionByName(found), edges.count()
+    for ways, nodes in reversed(levels):
+        labels = cut(labels)
+        turns = ways.filter("src = dst").select(F.col("src").alias("id")).distinct().join(labels, "id", "left_anti")
+        labels = labels.unionByName(turns.select("id", F.col("id").alias("label")))
+        held = ways.join(labels.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(labels.withColumnsRenamed({"id": "dst", "label": "b"}), "dst").filter("a = b")
+        labels = labels.unionByName(nodes.join(held.select("via", F.col("a").alias("label")), "via").select("id", "label"))
+    own = pairs.filter("src = dst").select(F.col("src").alias("id")).join(labels, "id", "left_anti")
+    labels = cut(labels.unionByName(own.select("id", F.col("id").alias("label"))))
+    named = labels.groupBy("label").agg(F.min("id").alias("cycle"), F.count("*").alias("members"))
+    return labels.join(named, "label").select("id", "cycle", "members")
 
 
 def _spread_known(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,6 +183,6 @@ def hops(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     frontier = reached
     for level in range(1, depth + 1):
         new = frontier.select("root_id", F.col("id").alias("src")).join(ways, "src").select("root_id", F.col("dst").alias("id")).distinct()
-        frontier = new.join(reached.select("root_id", "id"), ["root_id", "id"], "left_anti").withColumn("depth", F.lit(level))
+        frontier = cut(new.join(reached.select("root_id", "id"), ["root_id", "id"], "left_anti").withColumn("depth", F.lit(level)))
         reached = reached.unionByName(frontier)
     return reached

@@ -36,10 +36,10 @@ WITH i AS (
   SELECT 'SPEC-ORD-' || o_orderkey AS id, 'SPEC' AS type, 'docs/p' || (o_custkey % 20) || '/spec.md' AS source, (o_orderkey % 997 + 1)::INT AS line,
          CASE WHEN o_orderkey % 3 <> 0 THEN 'TEST-LINE-' || o_orderkey END AS link, NULL AS dep, 'doc' AS origin, 'ORD' AS namespace,
          CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'planned' END AS status, 'spec' AS document_role, NULL AS kind, FALSE AS derived FROM orders
-  UNION ALL SELECT 'SPEC-ORD-' || o_orderkey, 'SPEC', 'docs/copy/spec.md', 7, NULL, NULL, 'doc', 'ORD', NULL, 'spec', NULL, FALSE FROM orders WHERE o_orderkey % 50 = 0
+  UNION ALL SELECT 'SPEC-ORD-' || o_orderkey, 'SPEC', 'docs/copy/spec.md', 7, NULL, NULL, 'doc', 'ORD', NULL, 'spec', NULL, FALSE FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
   UNION ALL SELECT 'TEST-LINE-' || l_orderkey, 'TEST', 'docs/p' || (l_orderkey % 20) || '/testing.md', (l_orderkey % 991 + 1)::INT,
          CASE WHEN l_orderkey % 5 <> 0 THEN 'SPEC-ORD-' || l_orderkey END, NULL, 'doc', 'LINE', CASE WHEN count(*) > 2 THEN 'active' ELSE 'planned' END, 'testing',
-         CASE WHEN min(l_linestatus) = 'F' THEN 'behavior' ELSE 'contract' END, FALSE FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey
+         CASE WHEN min(l_linestatus) = 'F' THEN 'behavior' ELSE 'contract' END, FALSE FROM lineitem GROUP BY l_orderkey HAVING max(l_quantity) > 25
   UNION ALL SELECT CASE l_returnflag WHEN 'R' THEN 'TEST-LINE-' ELSE 'SPEC-ORD-' END || l_orderkey, CASE l_returnflag WHEN 'R' THEN 'TEST' ELSE 'SPEC' END,
          'src/s' || (l_suppkey % 10) || '.go', l_linenumber::INT, NULL, NULL, 'code', NULL, NULL, NULL,
          CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'contract' ELSE 'behavior' END END, FALSE FROM lineitem WHERE l_returnflag <> 'N'
@@ -79,8 +79,8 @@ def identifiers(spark: SparkSession, sf: str) -> DataFrame:
     spec = {"id": text("SPEC-ORD-", key), "type": F.lit("SPEC"), "origin": F.lit("doc"), "namespace": F.lit("ORD"), "document_role": F.lit("spec")}
     state = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "planned")
     specs = made(o, **spec, source=F.concat(text("docs/p", F.col("o_custkey") % 20), F.lit("/spec.md")), line=(key % 997 + 1).cast("int"), link=F.when(key % 3 != 0, text("TEST-LINE-", key)), status=state)
-    copies = made(o.filter(key % 50 == 0), **spec, source=F.lit("docs/copy/spec.md"), line=F.lit(7))
-    each = lines.filter(custom % 4 != 0).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_linestatus").alias("s"))
+    copies = made(o.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"), **spec, source=F.lit("docs/copy/spec.md"), line=F.lit(7))
+    each = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_linestatus").alias("s"), F.max("l_quantity").alias("m")).filter("m > 25")
     tests = made(
         each, id=text("TEST-LINE-", custom), type=F.lit("TEST"), origin=F.lit("doc"), namespace=F.lit("LINE"), document_role=F.lit("testing"),
         source=F.concat(text("docs/p", custom % 20), F.lit("/testing.md")), line=(custom % 991 + 1).cast("int"), link=F.when(custom % 5 != 0, text("SPEC-ORD-", custom)),
@@ -285,14 +285,14 @@ def e17_review_queue(spark, sf):
 
 @query("""
 SELECT DISTINCT o_orderkey AS name, 'c' || (o_custkey % 200) AS path, (o_orderkey % 1000)::INT AS line, (o_orderkey % 1000 + 5)::INT AS end_line FROM orders
-JOIN lineitem ON l_suppkey % 200 = o_custkey % 200 AND l_linenumber % 3 > 0 AND l_partkey % 20 = 0
+JOIN lineitem ON l_suppkey % 200 = o_custkey % 200 AND l_linenumber % 3 > 0
 WHERE o_orderkey % 1000 <= l_orderkey % 1000 + l_linenumber % 3 - 1 AND o_orderkey % 1000 + 5 >= l_orderkey % 1000
 """)
 def e18_touched_spans(spark, sf):
     """Spans that a change meets; changes without lines meet none."""
     key = F.col("o_orderkey")
     spans = read(spark, sf, "orders").select(key.alias("name"), F.concat(F.lit("c"), (F.col("o_custkey") % 200).cast("string")).alias("path"), (key % 1000).cast("int").alias("line"), (key % 1000 + 5).cast("int").alias("end_line"))
-    hunks = read(spark, sf, "lineitem").filter("l_partkey % 20 = 0").select(F.concat(F.lit("c"), (F.col("l_suppkey") % 200).cast("string")).alias("path"), (F.col("l_orderkey") % 1000).alias("new_start"), (F.col("l_linenumber") % 3).alias("new_lines"))
+    hunks = read(spark, sf, "lineitem").select(F.concat(F.lit("c"), (F.col("l_suppkey") % 200).cast("string")).alias("path"), (F.col("l_orderkey") % 1000).alias("new_start"), (F.col("l_linenumber") % 3).alias("new_lines"))
     return impact.touched_spans(spans, hunks, ["path"])
 
 
@@ -317,16 +317,17 @@ def e20_indexed_changes(spark, sf):
 
 
 @query("""
-SELECT 'SPEC-ORD-' || o_orderkey AS id, 'p' || (o_custkey % 40) AS path, list_aggregate(list_sort(list_distinct((SELECT list('s' || (l_suppkey % 7)) FROM lineitem WHERE l_linenumber = 3))), 'string_agg', ',') AS evidence
-FROM orders WHERE o_orderkey % 10 = 1 AND 'p' || (o_custkey % 40) NOT IN (SELECT 'p' || (c_custkey % 30) FROM customer)
+SELECT 'SPEC-ORD-' || o_orderkey AS id, 'p' || (o_custkey % 40) AS path, (SELECT count(DISTINCT l_suppkey % 7) FROM lineitem WHERE l_linenumber = 3)::BIGINT AS evidence
+FROM orders WHERE 'p' || (o_custkey % 40) NOT IN (SELECT 'p' || (c_custkey % 30) FROM customer)
 """)
 def e21_unchanged_specs(spark, sf):
     """Queued SPECs whose file did not change while evidence did."""
     text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
-    items = read(spark, sf, "orders").filter("o_orderkey % 10 = 1").select(text("SPEC-ORD-", F.col("o_orderkey")).alias("id"), F.lit("spec").alias("kind"), text("p", F.col("o_custkey") % 40).alias("owner_path"))
+    items = read(spark, sf, "orders").select(text("SPEC-ORD-", F.col("o_orderkey")).alias("id"), F.lit("spec").alias("kind"), text("p", F.col("o_custkey") % 40).alias("owner_path"))
     changes = read(spark, sf, "customer").select(text("p", F.col("c_custkey") % 30).alias("path"), F.lit(None).cast("string").alias("old_path"))
     start = read(spark, sf, "lineitem").filter("l_linenumber = 3").select(F.lit("x").alias("id"), impact._reason("changed_occurrence", path=text("s", F.col("l_suppkey") % 7)).alias("reason"), F.lit(True).alias("evidence"))
-    return impact.unchanged_specs(items, changes, start).select("id", "path", F.array_join("evidence_paths", ",").alias("evidence"))
+    paths = impact.evidence_paths(start).agg(F.count("*").alias("evidence"), F.lit(True).alias("one"))
+    return impact.unchanged_specs(items, changes, start).withColumn("one", F.lit(True)).join(paths, "one").select("id", "path", "evidence")
 
 
 @query("""
@@ -343,7 +344,7 @@ def e22_evidence_budget(spark, sf):
 FINDINGS = """
 WITH f AS (
   SELECT 'error' AS severity, 'orphan-detection' AS rule, 'SPEC-ORD-' || o_orderkey || ' has no line' AS message, 'docs/p' || (o_custkey % 20) || '/spec.md:' || (o_orderkey % 9 + 1) AS source,
-         CASE WHEN o_orderkey % 2 = 0 THEN 'SPEC-ORD-' || o_orderkey END AS link, NULL AS code FROM orders WHERE o_orderkey % 7 = 0
+         CASE WHEN o_orderkey % 2 = 0 THEN 'SPEC-ORD-' || o_orderkey END AS link, NULL AS code FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT 'warning', 'doc_path-missing', 'in debt', 'docs/c' || (c_custkey % 5), NULL, 'TEST-C-' || c_custkey FROM customer WHERE c_acctbal < 0
 )
 """
@@ -352,7 +353,7 @@ WITH f AS (
 def findings(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
     key, own = F.col("o_orderkey"), F.col("c_custkey")
-    one = read(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(*rules.finding("error", "orphan-detection", text("SPEC-ORD-", key, " has no line"), text("docs/p", F.col("o_custkey") % 20, "/spec.md:", key % 9 + 1), F.when(key % 2 == 0, text("SPEC-ORD-", key))))
+    one = read(spark, sf, "orders").filter("o_orderstatus = 'P'").select(*rules.finding("error", "orphan-detection", text("SPEC-ORD-", key, " has no line"), text("docs/p", F.col("o_custkey") % 20, "/spec.md:", key % 9 + 1), F.when(key % 2 == 0, text("SPEC-ORD-", key))))
     two = read(spark, sf, "customer").filter("c_acctbal < 0").select(*rules.finding("warning", "doc_path-missing", F.lit("in debt"), text("docs/c", own % 5), None, text("TEST-C-", own)))
     return one.unionByName(two)
 
@@ -672,7 +673,7 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
     key, n = F.col("l_orderkey"), F.col("l_linenumber")
     kind = F.when(F.col("l_returnflag") == "N", "implement").when(F.col("l_returnflag") == "R", "test").otherwise("test-contract")
     ref = F.when(key % 9 == 0, "bad").when(F.col("l_returnflag") == "N", F.concat(F.lit("SPEC-A-"), key.cast("string"))).otherwise(F.concat(F.lit("TEST-A-"), key.cast("string")))
-    return read(spark, sf, "lineitem").filter("l_partkey % 5 = 0").select(
+    return read(spark, sf, "lineitem").select(
         F.concat(F.lit("f"), (key % 30).cast("string")).alias("path"), kind.alias("kind"), F.concat(F.lit("@"), kind).alias("prefix"), F.when(key % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(ref)).alias("refs"),
         (n + 1).alias("line"), (key % 6 != 0).alias("attached"), F.concat(F.lit("d"), key.cast("string")).alias("declaration"), (key % 100 + 1).cast("int").alias("declaration_line"), (key % 10 != 0).alias("has_separator"), (key % 12 == 1).alias("ignored"),
     )
@@ -681,7 +682,7 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
 ANNOTATIONS = """
 WITH a AS (
   SELECT 'f' || (l_orderkey % 30) AS path, CASE l_returnflag WHEN 'N' THEN 'implement' WHEN 'R' THEN 'test' ELSE 'test-contract' END AS kind, l_orderkey AS k, l_linenumber + 1 AS line, l_orderkey % 6 <> 0 AS attached,
-         l_orderkey % 12 = 1 AS ignored, 'd' || l_orderkey AS d, l_orderkey % 100 + 1 AS dl FROM lineitem WHERE l_partkey % 5 = 0
+         l_orderkey % 12 = 1 AS ignored, 'd' || l_orderkey AS d, l_orderkey % 100 + 1 AS dl FROM lineitem
 )
 """
 

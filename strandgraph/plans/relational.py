@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import globs, ids
-from ..operators import graph, traverse
+from ..operators import graph, paths, ranges, traverse
 from ..sources.relational import declarations, read, ref, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,10 +364,9 @@ SELECT doc_id, greatest(0, least(8000, 64000 - before))::BIGINT AS emitted FROM
 """)
 def d28_running_budget(spark, sf):
     """A budget of bytes that runs down over each source's documents."""
-    before = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
     rows = read(spark, sf, "documents").select("doc_id", "source", F.least(F.lit(8000), F.octet_length("text")).alias("n"))
-    used = F.coalesce(F.sum("n").over(before), F.lit(0))
-    return rows.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(8000), 64000 - used)).cast("long").alias("emitted"))
+    spent = ranges.running_sum(rows, "source", ["doc_id"], F.col("n"))
+    return spent.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(8000), 64000 - F.col("before"))).cast("long").alias("emitted"))
 
 
 @query("""
@@ -409,9 +408,8 @@ def d32_longest_prefix(spark, sf):
     host = pages.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root"))
     deeper = pages.select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)", 1).alias("root"))
     roots = host.union(deeper).filter("root <> ''").distinct()
-    parts = F.split("url", "/")
-    each = pages.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("root"))
-    return each.join(roots, "root").groupBy("page_id").agg(F.max(F.length("root")).cast("int").alias("n"))
+    found = paths.deepest(pages.select(F.col("url").alias("path")), roots)
+    return pages.join(found.withColumnRenamed("path", "url"), "url").select("page_id", F.length("root").cast("int").alias("n"))
 
 
 @query("""

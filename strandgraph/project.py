@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import globs
+from .functions import dialects
 from .operators import graph, impact, review, rules
 from .operators.storage import cut
 from .sources import code, git, markdown
@@ -17,9 +17,9 @@ class Project:
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None) -> None:
         self.spark, self.root, self.config = spark, root, config or discover(root)
-        docs = cut(markdown.files(spark, f"file://{root}", "*.md", self.config.ignore))
+        docs = cut(markdown.files(spark, f"file://{root}", "*.md", self.config.docs_ignore))
         sources = markdown.files(spark, f"file://{root}", "*.{%s}" % ",".join(code.LANGUAGES), self.config.ignore)
-        sources = cut(sources.filter(globs.matches(F.col("path"), self.config.code_patterns)))
+        sources = cut(sources.filter(dialects.matches(F.col("path"), self.config.code_patterns, "sources")))
         records = cut(markdown.records(docs))
         parsed = cut(code.parsed(sources, self.config.annotations))
         declarations, annotations = code.declarations(parsed), cut(code.annotations(parsed))
@@ -41,7 +41,7 @@ class Project:
             found = rules.validate(self.spark, self.facts, self.config.switches)
             units = [(u.package, u.patterns) for u in self.config.units]
             sources = self.facts["files"].select("path")
-            found = found.unionByName(rules.unit_mapping(sources, units)).unionByName(rules.unmirrored_docs(self.facts["paths"], sources, units))
+            found = found.unionByName(rules.unit_mapping(sources, units)).unionByName(rules.unmirrored_docs(self.facts["paths"], sources, units, self.config.docs_ignore))
             self._findings = cut(found.unionByName(rules.notices(self.spark, self.config)))
         return self._findings
 

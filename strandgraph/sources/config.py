@@ -29,6 +29,7 @@ class Config:
     doc_patterns: list[str] = field(default_factory=lambda: ["docs/**/*.md"])
     code_patterns: list[str] = field(default_factory=lambda: ["**/*"])
     ignore: list[str] = field(default_factory=lambda: [".git/**", "node_modules/**", "vendor/**"])
+    docs_ignore: list[str] = field(default_factory=lambda: [".git/**", "node_modules/**", "vendor/**"])
     annotations: dict[str, str] = field(default_factory=lambda: {"implement": "@implement", "test": "@test", "test_contract": "@test-contract"})
     units: list[Unit] = field(default_factory=list)
     switches: dict[str, bool] = field(default_factory=lambda: dict(SWITCHES))
@@ -48,6 +49,7 @@ def load(path: str) -> Config:
     config.doc_patterns = docs.get("patterns") or config.doc_patterns
     config.code_patterns = code.get("patterns") or config.code_patterns
     config.ignore = code.get("ignore_paths") or config.ignore
+    config.docs_ignore = docs.get("ignore_paths") or config.docs_ignore
     config.annotations |= raw.get("annotations") or {}
     config.units = [Unit(u.get("package", ""), list(u.get("patterns") or [])) for u in docs.get("units") or []]
     config.switches |= raw.get("rules") or {}
@@ -96,15 +98,13 @@ def discover(root: str, explicit: str | None = None) -> Config:
 
 
 def docs_roots(config: Config) -> list[str]:
-    """The literal beginning of each document pattern, up to a ``docs`` segment."""
-    roots = []
+    """The folders called ``docs`` that document patterns lie in: of the literal beginning of a pattern, the deepest; none for other patterns."""
+    roots = set()
     for pattern in config.doc_patterns:
-        parts = []
-        for part in pattern.split("/"):
-            if re.search(r"[*?\[{]", part):
-                break
-            parts.append(part)
-            if part == "docs":
-                break
-        roots.append("/".join(parts))
-    return list(dict.fromkeys(roots))
+        literal = re.split(r"[*?\[]", pattern, maxsplit=1)[0].rstrip("/")
+        parts = [p for p in literal.split("/") if p not in ("", ".")]
+        if parts and "." in parts[-1]:
+            parts.pop()
+        if "docs" in parts:
+            roots.add("/".join(parts[: len(parts) - parts[::-1].index("docs")]))
+    return sorted(roots)

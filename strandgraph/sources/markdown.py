@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import globs, ids
+from ..functions import dialects, ids
 from ..schemas import FINDINGS, RECORDS, ROLES
 
 ROLE_OF = dict(ROLES)
@@ -40,7 +40,7 @@ def files(spark: SparkSession, root: str, pattern: str = "*.md", ignore: list[st
     top = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), f"^{re.escape(top)}/", "")
     rows = found.select(path.alias("path"), F.col("content").cast("string").alias("content"))
-    return rows.filter(~globs.ignored(F.col("path"), ignore)) if ignore else rows
+    return rows.filter(~dialects.matches(F.col("path"), ignore, "ignored")) if ignore else rows
 
 
 def front_matter(text: str) -> tuple[str | None, str, int]:

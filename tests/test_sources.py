@@ -126,7 +126,7 @@ def test_config(tmp_path):
     assert discover(str(tmp_path)).notices == []
     with pytest.raises(ValueError):
         check(Config(doc_patterns=["../x"]))
-    assert docs_roots(Config(doc_patterns=["docs/**/*.md", "a/docs/x/*.md"])) == ["docs", "a/docs"]
+    assert docs_roots(Config(doc_patterns=["docs/**/*.md", "a/docs/x/*.md"])) == ["a/docs", "docs"]
 
 
 def test_project(spark, tmp_path):
