@@ -34,7 +34,7 @@ CHUNK_LINKS = 3_000_000
 #: Distinct pairs of chunks in a bucket, in the mean and at most.
 BUCKET_PAIRS = 4_000_000
 #: Bytes of runs of ids that the machine takes at once.
-EVENT_BYTES = 4_000_000
+EVENT_BYTES = 1_500_000
 #: Rows that cross to Python at once, of texts and of events.
 BATCH_ROWS = 256
 #: An id of either side is below this, so a pair fits 32 bits.
