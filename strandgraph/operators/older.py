@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..schemas import TYPED_LINK
 from .rules import at, finding, union
 
 # Labels of relationship fields, and the file that each type of identifier belongs to.
@@ -278,6 +279,15 @@ def collect(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return identifiers, findings(rows, front, refs)
 
 
+def observations(identifiers: DataFrame) -> DataFrame:
+    """Identifiers of ``collect`` as observations, as records and annotations give them."""
+    none = F.lit(None).cast("string")
+    return identifiers.select(
+        "id", "type", F.nullif("title", F.lit("")).alias("title"), F.nullif("describe", F.lit("")).alias("describe"), "source", F.col("line").cast("int").alias("line"), F.col("id").alias("raw_ref"), "links",
+        F.array().cast(f"array<{TYPED_LINK}>").alias("typed_links"), F.lit("doc").alias("origin"), none.alias("namespace"), none.alias("status"), none.alias("document_role"), none.alias("kind"), F.lit(False).alias("derived"), F.lit(0).cast("long").alias("seq"),
+    )
+
+
 def findings(rows: DataFrame, front: DataFrame, refs: DataFrame) -> DataFrame:
     """What is wrong with older documents: front matter, markers, headings, bare ids, formats, and files of another type."""
     listed, positions = markers(front), marker_positions(rows)

@@ -298,3 +298,44 @@ def test_checked_merge(spark):
     two = spark.createDataFrame([("./a//b.md", True, "x"), ("c.md", True, "y"), ("d/./e.md", False, "z")], schema)
     merged, conflicts = graph.merged_writes(one, two)
     assert {tuple(r) for r in merged.collect()} == {("a/b.md", True, "x"), ("d/e.md", False, "z")} and [r.path for r in conflicts.collect()] == ["c.md"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+    import subprocess
+
+    from strandgraph import __main__ as command
+
+    docs = tmp_path / "docs/a"
+    docs.mkdir(parents=True)
+    (docs / "spec.md").write_text(RECORD.split("## Notes")[0].replace('<!-- scaffold slot="spec.records" -->\n', ""))
+    (docs / "notes.md").write_text("# About SPEC-A-1: x\n# And `SPEC-Z-9`: y\n")
+    old = tmp_path / "docs/old"
+    old.mkdir()
+    (old / "spec.md").write_text("---\nmarkers:\n  - id: SPEC-OLD-1\n    name: Old\n---\n## SPEC-OLD-1: old\n**Tests:** `TEST-OLD-1`\n")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/m.go").write_text("package a\n\n// @implement SPEC-A-1\nfunc Run() {\n}\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q"), git("add", "."), git("commit", "-qm", "first")
+    (tmp_path / "a/m.go").write_text("package a\n\n// @implement SPEC-A-1\nfunc Run() {\n\tx()\n}\n")
+    run = lambda *a: command.run(spark, command.arguments([a[0], str(tmp_path), *a[1:]]))
+    text, status = run("trace", "SPEC-A-1")
+    found = json.loads(text)
+    assert status == 0 and found["status"] == "resolved" and [o["path"] for o in found["owners"]] == ["docs/a/spec.md"]
+    assert [o["kind"] for o in found["occurrences"]] == ["declaration", "implementation"] and found["related_entities"][0]["depth"] == 1
+    assert run("trace", "SPEC-NO-1", "--format", "markdown")[1] == 1
+    text, status = run("status", "--target", "docs/a")
+    slots_ = json.loads(text)["incomplete_slots"]
+    assert status == 1 and {"design.document", "contract.document", "testing.document", "spec.spec-a-1.components"} <= {s["slot"] for s in slots_}
+    text, status = run("impacted", "--base", "HEAD")
+    report = json.loads(text)
+    assert status == 0 and [x["id"] for x in report["queue"]][0] == "SPEC-A-1" and report["warnings"][0]["entity"] == "SPEC-A-1" and report["evidence_paths"] == [{"path": "a/m.go"}]
+    text, _ = run("review", "SPEC-A-1")
+    context = json.loads(text)["contexts"][0]
+    assert context["spec_id"] == "SPEC-A-1" and context["evidence"][0]["name"] == "Run"
+    text, status = run("validate")
+    assert status == 1 and "SPEC-Z-9" in text and "there is no" not in text and "no related_files" in text
+    with pytest.raises(SystemExit):
+        command.arguments(["other", "x"])
+    with pytest.raises(ValueError):
+        run("trace", "what")

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from strandgraph.plans import applied, documents, relational
+from strandgraph.plans import applied, documents, relational, sources
 from strandgraph.streaming import changes
 
 DATA = "/root/testdata/sf0.001"
@@ -20,13 +20,13 @@ def rows(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", [*relational.QUERIES, *applied.QUERIES, *documents.QUERIES])
+@pytest.mark.parametrize("name", [*relational.QUERIES, *applied.QUERIES, *documents.QUERIES, *sources.QUERIES])
 def test_query(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
-    queries, sql = relational.QUERIES | applied.QUERIES | documents.QUERIES, relational.SQL | applied.SQL | documents.SQL
+    queries, sql = relational.QUERIES | applied.QUERIES | documents.QUERIES | sources.QUERIES, relational.SQL | applied.SQL | documents.SQL | sources.SQL
     got, want = queries[name](spark, DATA).toPandas(), con.sql(sql[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     a, b = rows(got), rows(want)
