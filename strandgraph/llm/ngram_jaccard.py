@@ -50,24 +50,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: Random values of bytes; A-Z have those of a-z.
-_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_VALUES[65:91] = _VALUES[97:123]
+#: A-Z as a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BASE = 0xD1342543DE82EF95
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    found = np.full(n, base & ((1 << 64) - 1), np.uint64)
-    found[:1] = 1
-    return np.cumprod(found, dtype=np.uint64)
+#: The first bytes of a block of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words between ASCII white space of texts one after the other, A-Z as a-z, and the bounds of each text's words.
 
-    A word's hash is a polynomial of its bytes' values, taken from running
-    sums over all bytes.
+    Blocks of eight bytes of a word are mixed in one after the other, so no
+    regular pattern of bytes, such as defeats polynomials modulo 2^64, cancels out.
     """
     n = len(data)
     inside = ~_BLANK[data]
@@ -80,10 +75,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         ends[:-1] = inside[:-1] & (~inside[1:] | edge[1:n])
         ends[-1] = inside[-1]
     first, last = np.flatnonzero(start), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _powers(_BASE, n), out=sums[1:])
-    back = _powers(pow(_BASE, -1, 1 << 64), n + 1)
-    return _mixed((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)), np.searchsorted(first, offsets)
+    padded = np.r_[_LOWER[data], np.zeros(8, np.uint8)]
+    blocks = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1))
+    left = last - first
+    found = _mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at, own = first, np.arange(len(first))
+    while len(at):
+        block = blocks[at].view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+        found[own] = _mixed((found[own] ^ _mixed(block + np.uint64(0xD1342543DE82EF95))) * np.uint64(0xF1357AEA2E62A9C5))
+        more = left > 8
+        at, own, left = at[more] + 8, own[more], left[more] - 8
+    return found, np.searchsorted(first, offsets)
 
 
 def _piece_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -136,3 +136,13 @@ def test_pieces_spell_bytes():
     ids = bpe._tokenizer(path).encode("Grüße, 世界!  \n", add_special_tokens=False).ids
     assert b"".join(pieces[i].as_py() for i in ids).decode() == "Grüße, 世界!  \n"
     assert hashlib.sha256(pieces[50256].as_py()).hexdigest() == hashlib.sha256(b"<|endoftext|>").hexdigest()
+
+
+def test_words_of_regular_patterns_are_told_apart():
+    # the word of Thue and Morse and its complement have the same value under any polynomial modulo 2^64 with an odd base
+    word = "a"
+    for _ in range(12):
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    hashes, bounds = ngram_jaccard.shingle_sets(pa.array([word, other, word.upper(), None, "", "x y", "y x", "xy"]))
+    assert bounds.tolist() == [0, 1, 2, 3, 3, 3, 4, 5, 6] and hashes[0] == hashes[2] and len(set(hashes.tolist())) == 5
