@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from ._grams import text_bytes
 
 #: Pieces that an encoder remembers from one batch to the next.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 #: Pieces that go to the library as one string.
 JOINED = 64
 #: Bytes of text that are cut and encoded at once.
