@@ -16,8 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -233,6 +232,11 @@ def mine(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int
     return named, phrases, sizes
 
 
+def score() -> Column:
+    """floor(1000000 a a / (l r)) of the columns a, l and r, by decimals of 38 digits; exact up to counts of 10^15."""
+    return F.expr("cast((1000000 * cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as long)")
+
+
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, covered: int = COVERED) -> DataFrame:
     """The first ``top`` phrases of 2 to ``longest`` words of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -255,8 +259,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
     cuts = candidates.select("phrase", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("*", F.slice("phrase", F.lit(1), F.col("k")).alias("left"), F.slice("phrase", F.col("k") + 1, F.size("phrase") - F.col("k")).alias("right"))
     parts = cuts.join(every.select(F.col("phrase").alias("left"), F.col("a").alias("l")), "left").join(every.select(F.col("phrase").alias("right"), F.col("a").alias("r")), "right")
-    score = F.expr("cast((1000000 * cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as long)")
-    best = parts.withColumn("score", score).groupBy("phrase").agg(F.min(F.struct("score", "k", "l", "r", "a")).alias("s")).select("phrase", "s.*")
+    best = parts.withColumn("score", score()).groupBy("phrase").agg(F.min(F.struct("score", "k", "l", "r", "a")).alias("s")).select("phrase", "s.*")
     # phrases of any length inside a longer one, with the highest frequency of such
     lengths = F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("length")
     longer = candidates.filter("words > 2").select("phrase", "a", "words", lengths)
