@@ -4,7 +4,8 @@ A document is a bag of sentences. A sentence's logit is the sum of the scores
 of its words, a word's score the average weight of its hashed subwords. The
 noisy-or of the sentences is the document's probability. The weights are
 learnt from document labels alone; the sentences' own probabilities then show
-which of them offend.
+which of them offend. Only subwords that toxic documents hold clearly more
+often than others have a weight, and a sentence without one says nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ SIZES = (4, 5, 6, 7)
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE_ROWS = 3000
 THRESHOLD = 0.3
+#: Standard deviations by which toxic documents must hold a bucket more often than all, and documents that must hold it.
+MARK, SUPPORT = 5.0, 5
 #: Ends of sentences.
 STOPS = r".!?\n"
 
@@ -93,9 +97,13 @@ class Model:
     bias: float
 
     def logits(self, b: Bags) -> np.ndarray:
-        """The logit of every sentence."""
-        word = np.bincount(b.owner, weights=self.weights[b.buckets], minlength=len(b.stop)) / b.per_word
-        return self.bias + np.bincount(b.sentence, weights=word[b.codes], minlength=len(b.document))
+        """The logit of every sentence; minus infinity for one without a bucket that has a weight."""
+        weights = self.weights[b.buckets]
+        word = np.bincount(b.owner, weights=weights, minlength=len(b.stop)) / b.per_word
+        says = np.zeros(len(b.stop), bool)
+        says[b.owner[weights != 0]] = True
+        heard = np.bincount(b.sentence, weights=says[b.codes], minlength=len(b.document)) > 0
+        return np.where(heard, self.bias + np.bincount(b.sentence, weights=word[b.codes], minlength=len(b.document)), -np.inf)
 
     def scores(self, lists: pa.ListArray) -> tuple[np.ndarray, Bags, np.ndarray]:
         """The noisy-or of each document, its sentences, and their probabilities."""
@@ -105,45 +113,111 @@ class Model:
         return -np.expm1(-risk), b, 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(lists: pa.ListArray, toxic: np.ndarray, weights: np.ndarray, *, steps: int = 200, rate: float = 0.4, decay: float = 5e-6, support: int = 10) -> Model:
-    """Weights that make the noisy-or of each document likely, by Adam with decay.
+def _features(b: Bags, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the tokens ``rows``, and to which of them each belongs."""
+    order = np.argsort(b.owner, kind="stable")
+    first = np.searchsorted(b.owner[order], np.arange(len(b.stop) + 1))
+    counts = np.diff(first)[rows]
+    of = np.repeat(np.arange(len(rows)), counts)
+    at = np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(counts)][:-1], counts) + first[rows][of]
+    return b.buckets[order][at], of
 
-    Subwords of fewer than ``support`` documents (less in small samples) keep
-    weight 0: they would only learn single documents by heart.
+
+def presence(lists: pa.ListArray, toxic: np.ndarray, weights: np.ndarray, chunk: int = 200) -> np.ndarray:
+    """Of each bucket: the weight of toxic documents that hold it, of all such documents, and their number."""
+    found = np.zeros((3, BUCKETS))
+    for at in range(0, len(lists), chunk):
+        b = bags(lists.slice(at, chunk))
+        pairs = np.unique(b.codes * chunk + b.document[b.sentence])
+        buckets, of = _features(b, pairs // chunk)
+        pairs = np.unique(buckets.astype(np.int64) * chunk + (pairs % chunk)[of])
+        bucket, document = pairs // chunk, at + pairs % chunk
+        for i, value in enumerate((weights * toxic, weights, np.ones(len(weights)))):
+            found[i] += np.bincount(bucket, weights=value[document], minlength=BUCKETS)
+    return found
+
+
+def marking(counts: np.ndarray, toxic: float, total: float, rows: int, least: float = MARK, support: int = SUPPORT) -> np.ndarray:
+    """The buckets that toxic documents hold more often than chance explains: by ``least`` standard deviations.
+
+    The others would only learn single documents by heart. ``support``
+    documents have to hold a bucket, less in small samples.
     """
-    b, n = bags(lists), len(lists)
-    model = Model(np.zeros(BUCKETS), -4.0)
+    p = toxic / total if total else 0.0
+    if not 0 < p < 1:
+        return np.zeros(0, np.int64)
+    strength = (counts[0] - counts[1] * p) / np.sqrt(np.maximum(counts[1], 1e-9) * p * (1 - p))
+    return np.flatnonzero((counts[2] >= max(2, min(support, rows // 200))) & (strength >= least))
+
+
+def hits(lists: pa.ListArray, used: np.ndarray) -> pa.RecordBatch:
+    """Of each document the number of its sentences, and what the marking buckets (by their place in ``used``) weigh in each sentence."""
+    b = bags(lists)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[used] = np.arange(len(used))
+    has = np.zeros(len(b.stop), bool)
+    has[b.owner[place[b.buckets] >= 0]] = True
+    word = np.flatnonzero(has[b.codes]) if len(b.codes) else np.zeros(0, np.int64)
+    buckets, of = _features(b, b.codes[word])
+    keep = place[buckets] >= 0
+    key, value = b.sentence[word[of[keep]]] * max(1, len(used)) + place[buckets[keep]], 1 / b.per_word[b.codes[word[of[keep]]]]
+    key, group = np.unique(key, return_inverse=True)
+    value = np.bincount(group, weights=value, minlength=len(key))
+    sentence, feature = key // max(1, len(used)), key % max(1, len(used))
+    bounds = pa.array(np.searchsorted(b.document[sentence], np.arange(len(lists) + 1)).astype(np.int32))
+    columns = [b.ordinal[sentence].astype(np.int32), feature.astype(np.int32), value]
+    many = np.bincount(b.document, minlength=len(lists)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(many), *(pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns)], names=["sentences", "sentence", "feature", "value"])
+
+
+def solve(found: pa.Table, used: np.ndarray, toxic: np.ndarray, weights: np.ndarray, *, steps: int = 150, rate: float = 0.4, decay: float = 5e-6) -> Model:
+    """Weights of the marking buckets that make the noisy-or of each document likely, by Adam with decay; ``found`` is what ``hits`` gives."""
+    n, model = len(found), Model(np.zeros(BUCKETS), -4.0)
     if not n or toxic.all() or not toxic.any():
         return model
-    pairs = np.unique(b.codes * n + b.document[b.sentence])
-    documents = np.bincount(b.buckets, weights=np.bincount(pairs // n, minlength=len(b.stop))[b.owner], minlength=BUCKETS)
-    used = np.flatnonzero(documents >= max(2, min(support, n // 200)))
+    flat = lambda c: pa.concat_arrays(found[c].chunks).flatten().to_numpy() if found[c].num_chunks else np.zeros(0)
+    counts = np.concatenate([c.value_lengths().to_numpy() for c in found["feature"].chunks])
+    document, feature, value = np.repeat(np.arange(n), counts), flat("feature").astype(np.int64), flat("value")
+    _, row = np.unique(document.astype(np.int64) << 32 | flat("sentence").astype(np.int64), return_inverse=True)
+    own = np.zeros(row.max() + 1 if len(row) else 0, np.int64)
+    own[row] = document
     share = weights / weights.sum()
+    w, bias = np.zeros(len(used)), model.bias
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = model.logits(b)
-        risk = np.bincount(b.document, weights=np.logaddexp(0, z), minlength=n)
+        z = bias + np.bincount(row, weights=w[feature] * value, minlength=len(own))
+        risk = np.bincount(own, weights=np.logaddexp(0, z), minlength=n)
         pull = np.where(toxic, -1 / np.expm1(np.clip(risk, 1e-6, 500)), 1.0) * share
-        slope = pull[b.document] / (1 + np.exp(-np.clip(z, -50, 50)))
-        word = np.bincount(b.codes, weights=slope[b.sentence], minlength=len(b.stop)) / b.per_word
-        g = np.bincount(b.buckets, weights=word[b.owner], minlength=BUCKETS)[used] + decay * model.weights[used]
+        slope = pull[own] / (1 + np.exp(-np.clip(z, -50, 50)))
+        g = np.bincount(feature, weights=slope[row] * value, minlength=len(used)) + decay * w
         gb = float(slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
         step = rate * (1 - (t - 1) / steps)
-        model.weights[used] -= step * (m / fix) / (np.sqrt(v / fix2) + 5e-6)
-        model.bias -= step * (mb / fix) / (np.sqrt(vb / fix2) + 1e-9)
+        w -= step * (m / fix) / (np.sqrt(v / fix2) + 5e-6)
+        bias -= step * (mb / fix) / (np.sqrt(vb / fix2) + 1e-9)
+    model.weights[used], model.bias = np.where(w == 0, 1e-12, w), bias
     return model
 
 
+def fit(lists: pa.ListArray, toxic: np.ndarray, weights: np.ndarray) -> Model:
+    """A model of documents that are at hand: ``presence``, ``marking``, ``hits`` and ``solve`` one after the other."""
+    used = marking(presence(lists, toxic, weights), float((weights * toxic).sum()), float(weights.sum()), len(lists))
+    return solve(pa.Table.from_batches([hits(lists, used)]), used, toxic, weights)
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, seed: int = 11) -> Model:
     """A model of up to ``limit`` toxic and ``limit`` other rows that have a label.
 
     Each class counts by its number of labelled rows, so that scores are
     probabilities over all of them. A doc_id with several labels is toxic if
-    one of them is.
+    one of them is. The tasks count in which documents each bucket stands, and
+    then what the marking ones weigh in each sentence; texts do not reach the
+    driver.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity-sample")
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts, totals = [], []
     for mark in (1, 0):
@@ -151,11 +225,37 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, seed: in
         totals.append(own.count())
         parts.append(sample(own, limit, seed))
     chosen = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("toxic", tokens(F.col("text")).alias("tokens"))
-    rows = chosen.toArrow()
+    with arrow_rows(spark, 200):
+        chosen = scratch.keep(chosen, "rows")
+        drawn = dict(chosen.groupBy("toxic").count().collect())
+        worth = {1: totals[0] / max(1, drawn.get(1, 0)), 0: totals[1] / max(1, drawn.get(0, 0))}
+        weigh = lambda toxic: np.where(toxic, worth[1], worth[0])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                toxic = batch.column("toxic").to_numpy() == 1
+                found = presence(batch.column("tokens"), toxic, weigh(toxic))
+                held = np.flatnonzero(found[2])
+                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *(pa.array(f[held]) for f in found)], names=["bucket", "toxic", "weight", "documents"])
+
+        sums = chosen.mapInArrow(count, "bucket int, toxic double, weight double, documents double").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("toxic", "weight", "documents")]).toArrow()
+        counts = np.zeros((3, BUCKETS))
+        for i, c in enumerate(("toxic", "weight", "documents")):
+            counts[i][sums["bucket"].to_numpy()] = sums[c].to_numpy()
+        used = marking(counts, float(worth[1] * drawn.get(1, 0)), float(sum(worth[k] * drawn.get(k, 0) for k in worth)), sum(drawn.values()))
+
+        def weigh_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = hits(batch.column("tokens"), used)
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *found.columns], names=["toxic", *found.schema.names])
+
+        kind = chosen.schema["toxic"].dataType.simpleString()
+        rows = chosen.mapInArrow(weigh_sentences, f"toxic {kind}, sentences long, sentence array<int>, feature array<int>, value array<double>").toArrow()
+    # sums of doubles depend on their order, so rows are put in one that does not depend on tasks
+    order = np.lexsort((pa.compute.list_value_length(rows["feature"]).to_numpy(), rows["sentences"].to_numpy(), rows["toxic"].to_numpy())) if len(rows) else np.zeros(0, np.int64)
+    rows = rows.take(pa.array(order))
     toxic = rows["toxic"].to_numpy() == 1
-    share = np.where(toxic, totals[0] / max(1, toxic.sum()), totals[1] / max(1, (~toxic).sum()))
-    lists = rows["tokens"].combine_chunks() if len(rows) else pa.array([], pa.list_(pa.string()))
-    return fit(lists, toxic, share)
+    return solve(rows, used, toxic, weigh(toxic))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -164,7 +264,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     Sentences are counted from 0, those without a word left out; the ones
     whose own probability reaches ``threshold`` offend.
     """
-    schema = "doc_id long, score double, offending array<struct<sentence: int, probability: double>>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, offending array<struct<sentence: int, probability: double>>"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +275,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             lists = pa.ListArray.from_arrays(pa.array(bounds), found)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), lists], names=["doc_id", "score", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens")).mapInArrow(judge, schema)
+    return docs.select("doc_id", tokens(F.col("text")).alias("tokens")).mapInArrow(judge, schema)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:

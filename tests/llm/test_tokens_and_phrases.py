@@ -239,3 +239,25 @@ def test_growth_prunes_and_sums():
     columns = [np.array(x) for x in ([1, 1, 1, 2, 2], [5, 5, 6, 5, 5], [7, -1, 7, 8, 8])]
     got = {tuple(int(c[i]) for c in cols): int(n[i]) for cols, n in collocations.grow(columns, np.array([4, 3, 2, 5, 1]), 5) for i in range(len(n))}
     assert got == {(1,): 9, (2,): 6, (1, 5): 7, (2, 5): 6, (2, 5, 8): 6}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    from strandgraph.llm import toxicity
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity.op5_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()
+    hit = sum(r.toxic and r.predicted for r in rows)
+    assert len(rows) == 990 and hit / sum(r.predicted for r in rows) > 0.9 and hit / sum(r.toxic for r in rows) > 0.8
+
+
+def test_toxicity_of_other_ids_and_no_rows(spark):
+    from strandgraph.llm import toxicity
+
+    docs = spark.createDataFrame([("k", "one two."), (None, None), ("j", "")], "doc_id string, text string").withColumn("toxic", F.lit(1))
+    labels = spark.createDataFrame([("k", 1), ("j", 0)], "doc_id string, toxic int")
+    got = toxicity.toxicity(spark, docs, labels).collect()
+    assert {r.doc_id for r in got} == {"k", None, "j"} and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.toxicity(spark, docs.limit(0), labels).count() == 0
