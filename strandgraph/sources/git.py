@@ -41,6 +41,11 @@ def patch(text: str) -> tuple[list[tuple[int, int, int, int]], list[str]]:
     return hunks, sorted(ids)
 
 
+def sections(text: str) -> list[str]:
+    """The parts of a patch, one for each file; no line of a file's text starts as they do."""
+    return re.split(r"^diff --git ", text, flags=re.M)[1:]
+
+
 def collect(root: str, base: str) -> tuple[list[tuple], list[tuple]]:
     """Changes and hunks of the tree at ``root`` since ``base``, untracked files included."""
 
@@ -49,8 +54,13 @@ def collect(root: str, base: str) -> tuple[list[tuple], list[tuple]]:
 
     commit = git("rev-parse", "--verify", "--end-of-options", f"{base}^{{commit}}").decode().strip()
     changes, hunks = [], []
-    for path, old, status in name_status(git("diff", "--name-status", "-z", "-M", commit, "--")):
-        found, ids = patch(git("diff", "--unified=0", "-M", commit, "--", *([old] if old else []), path).decode(errors="replace"))
+    named = name_status(git("diff", "--name-status", "-z", "-M", commit, "--"))
+    # one patch of all files has a part for each, in the same order; files that change their type, or conflict, have more or none
+    parts = sections(git("diff", "--unified=0", "-M", commit, "--").decode(errors="replace"))
+    alone = len(parts) != len(named)
+    for i, (path, old, status) in enumerate(named):
+        text = git("diff", "--unified=0", "-M", commit, "--", *([old] if old else []), path).decode(errors="replace") if alone else parts[i]
+        found, ids = patch(text)
         changes.append((path, old, status, ids))
         hunks += [(path, *h) for h in found]
     for raw in git("ls-files", "--others", "--exclude-standard", "-z").split(b"\0"):

@@ -117,6 +117,22 @@ def test_change_lists():
     assert hunks == [(3, 1, 4, 0), (1, 2, 1, 1)] and ids == ["SPEC-A-1", "TEST-A-2"]
 
 
+def test_changes_of_many_files(tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for i in range(4):
+        (tmp_path / f"f {i}.go").write_text("".join(f"line {n} of {i}\n" for n in range(9)))
+    run("add", "."), run("commit", "-qm", "first"), run("mv", "f 0.go", "a\u00e9.go")
+    (tmp_path / "f 1.go").write_text("diff --git a b\n// SPEC-A-1\n")
+    (tmp_path / "f 2.go").unlink()
+    (tmp_path / "new.go").write_text("// TEST-A-2\nx")
+    changes, hunks = git.collect(str(tmp_path), "HEAD")
+    assert {(p, o, s, *i) for p, o, s, i in changes} == {("a\u00e9.go", "f 0.go", "renamed"), ("f 1.go", None, "modified", "SPEC-A-1"), ("f 2.go", None, "deleted"), ("new.go", None, "untracked", "TEST-A-2")}
+    assert {h for h in hunks} == {("f 1.go", 1, 9, 1, 2), ("f 2.go", 1, 9, 0, 0), ("new.go", 0, 0, 1, 2)}
+    (tmp_path / "f 3.go").unlink(), (tmp_path / "f 3.go").symlink_to("new.go")  # a change of type has two parts
+    assert {s for p, _, s, _ in git.collect(str(tmp_path), "HEAD")[0] if p == "f 3.go"} == {"type-changed"}
+
+
 def test_config(tmp_path):
     assert discover(str(tmp_path)).switches["correspondence"]
     (tmp_path / "trace.yaml").write_text("rules:\n  correspondence: false\ndocs:\n  catalog: x\n")
