@@ -165,6 +165,30 @@ def g08_contract_interfaces(spark, sf):
     return rules.contract_interfaces(contract.unionByName(spec)).select("source", "link")
 
 
+FIELD_LISTS = ("Design,Contract,Requirement,Tests", "Design,Requirement,Contract,Tests", "Design,Contract,Tests", "Note,Design,Contract,Requirement,Tests", "Design,Contract,Requirement,Tests,Note", "")
+
+
+@query("""
+WITH s AS (SELECT 'docs/p' || (o_custkey % 20) || '/spec.md' AS path, 'SPEC-O-' || o_orderkey AS id, o_orderkey % 6 AS v, 10000000 + 20 * o_orderkey AS line FROM orders WHERE o_orderstatus <> 'P')
+SELECT path || ':' || line AS source, id AS link, unnest(CASE v WHEN 2 THEN ['Requirement'] ELSE ['Design', 'Contract', 'Requirement', 'Tests'] END) AS code FROM s WHERE v IN (2, 5)
+UNION ALL SELECT path || ':' || line, id, 'field-order' FROM s WHERE v = 1
+UNION ALL SELECT path || ':' || (line + 1), id, 'optional-field-order' FROM s WHERE v = 3
+""")
+def g13_spec_fields(spark, sf):
+    """Marked sections whose fields are missing, out of order, or behind an optional one."""
+    orders = read(spark, sf, "orders")
+    key, path = F.col("o_orderkey"), F.concat(F.lit("docs/p"), (F.col("o_custkey") % 20).cast("string"), F.lit("/spec.md"))
+    name = F.concat(F.lit("SPEC-O-"), key.cast("string"))
+    at, start = lambda line: line.cast("int").alias("line"), F.lit(10_000_000)
+    edge = orders.select(path.alias("path")).distinct().select("path", F.explode(F.array(F.lit(0), F.lit(9_999_999))).alias("line"), F.lit("---").alias("body"))
+    listed = orders.filter("o_orderstatus <> 'P'").select(path.alias("path"), at(key + 1), F.concat(F.lit("  - id: "), name).alias("body"))
+    heads = orders.select(path.alias("path"), at(start + 20 * key), F.concat(F.lit("## "), name, F.lit(": title")).alias("body"))
+    labels = F.get(F.array(*[F.split(F.lit(x), ",") for x in FIELD_LISTS]), (key % 6).cast("int"))
+    fields = orders.select(path.alias("path"), key.alias("key"), F.posexplode(labels).alias("n", "label")).filter("label <> ''")
+    fields = fields.select("path", at(start + 20 * F.col("key") + F.col("n") + 1), F.concat(F.lit("**"), "label", F.lit(":** x")).alias("body"))
+    return rules.spec_fields(edge.unionByName(listed).unionByName(heads).unionByName(fields)).select("source", "link", "code")
+
+
 # --- counts and reports -----------------------------------------------------------------------------------------------------------------
 
 
