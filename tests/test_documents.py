@@ -300,7 +300,7 @@ def test_checked_merge(spark):
     assert {tuple(r) for r in merged.collect()} == {("a/b.md", True, "x"), ("d/e.md", False, "z")} and [r.path for r in conflicts.collect()] == ["c.md"]
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, monkeypatch):
     import json
     import subprocess
 
@@ -319,6 +319,8 @@ def test_command_line(spark, tmp_path, capsys):
     git("init", "-q"), git("add", "."), git("commit", "-qm", "first")
     (tmp_path / "a/m.go").write_text("package a\n\n// @implement SPEC-A-1\nfunc Run() {\n\tx()\n}\n")
     run = lambda *a: command.run(spark, command.arguments([a[0], str(tmp_path), *a[1:]]))
+    built, project = [], command.Project
+    monkeypatch.setattr(command, "Project", lambda *a: built[0] if built else built.append(project(*a)) or built[0])
     text, status = run("trace", "SPEC-A-1")
     found = json.loads(text)
     assert status == 0 and found["status"] == "resolved" and [o["path"] for o in found["owners"]] == ["docs/a/spec.md"]
