@@ -29,8 +29,9 @@ SIZES = (4, 5, 6, 7)
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE_ROWS = 3000
 THRESHOLD = 0.3
-#: Standard deviations by which toxic documents must hold a bucket more often than all, and documents that must hold it.
-MARK, SUPPORT = 5.0, 5
+#: Standard deviations by which toxic documents must hold a bucket more often than all, how many times as often
+#: documents with it must be toxic as all are, and documents that must hold it.
+MARK, LIFT, SUPPORT = 5.0, 3.0, 5
 #: Ends of sentences.
 STOPS = r".!?\n"
 
@@ -124,30 +125,32 @@ def _features(b: Bags, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def presence(lists: pa.ListArray, toxic: np.ndarray, weights: np.ndarray, chunk: int = 200) -> np.ndarray:
-    """Of each bucket: the weight of toxic documents that hold it, of all such documents, and their number."""
-    found = np.zeros((3, BUCKETS))
+    """Of each bucket: the weight of toxic documents that hold it, of all such documents, the sum of their squared weights, and their number."""
+    found = np.zeros((4, BUCKETS))
     for at in range(0, len(lists), chunk):
         b = bags(lists.slice(at, chunk))
         pairs = np.unique(b.codes * chunk + b.document[b.sentence])
         buckets, of = _features(b, pairs // chunk)
         pairs = np.unique(buckets.astype(np.int64) * chunk + (pairs % chunk)[of])
         bucket, document = pairs // chunk, at + pairs % chunk
-        for i, value in enumerate((weights * toxic, weights, np.ones(len(weights)))):
+        for i, value in enumerate((weights * toxic, weights, weights**2, np.ones(len(weights)))):
             found[i] += np.bincount(bucket, weights=value[document], minlength=BUCKETS)
     return found
 
 
-def marking(counts: np.ndarray, toxic: float, total: float, rows: int, least: float = MARK, support: int = SUPPORT) -> np.ndarray:
-    """The buckets that toxic documents hold more often than chance explains: by ``least`` standard deviations.
+def marking(counts: np.ndarray, toxic: float, total: float, rows: int, least: float = MARK, lift: float = LIFT, support: int = SUPPORT) -> np.ndarray:
+    """The buckets that toxic documents hold more often than chance explains, by ``least`` standard deviations, and ``lift`` times as often as all.
 
     The others would only learn single documents by heart. ``support``
-    documents have to hold a bucket, less in small samples.
+    documents have to hold a bucket, less in small samples. Weights of
+    documents count in the deviation by their squares, so it depends on the
+    sample and not on the table behind it.
     """
     p = toxic / total if total else 0.0
     if not 0 < p < 1:
         return np.zeros(0, np.int64)
-    strength = (counts[0] - counts[1] * p) / np.sqrt(np.maximum(counts[1], 1e-9) * p * (1 - p))
-    return np.flatnonzero((counts[2] >= max(2, min(support, rows // 200))) & (strength >= least))
+    strength = (counts[0] - counts[1] * p) / np.sqrt(np.maximum(counts[2], 1e-9) * p * (1 - p))
+    return np.flatnonzero((counts[3] >= max(2, min(support, rows // 200))) & (strength >= least) & (counts[0] >= lift * p * counts[1]))
 
 
 def hits(lists: pa.ListArray, used: np.ndarray) -> pa.RecordBatch:
@@ -231,16 +234,18 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, seed: in
         worth = {1: totals[0] / max(1, drawn.get(1, 0)), 0: totals[1] / max(1, drawn.get(0, 0))}
         weigh = lambda toxic: np.where(toxic, worth[1], worth[0])
 
+        names = ("toxic", "weight", "squares", "documents")
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 toxic = batch.column("toxic").to_numpy() == 1
                 found = presence(batch.column("tokens"), toxic, weigh(toxic))
-                held = np.flatnonzero(found[2])
-                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *(pa.array(f[held]) for f in found)], names=["bucket", "toxic", "weight", "documents"])
+                held = np.flatnonzero(found[3])
+                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *(pa.array(f[held]) for f in found)], names=["bucket", *names])
 
-        sums = chosen.mapInArrow(count, "bucket int, toxic double, weight double, documents double").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("toxic", "weight", "documents")]).toArrow()
-        counts = np.zeros((3, BUCKETS))
-        for i, c in enumerate(("toxic", "weight", "documents")):
+        sums = chosen.mapInArrow(count, "bucket int, " + ", ".join(f"{c} double" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+        counts = np.zeros((4, BUCKETS))
+        for i, c in enumerate(names):
             counts[i][sums["bucket"].to_numpy()] = sums[c].to_numpy()
         used = marking(counts, float(worth[1] * drawn.get(1, 0)), float(sum(worth[k] * drawn.get(k, 0) for k in worth)), sum(drawn.values()))
 
