@@ -146,14 +146,17 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], *, epochs:
             for d in range(DIMENSION):
                 table_[touched, d] -= step * np.bincount(place, weights=back[owner, d] * parts, minlength=len(touched))
     judged = np.flatnonzero(aside) if len(y) >= 25 else learn
-    z = averaged(judged)[3] @ weight + bias
+    # a few texts at a time: vectors of all their subwords are far more than the texts
+    z = np.concatenate([averaged(judged[at : at + batch])[3] for at in range(0, len(judged), batch)]) @ weight + bias
     heat = min(np.geomspace(0.05, 10, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(judged)), y[judged]] + 1e-12).sum())
     p = _softmax(z / heat)
     best, right = p.max(axis=1), p.argmax(axis=1) == y[judged]
     order = np.argsort(-best)
     good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision)
     least, least_familiar = np.inf, 0.0
-    seen = np.bincount(np.concatenate([bags[i][0] for i in learn]).astype(np.int64), weights=np.concatenate([bags[i][1] for i in learn]), minlength=BUCKETS)
+    seen = np.zeros(BUCKETS)
+    for i in learn:
+        np.add.at(seen, bags[i][0], bags[i][1])
     familiar = np.log((seen + 0.5) / (seen.sum() + 0.5 * BUCKETS))
     if len(good):
         # rounding of sums taken in another order must reject no text of the calibration itself
