@@ -244,7 +244,7 @@ def duplicate_headings(raw: DataFrame) -> DataFrame:
     shape = r"(?i)^##\s+((?:TEST|SPEC|CONTRACT)-[A-Z0-9_]+-[0-9]+):"
     head = raw.select("path", "line", F.nullif(F.regexp_extract(F.trim("body"), shape, 1), F.lit("")).alias("id")).filter("id IS NOT NULL")
     many = head.groupBy("path", "id").agg(F.array_sort(F.collect_list("line")).alias("at")).filter(F.size("at") > 1)
-    return many.select(*finding("error", "duplicate-heading-identifier", F.concat(F.col("id"), F.lit(" heads lines "), F.array_join(F.col("at").cast("array<string>"), ", ")), at(F.col("path"), F.get("at", F.lit(0)))))
+    return many.select(*finding("error", "duplicate-heading-identifier", F.concat(F.col("id"), F.lit(" heads lines "), F.array_join(F.col("at").cast("array<string>"), ", ")), F.concat_ws(":", "path", F.get("at", F.lit(0)).cast("string"))))
 
 
 def bare_markers(lines: DataFrame) -> DataFrame:

@@ -41,6 +41,11 @@ def test_duplicate_headings(spark):
     assert sorted((r.source, r.message) for r in rules.duplicate_headings(found).collect()) == [("a.md:1", "SPEC-A-1 heads lines 1, 3"), ("c.md:1", "spec-a-1 heads lines 1, 2")]
 
 
+def test_duplicate_headings_name_line_zero(spark):
+    found = spark.createDataFrame([("a.md", 0, "## SPEC-A-1: x"), ("a.md", 4, "## SPEC-A-1: y")], "path string, line int, body string")
+    assert [(r.source, r.message) for r in rules.duplicate_headings(found).collect()] == [("a.md:0", "SPEC-A-1 heads lines 0, 4")]
+
+
 def test_lifecycle_and_replacements(spark):
     rows = records(
         spark,
