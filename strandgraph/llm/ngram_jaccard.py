@@ -5,8 +5,8 @@ that frequent ones come last. A row enters the product with its first columns
 only, as many as the size-derived bound needs: two sets that are similar
 enough share one of them, and all that they share stands behind the first in
 both. Pairs of rows that meet under a column are discarded if their sizes, the
-places of the column, or the number of columns that either shares with any
-other row cannot give the overlap that is needed. Of the rest the overlap is
+places of the column, or the number of columns that the one whose prefix ends
+first shares with any other row cannot give the overlap that is needed. Of the rest the overlap is
 added up block by block of columns, and a pair goes as soon as overlap plus the
 smaller rest is too little. Rows are paired with leaders and drawn pivots of a
 column first, and then only with rows of other components. Links inside a
@@ -217,12 +217,13 @@ def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
     copies = scratch.keep(copies.select("rid", "doc_id", "version", "n", "id"), "copies")
     others = copies.filter("rid <> id").select("rid")
     heads = rows.filter("n > 0").select("rid", "n", "keys").join(others, "rid", "left_anti")
-    each = heads.select(F.col("rid").alias("id"), "n", F.size("keys").alias("columns"), F.posexplode("keys").alias("pos", "key"))
+    each = heads.select(F.col("rid").alias("id"), "n", F.size("keys").alias("columns"), F.element_at("keys", -1).alias("last"), F.posexplode("keys").alias("pos", "key"))
     often = F.broadcast(frequent(scratch, each.select("key", "id"), "key"))
     counted = each.join(often, "key", "left_anti").withColumn("ids", F.count("*").over(W.partitionBy("key"))).filter("ids > 1").drop("ids")
     shared = scratch.keep(counted.unionByName(each.join(often, "key", "left_semi")), "shared")
     scratch.drop("rows")
-    # a set can have no more in common with another than its columns that are shared and those beyond its prefix
+    # a set can have no more in common with one whose prefix ends no earlier than its columns that are shared and those
+    # beyond its prefix; if the other prefix ends earlier, columns of this prefix may stand behind it
     reach = F.col("n") - F.col("columns") + F.count("*").over(W.partitionBy("id"))
     shared = scratch.keep(shared.withColumn("reach", reach).drop("columns"), "postings")
     scratch.drop("shared")
@@ -231,8 +232,9 @@ def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
 
     def possible(left: str, right: str):
         a, b, pa, pb = F.col(f"n_{left}"), F.col(f"n_{right}"), F.col(f"pos_{left}"), F.col(f"pos_{right}")
+        ends = F.col(f"last_{left}"), F.col(f"last_{right}")
         # the first column that two sets share has all others behind it in both
-        most = F.least(a - pa, b - pb, F.col(f"reach_{left}"), F.col(f"reach_{right}"))
+        most = F.least(a - pa, b - pb, F.when(ends[0] <= ends[1], F.col(f"reach_{left}")), F.when(ends[1] <= ends[0], F.col(f"reach_{right}")))
         return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * most >= PERCENT * (a + b))
 
     def before(postings: DataFrame) -> DataFrame:

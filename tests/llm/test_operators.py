@@ -228,6 +228,16 @@ def test_jaccard_matches_brute_force(spark):
     assert ngram_jaccard.ngram_jaccard(spark, frame.limit(0)).isEmpty()
 
 
+def test_jaccard_links_pairs_at_the_bound(spark):
+    """69 of 79 and 82 shingles are shared and come last; the last of the first prefix stand behind the second prefix."""
+    rows = []
+    for i in range(6):
+        both = [f"p{i}w{k}" for k in range(73)]
+        rows += [(2 * i + at, " ".join(both + [f"{side}{i}w{k}" for k in range(more)])) for at, side, more in ((0, "x", 10), (1, "y", 13))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in ngram_jaccard.ngram_jaccard(spark, frame).collect()} == {(i, i - i % 2) for i, _ in rows}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
