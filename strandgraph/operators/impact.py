@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import IMPACT_DEPTH
 from .ranges import meeting
 from .storage import cut
-from .traverse import _both_ways
+from .traverse import _both_ways, idle_ends, without_ends
 
 REASON = "struct<kind: string, path: string, line: int, source_id: string, relation: string, record_id: string, field: string, conservative: boolean>"
 
@@ -63,7 +63,8 @@ def queue(start: DataFrame, relations: DataFrame, entities: DataFrame, depth: in
     Reasons also gather on ids reached before. Endpoints that are no entity
     are skipped; unknown public ids among the seeds stay as ``unknown``.
     """
-    ways = _both_ways(relations)
+    idle = idle_ends(relations, entities.select("id").union(start.select("id")))
+    ways = without_ends(without_ends(_both_ways(relations), "from_id", idle), "to_id", idle)
     known = entities.select(F.col("id").alias("to_id"))
     distance = start.select("id").distinct().withColumn("distance", F.lit(0))
     frontier, reasons = distance, start.select("id", "reason")

@@ -27,6 +27,26 @@ def _both_ways(relations: DataFrame) -> DataFrame:
     return out.unionByName(relations.select("*", F.col("dst").alias("from_id"), F.col("src").alias("to_id"), F.lit(1).alias("way")))
 
 
+#: Ends of more than 1/HOT_SHARE of all relations are looked at by themselves; there can be no more than 2 * HOT_SHARE of them.
+HOT_SHARE = 1000
+
+
+def idle_ends(relations: DataFrame, inside: DataFrame) -> DataFrame:
+    """Frequent ends of ``relations`` that are not among ``inside`` (id), so that no traversal goes on from them: id.
+
+    A place in code is the end of many relations; in a join by id they would
+    all gather in one task, and meet nothing there.
+    """
+    ends = relations.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    hot = cut(ends.filter(F.col("n") > relations.count() // HOT_SHARE).select("id"))
+    held = cut(inside.select("id").join(F.broadcast(hot), "id", "left_semi").distinct())
+    return hot.join(F.broadcast(held), "id", "left_anti")
+
+
+def without_ends(steps: DataFrame, end: str, idle: DataFrame) -> DataFrame:
+    return steps.join(F.broadcast(idle.select(F.col("id").alias(end))), end, "left_anti")
+
+
 def trace(roots: DataFrame, relations: DataFrame, entities: DataFrame, depth: int, mentions: bool = False) -> tuple[DataFrame, DataFrame]:
     """What lies within ``depth`` relations of each root (root_id), in either direction.
 
@@ -39,14 +59,15 @@ def trace(roots: DataFrame, relations: DataFrame, entities: DataFrame, depth: in
     if not 0 <= depth <= TRACE_DEPTH_MAX:
         raise ValueError(f"a depth from 0 to {TRACE_DEPTH_MAX} is needed")
     used = relations if mentions else relations.filter("type <> 'mentions'")
-    ways = _both_ways(used)
+    idle = idle_ends(used, entities.select("id").union(roots.select("root_id")))
+    ways = without_ends(_both_ways(used), "from_id", idle)
     known = entities.select(F.col("id").alias("to_id")).distinct()
     reached = roots.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth")).distinct()
     frontier, seen = reached, None
     for level in range(1, depth + 1):
         steps = frontier.select("root_id", F.col("id").alias("from_id")).join(ways, "from_id").withColumn("depth", F.lit(level))
         seen = steps if seen is None else seen.unionByName(steps)
-        new = steps.select("root_id", "to_id").distinct().join(known, "to_id", "left_semi").withColumnRenamed("to_id", "id")
+        new = without_ends(steps.select("root_id", "to_id"), "to_id", idle).distinct().join(known, "to_id", "left_semi").withColumnRenamed("to_id", "id")
         frontier = cut(new.join(reached, ["root_id", "id"], "left_anti").withColumn("depth", F.lit(level)))
         reached = reached.unionByName(frontier.select("root_id", "id", "depth"))
     if seen is None:

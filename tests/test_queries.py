@@ -48,6 +48,7 @@ def test_replacements_of_a_record_with_two_names(spark, tmp_path):
 def test_facts_that_are_read_again_are_written_once(spark):
     plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan(applied.facts(spark, DATA)[1])
+    assert not any("Join" in plan(x) or "Window" in plan(x) or "Relation" in plan(x) for x in applied.traced(spark, DATA).values())
 
 
 def test_stream(spark, tmp_path):

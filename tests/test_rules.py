@@ -120,3 +120,16 @@ def test_long_and_nested_cycles(spark):
     links = [*ring, ("a", "r05"), ("r09", "z"), ("p", "q"), ("q", "p"), ("q", "r03"), ("z", "y"), ("s", "s")]
     found = {r.id: (r.cycle, r.members) for r in traverse.cycles(spark.createDataFrame(links, "src string, dst string")).collect()}
     assert found == {a: ("r00", 70) for a, _ in ring} | {"p": ("p", 2), "q": ("p", 2), "s": ("s", 1)}
+
+
+def test_traversals_leave_out_frequent_ends_that_are_no_entity(spark):
+    rows = [("a.go:1", f"SPEC-A-{i}", "implements") for i in range(1500)] + [(f"SPEC-A-{i}", "SPEC-B-1", "depends_on") for i in range(1500)]
+    links = spark.createDataFrame(rows, "src string, dst string, type string")
+    known = spark.createDataFrame([("SPEC-B-1",), ("SPEC-A-7",)], "id string")
+    assert [r.id for r in traverse.idle_ends(links, known).collect()] == ["a.go:1"]
+    assert traverse.idle_ends(links, known.union(spark.createDataFrame([("a.go:1",)], "id string"))).isEmpty()
+    reached, found = traverse.trace(spark.createDataFrame([("SPEC-A-7",)], "root_id string"), links, known, 2)
+    assert {(r.id, r.depth) for r in reached.collect()} == {("SPEC-A-7", 0), ("SPEC-B-1", 1)}
+    assert found.count() == 1501 and found.filter("src = 'a.go:1'").count() == 1
+    _, found = traverse.trace(spark.createDataFrame([("a.go:1",)], "root_id string"), links, known, 1)
+    assert found.count() == 1500
