@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, impact, render, rules, slots
 from ..sources import code
 from ..sources.relational import read
-from .applied import FACTS, OCCURRENCES, facts, identifiers
+from .applied import FACTS, OCCURRENCES, facts, identifiers, traced
 from .documents import HEADED, LINES, document_lines, headed_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,9 +212,7 @@ FROM roots
 """)
 def g10_dossiers(spark, sf):
     """A dossier of every order as JSON: its lists, sorted, and how many items they have."""
-    found = identifiers(spark, sf)
-    seen = graph.occurrences(found)
-    known = {"occurrences": seen, "relations": graph.relations(found), "entities": graph.entities(seen, found)}
+    known = traced(spark, sf)
     roots = read(spark, sf, "orders").select(F.concat(F.lit("SPEC-ORD-"), F.col("o_orderkey").cast("string")).alias("root_id")).distinct()
     rows = render.dossiers(roots, known, 1)
     size = lambda p: F.json_array_length(F.get_json_object("json", f"$.{p}")).cast("long")
