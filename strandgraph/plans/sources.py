@@ -215,8 +215,9 @@ def g10_dossiers(spark, sf):
     known = traced(spark, sf)
     roots = read(spark, sf, "orders").select(F.concat(F.lit("SPEC-ORD-"), F.col("o_orderkey").cast("string")).alias("root_id")).distinct()
     rows = render.dossiers(roots, known, 1)
-    size = lambda p: F.json_array_length(F.get_json_object("json", f"$.{p}")).cast("long")
-    return rows.select("root_id", size("owners").alias("owners"), size("occurrences").alias("occurrences"), F.get_json_object("json", "$.occurrences[0].id").alias("first_occurrence"), size("outbound_relations").alias("outbound"), size("inbound_relations").alias("inbound"))
+    lists = rows.select("root_id", F.from_json("json", "owners array<string>, occurrences array<struct<id: string>>, outbound_relations array<string>, inbound_relations array<string>").alias("j"))
+    size = lambda c: F.size(c).cast("long")
+    return lists.select("root_id", size("j.owners").alias("owners"), size("j.occurrences").alias("occurrences"), F.get("j.occurrences", F.lit(0))["id"].alias("first_occurrence"), size("j.outbound_relations").alias("outbound"), size("j.inbound_relations").alias("inbound"))
 
 
 @query("""
