@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch, join_counted
+from ._scratch import Scratch, bounded_bytes, fits, join_counted
 
 #: Members of a key's largest component that the rest of the key is compared with in one round.
 PIVOTS = 4
@@ -25,40 +25,56 @@ PIVOT_ROUNDS = 6
 #: Pairs by key that are compared at once rather than after another round.
 FEW_PAIRS = 1_000_000
 LEAST_HITS = 0.1
+#: Megabytes within which a table of ids or keys is broadcast (see ``bounded_bytes``).
+SMALL = 64
+
+
+def _led(scratch: Scratch, rows: DataFrame, step: DataFrame, label: str) -> DataFrame:
+    """``rows`` (id, to) whose ``to`` goes where the kept table ``step`` (id, to) says; it stays if that says nothing."""
+    step = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
+    if fits(step, SMALL):
+        met = rows.join(F.broadcast(step), "to", "left")
+    else:
+        rows = scratch.keep(rows, f"{label}-rows")
+        sizes = rows.groupBy("to").agg(F.count("*").alias("ids"))
+        met = join_counted(rows, scratch.keep(sizes.join(step, "to", "left"), f"{label}-sizes"), ["to"], "ids", -1 - F.col("id"))
+    return met.select("id", F.coalesce("next", "to").alias("to"))
 
 
 def components(scratch: Scratch, links: DataFrame, label: str) -> DataFrame:
     """The smallest id that each id of ``links`` (a, b) reaches: id, root.
 
     In each round an id moves to the neighbour that comes first in the order
-    of the round, unless it comes first itself, and the edges move along: what
-    was connected stays so. The first order is that of the ids, which settles
-    stars around their smallest id at once; the others are drawn anew, so that
-    a fixed share of the ids is left behind in each round, whatever the shape.
-    The last id of an order always is, so the rounds end without a limit.
-    Ids without a link are absent.
+    of the round, unless it comes first itself, and on to where that moved;
+    the edges, each written once, move along: what was connected stays so. The
+    first order is that of the ids, which settles stars around their smallest
+    id at once; the others are drawn anew, so that a fixed share of the ids is
+    left behind in each round, whatever the shape. The last id of an order
+    always is, so the rounds end without a limit. Ids without a link are absent.
     """
-    edges = scratch.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{label}-edges-0")
+    once = lambda rows, a, b: rows.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    edges = scratch.keep(once(links, "a", "b"), f"{label}-edges-0")
     steps: list[DataFrame] = []
     while not steps or not edges.isEmpty():
         turn = len(steps)
         place = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn else F.col(c)).alias("draw"), F.col(c).alias("to"))  # noqa: B023, E731
-        near = edges.groupBy("a").agg(F.min(place("b")).alias("near"))
-        step = scratch.keep(near.select(F.col("a").alias("id"), F.least(place("a"), F.col("near"))["to"].alias("to")), f"{label}-step-{turn}")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(place("b")).alias("near"))
+        step = scratch.keep(near.select(F.col("a").alias("id"), F.least(place("a"), F.col("near"))["to"].alias("to")), f"{label}-near-{turn}")
+        step = scratch.keep(_led(scratch, step, step, f"{label}-jump-{turn}"), f"{label}-step-{turn}")
         steps.append(step)
-        moved = edges.join(step.withColumnsRenamed({"id": "a", "to": "to_a"}), "a").join(step.withColumnsRenamed({"id": "b", "to": "to_b"}), "b")
-        edges = scratch.keep(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct(), f"{label}-edges-{turn + 1}")
+        ends = bounded_bytes(step, SMALL)
+        moved = edges.join(ends.withColumnsRenamed({"id": "a", "to": "to_a"}), "a").join(ends.withColumnsRenamed({"id": "b", "to": "to_b"}), "b")
+        edges = scratch.keep(once(moved, "to_a", "to_b"), f"{label}-edges-{turn + 1}")
         scratch.drop(f"{label}-edges-{turn}")
     if len(steps) == 1:
         return steps[0].withColumnRenamed("to", "root")  # every id moved to a smaller one, and all to the same
-    labels = steps[-1].withColumnRenamed("to", "root")
-    for turn in range(len(steps) - 2, -1, -1):
-        sizes = steps[turn].groupBy("to").agg(F.count("*").alias("ids"))
-        known = scratch.keep(labels.withColumnRenamed("id", "to").join(sizes, "to"), f"{label}-known-{turn}")
-        labels = join_counted(steps[turn], known, ["to"], "ids", -1 - F.col("id")).select("id", F.coalesce("root", "to").alias("root"))
-        labels = scratch.keep(labels, f"{label}-labels-{turn}")
+    labels = steps[0]
+    for turn in range(1, len(steps)):
+        labels = _led(scratch, labels, steps[turn], f"{label}-on-{turn}")
+    labels = scratch.keep(labels.withColumnRenamed("to", "root"), f"{label}-labels")
     smallest = labels.groupBy("root").agg(F.min("id").alias("smallest"), F.count("*").alias("ids"))
-    named = join_counted(labels, scratch.keep(smallest, f"{label}-smallest"), ["root"], "ids", -1 - F.col("id"))
+    named = join_counted(labels, scratch.keep(smallest, f"{label}-smallest"), ["root"], "ids", -1 - F.col("id"), SMALL)
     return scratch.keep(named.select("id", F.col("smallest").alias("root")), f"{label}-named")
 
 
@@ -99,10 +115,10 @@ def groups(
         sizes = placed.groupBy("key", "root").agg(F.count("*").alias("ids"))
         mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("ids", "root")).alias("main"), F.max("ids").alias("most"), F.sum("ids").alias("ids"), F.count("*").alias("roots"))
         mixed = scratch.keep(mixed.filter("roots > 1").select("key", "main", "ids", (F.col("ids") - F.col("most")).alias("left")), f"mixed-{label}")
-        return roots, scratch.keep(join_counted(placed, mixed, ["key"], "ids", apart).filter("main IS NOT NULL"), f"marked-{label}")
+        return roots, scratch.keep(join_counted(placed, mixed, ["key"], "ids", apart, SMALL).filter("main IS NOT NULL"), f"marked-{label}")
 
     leaders = scratch.keep(postings.groupBy("key").agg(F.min(F.struct("id", *others)).alias("leader"), F.count("*").alias("ids")), "leaders")
-    led = join_counted(postings, leaders, ["key"], "ids", apart).filter("id <> leader.id")
+    led = join_counted(postings, leaders, ["key"], "ids", apart, SMALL).filter("id <> leader.id")
     led = led.select(*[F.col(f"leader.{c}").alias(f"{c}_l") for c in values], *[F.col(c).alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
     seen, links = compared(led.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), None, "led")
     roots, marked = mixed_keys(links, "0")
@@ -114,7 +130,7 @@ def groups(
         draws = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + j)).alias("draw"), F.struct(*values, "root").alias("pivot"))).alias(f"p{j}") for j in range(PIVOTS)]
         pivots = marked.filter("root = main").groupBy("key").agg(*draws).select("key", F.array_distinct(F.array(*[F.col(f"p{j}.pivot") for j in range(PIVOTS)])).alias("pivots"))
         pivots = scratch.keep(pivots.join(rest.groupBy("key").agg(F.count("*").alias("ids")), "key"), f"pivots-{turn}")
-        met = join_counted(rest.drop("ids", "main", "left"), pivots, ["key"], "ids", apart)
+        met = join_counted(rest.drop("ids", "main", "left"), pivots, ["key"], "ids", apart, SMALL)
         met = sided(met, "l", F.explode("pivots").alias("p")).select("*", *[F.col(f"p.{c}").alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
         new, found = compared(met.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), seen, f"pivot{turn}")
         seen, links = seen.unionByName(new), links.unionByName(found)

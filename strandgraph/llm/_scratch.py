@@ -61,9 +61,14 @@ def written_bytes(frame: DataFrame) -> int:
     return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def fits(kept: DataFrame, megabytes: int) -> bool:
+    """Whether the files of a kept table times BROADCAST_BLOWUP are within the bound."""
+    return written_bytes(kept) * BROADCAST_BLOWUP <= megabytes << 20
+
+
 def bounded_bytes(frame: DataFrame, megabytes: int) -> DataFrame:
     """A kept table, to be broadcast if its files times BROADCAST_BLOWUP are within the bound; else joins shuffle it."""
-    return F.broadcast(frame) if written_bytes(frame) * BROADCAST_BLOWUP <= megabytes << 20 else frame
+    return F.broadcast(frame) if fits(frame, megabytes) else frame
 
 
 def frequent(scratch: Scratch, rows: DataFrame, key: str) -> DataFrame:
@@ -100,7 +105,7 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str
     so that rows already served do not gather under one key.
     """
     values = [c for c in right.columns if c not in keys]
-    if megabytes and written_bytes(right) * BROADCAST_BLOWUP <= megabytes << 20:
+    if megabytes and fits(right, megabytes):
         return left.join(F.broadcast(right), keys, "left").select(*left.columns, *values)
     total = right.agg(F.sum(weight)).first()[0] or 0
     least = total / HOT_SHARE

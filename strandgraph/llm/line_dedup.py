@@ -11,7 +11,8 @@ A bucket of more than CAP values is dealt again by quarters of the bits that its
 values do not share yet, of which one must be equal within DISTANCE. Each value
 is compared with the first near one of its bucket; after that, buckets whose
 values are all connected are done, and in the others only values that are not
-connected yet are compared. What is crowded even when dealt again, and forms that
+connected yet are compared: while these are many, one pair of values for two
+groups that meet, drawn anew in each round, and then all that are left. What is crowded even when dealt again, and forms that
 share one SimHash in great number, are compared with leaders first. So all
 pairs within DISTANCE are either compared or connected by others. Of each
 connected group of forms one occurrence stays, the first by doc_id and line.
@@ -38,6 +39,10 @@ PERCENT = 80
 CAP = 128
 #: How often a crowded bucket is dealt again.
 REFINED = 3
+#: Rounds in which pairs of groups that may be linked are tried by one pair of values, and pairs for each value, or at all, that are compared without another round.
+ROUNDS = 4
+AT_ONCE = 1
+FEW_PAIRS = 50_000
 #: Values for each possible bucket from which on more blocks are used.
 FILL = 8
 #: Words whose hashes are added up bit by bit in columns; more are added up in lanes of a fold.
@@ -214,14 +219,14 @@ def close_values(scratch: Scratch, values: DataFrame) -> tuple[DataFrame, DataFr
     return reduce(DataFrame.unionByName, found), None
 
 
-def apart_values(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of values of one bucket within LOOSE whose ``roots`` (simhash, root) differ."""
+def apart_values(met: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Values (a, root) that are within LOOSE of later ones of a bucket whose ``roots`` (simhash, root) differ: ``all`` of them, and ``one`` drawn for the turn."""
     bucket = W.partitionBy("part", "bits")
     rows = met.drop("first").join(roots, "simhash").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).filter("low <> high")
     later = F.collect_list(F.struct("simhash", "root")).over(bucket.orderBy("simhash").rowsBetween(1, CAP - 1))
     near = F.filter("later", lambda x: (x["root"] != F.col("root")) & (F.bit_count(x["simhash"].bitwiseXOR(F.col("simhash"))) <= LOOSE))
-    pairs = rows.select("simhash", "root", later.alias("later")).select(F.col("simhash").alias("a"), F.explode(near).alias("x"))
-    return pairs.select("a", F.col("x.simhash").alias("b")).distinct()
+    rows = rows.select("simhash", "root", later.alias("later")).select(F.col("simhash").alias("a"), "root", near.alias("all")).filter(F.size("all") > 0)
+    return rows.withColumn("one", F.get("all", F.pmod(F.xxhash64("a", F.lit(turn)), F.size("all")).cast("int")))
 
 
 def _bodies(scratch: Scratch, docs: DataFrame, forms: DataFrame) -> DataFrame:
@@ -300,18 +305,31 @@ def links(scratch: Scratch, docs: DataFrame, forms: DataFrame) -> DataFrame:
     leaders = same.groupBy("simhash").agg(F.min(F.struct("id_l", "length_l")).alias("x")).select("simhash", "x.*")
     star = leaders.join(sided("simhash", "r"), "simhash").filter("id_l <> id_r")
     first, hot = across(met.groupBy(F.col("simhash").alias("a")).agg(F.min("first").alias("b")).filter("b IS NOT NULL"), "near")
-    found = scratch.keep(linked(first.unionByName(ordered(star))), "linked")
-    roots = bounded_bytes(components(scratch, found, "roots-first"), 64)
-    placed = scratch.keep(family.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
-    each = placed.groupBy("simhash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("id"))
-    rooted = scratch.keep(each.select("simhash", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("id")).alias("root")), "value-roots")
-    rest, more = across(apart_values(met, rooted), "apart")
+    found, skipped = scratch.keep(linked(first.unionByName(ordered(star))), "linked"), [hot]
+    for turn in range(1, ROUNDS + 2):
+        roots = components(scratch, found, f"roots-{turn}")
+        placed = scratch.keep(family.join(bounded_bytes(roots, 64), "id", "left").withColumn("root", F.coalesce("root", "id")), f"placed-{turn}")
+        each = placed.groupBy("simhash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("id"))
+        rooted = scratch.keep(each.select("simhash", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("id")).alias("root")), f"value-roots-{turn}")
+        apart = scratch.keep(apart_values(met, rooted, turn), f"apart-{turn}")
+        pairs, rows = apart.agg(F.coalesce(F.sum(F.size("all")), F.lit(0)), F.count("*")).first()
+        if turn > ROUNDS or pairs <= max(FEW_PAIRS, AT_ONCE * rows):
+            break
+        two = F.least("root", "one.root"), F.greatest("root", "one.root")
+        drawn = apart.groupBy(*[c.alias(n) for c, n in zip(two, "lh", strict=True)]).agg(F.min(F.struct("a", F.col("one.simhash").alias("b"))).alias("x")).select("x.*")
+        drawn, more = across(drawn, f"drawn-{turn}")
+        skipped.append(more)
+        new = scratch.keep(linked(drawn), f"linked-{turn}")
+        stars = roots.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+        found = stars.unionByName(new)  # the links so far as stars
+    rest, more = across(apart.select("a", F.explode("all").alias("x")).select("a", F.col("x.simhash").alias("b")).distinct(), "apart-pairs")
     mixed = placed.filter((F.col("forms") > 1) & (F.col("forms") <= CAP)).join(rooted.filter("root < 0").select("simhash"), "simhash", "left_semi")
     left = mixed.select("simhash", F.col("id").alias("id_l"), F.col("length").alias("length_l"), F.col("root").alias("root_l"))
     right = mixed.select("simhash", F.col("id").alias("id_r"), F.col("length").alias("length_r"), F.col("root").alias("root_r"))
     inside = left.join(right, "simhash").filter("id_l < id_r AND root_l <> root_r")
-    found = found.unionByName(scratch.keep(linked(rest.unionByName(ordered(inside))), "linked-rest"))
-    keys = [hot, more, sized.filter(F.col("forms") > CAP).select(F.xxhash64("simhash").alias("key"), "simhash")]
+    stars = roots.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    found = stars.unionByName(scratch.keep(linked(rest.unionByName(ordered(inside))), "linked-rest"))
+    keys = [*skipped, more, sized.filter(F.col("forms") > CAP).select(F.xxhash64("simhash").alias("key"), "simhash")]
     keys = scratch.keep(reduce(DataFrame.unionByName, [*keys, crowded] if crowded else keys).distinct(), "hot-keys")
     if keys.isEmpty():
         return found

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandgraph.llm import bpe, decontamination, exact_dedup, language, line_dedup, ngram_jaccard, pii, sharding, suffix_dedup, toxicity
+from strandgraph.llm import _groups
 from strandgraph.llm._groups import components
 from strandgraph.llm._scratch import Scratch
 
@@ -337,6 +338,46 @@ def test_components_of_a_long_chain(spark):
     assert none.isEmpty()
 
 
+@pytest.mark.parametrize("small", [64, 0])
+def test_components_write_a_link_once_and_take_few_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(_groups, "SMALL", small)
+    kept, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, frame, label: kept.setdefault(label, keep(self, frame, label)))
+    path = [1, *range(60, 1, -1)]
+    pairs = [*zip(path, path[1:]), *((1000, 1000 + i) for i in range(1, 30)), (1001, 1000)]
+    found = components(Scratch(spark, "test"), spark.createDataFrame(pairs, "a long, b long"), "x")
+    assert {(r.id, r.root) for r in found.collect()} == {(i, 1) for i in path} | {(i, 1000) for i in range(1000, 1030)}
+    assert kept["x-step-0"].count() == 90
+    assert len([label for label in kept if "-step-" in label]) < 7
+
+
+def test_line_links_of_many_near_lines_are_few(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(40)] for _ in range(3)]
+    lines = sorted({" ".join(w if rng.random() > 0.03 else f"v{rng.randrange(300)}" for w in base[i % 3]) for i in range(240)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+
+    def found(rounds):
+        monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+        monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)
+        scratch, compared = Scratch(spark, "test"), []
+        forms = scratch.keep(scratch.keep(line_dedup._occurrences(docs), "rows").select(F.col("doc_id").alias("id"), "simhash", "length", F.struct("doc_id", "line", "version").alias("place")), "forms")
+        keep = Scratch.keep
+        with monkeypatch.context() as m:
+
+            def counted(self, frame, label):
+                out = keep(self, frame, label)
+                compared.append(out.count() if label.startswith("linked") else 0)
+                return out
+
+            m.setattr(Scratch, "keep", counted)
+            links = line_dedup.links(scratch, docs, forms)
+        return {(r.id, r.root) for r in components(scratch, links, "all").collect()}, sum(compared)
+
+    (few, rows), (every, more) = found(4), found(0)
+    assert few == every and len(few) > 150 and rows < 2 * len(lines) < more
+
+
 def test_pii_settles_where_the_format_has_few_surrogates(spark):
     # no changeable character, an uncased script, and all names of a consonant before one last letter
     secrets = ["password: ******", "token: ------", "secret = \u05d0\u05d1\u05d2\u05d3\u05d4\u05d5"]
