@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch, bounded_bytes, fits, join_counted
+from ._scratch import Scratch, bounded_bytes, dealt_like, fits, join_counted
 
 #: Members of a key's largest component that the rest of the key is compared with in one round.
 PIVOTS = 4
@@ -27,6 +27,10 @@ FEW_PAIRS = 1_000_000
 LEAST_HITS = 0.1
 #: Megabytes within which a table of ids or keys is broadcast (see ``bounded_bytes``).
 SMALL = 64
+#: The same for tables of keys, of which there are about as many as rows: few sizes are between those that are broadcast and those that are shuffled at any rate.
+SMALL_KEYS = 4
+#: The share of the pairs by key that a round with pivots has to leave at most, or no other follows.
+MOST_LEFT = 0.75
 
 
 def _led(scratch: Scratch, rows: DataFrame, step: DataFrame, label: str) -> DataFrame:
@@ -60,22 +64,23 @@ def components(scratch: Scratch, links: DataFrame, label: str) -> DataFrame:
         place = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn else F.col(c)).alias("draw"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(place("b")).alias("near"))
-        step = scratch.keep(near.select(F.col("a").alias("id"), F.least(place("a"), F.col("near"))["to"].alias("to")), f"{label}-near-{turn}")
-        step = scratch.keep(_led(scratch, step, step, f"{label}-jump-{turn}"), f"{label}-step-{turn}")
+        near = near.select(F.col("a").alias("id"), F.least(place("a"), F.col("near"))["to"].alias("to"))
+        step = scratch.keep(dealt_like(near, edges), f"{label}-near-{turn}")
+        step = scratch.keep(dealt_like(_led(scratch, step, step, f"{label}-jump-{turn}"), edges), f"{label}-step-{turn}")
         steps.append(step)
         ends = bounded_bytes(step, SMALL)
         moved = edges.join(ends.withColumnsRenamed({"id": "a", "to": "to_a"}), "a").join(ends.withColumnsRenamed({"id": "b", "to": "to_b"}), "b")
-        edges = scratch.keep(once(moved, "to_a", "to_b"), f"{label}-edges-{turn + 1}")
+        edges = scratch.keep(dealt_like(once(moved, "to_a", "to_b"), edges), f"{label}-edges-{turn + 1}")
         scratch.drop(f"{label}-edges-{turn}")
     if len(steps) == 1:
         return steps[0].withColumnRenamed("to", "root")  # every id moved to a smaller one, and all to the same
     labels = steps[0]
     for turn in range(1, len(steps)):
         labels = _led(scratch, labels, steps[turn], f"{label}-on-{turn}")
-    labels = scratch.keep(labels.withColumnRenamed("to", "root"), f"{label}-labels")
+    labels = scratch.keep(dealt_like(labels.withColumnRenamed("to", "root"), steps[0]), f"{label}-labels")
     smallest = labels.groupBy("root").agg(F.min("id").alias("smallest"), F.count("*").alias("ids"))
-    named = join_counted(labels, scratch.keep(smallest, f"{label}-smallest"), ["root"], "ids", -1 - F.col("id"), SMALL)
-    return scratch.keep(named.select("id", F.col("smallest").alias("root")), f"{label}-named")
+    named = join_counted(labels, scratch.keep(dealt_like(smallest, labels), f"{label}-smallest"), ["root"], "ids", -1 - F.col("id"), SMALL)
+    return scratch.keep(dealt_like(named.select("id", F.col("smallest").alias("root")), labels), f"{label}-named")
 
 
 def groups(
@@ -115,22 +120,26 @@ def groups(
         sizes = placed.groupBy("key", "root").agg(F.count("*").alias("ids"))
         mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("ids", "root")).alias("main"), F.max("ids").alias("most"), F.sum("ids").alias("ids"), F.count("*").alias("roots"))
         mixed = scratch.keep(mixed.filter("roots > 1").select("key", "main", "ids", (F.col("ids") - F.col("most")).alias("left")), f"mixed-{label}")
-        return roots, scratch.keep(join_counted(placed, mixed, ["key"], "ids", apart, SMALL).filter("main IS NOT NULL"), f"marked-{label}")
+        return roots, scratch.keep(join_counted(placed, mixed, ["key"], "ids", apart, SMALL_KEYS).filter("main IS NOT NULL"), f"marked-{label}")
 
     leaders = scratch.keep(postings.groupBy("key").agg(F.min(F.struct("id", *others)).alias("leader"), F.count("*").alias("ids")), "leaders")
-    led = join_counted(postings, leaders, ["key"], "ids", apart, SMALL).filter("id <> leader.id")
+    led = join_counted(postings, leaders, ["key"], "ids", apart, SMALL_KEYS).filter("id <> leader.id")
     led = led.select(*[F.col(f"leader.{c}").alias(f"{c}_l") for c in values], *[F.col(c).alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
     seen, links = compared(led.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), None, "led")
     roots, marked = mixed_keys(links, "0")
+    last = None
     for turn in range(1, PIVOT_ROUNDS + 1):
         rest = marked.filter("root <> main")
         full = rest.agg(F.sum("ids")).first()[0] or 0
         if full <= max(FEW_PAIRS, PIVOTS * marked.count()):
             break  # all pairs cost no more than another round
+        if last and full > MOST_LEFT * last:
+            break  # pivots are not linked with what is left
+        last = full
         draws = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + j)).alias("draw"), F.struct(*values, "root").alias("pivot"))).alias(f"p{j}") for j in range(PIVOTS)]
         pivots = marked.filter("root = main").groupBy("key").agg(*draws).select("key", F.array_distinct(F.array(*[F.col(f"p{j}.pivot") for j in range(PIVOTS)])).alias("pivots"))
         pivots = scratch.keep(pivots.join(rest.groupBy("key").agg(F.count("*").alias("ids")), "key"), f"pivots-{turn}")
-        met = join_counted(rest.drop("ids", "main", "left"), pivots, ["key"], "ids", apart, SMALL)
+        met = join_counted(rest.drop("ids", "main", "left"), pivots, ["key"], "ids", apart, SMALL_KEYS)
         met = sided(met, "l", F.explode("pivots").alias("p")).select("*", *[F.col(f"p.{c}").alias(f"{c}_r") for c in values]).filter(possible("l", "r"))
         new, found = compared(met.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")), seen, f"pivot{turn}")
         seen, links = seen.unionByName(new), links.unionByName(found)

@@ -21,6 +21,9 @@ SAMPLE_ROWS = 400_000
 #: What a table takes in memory, at most, for a byte of its compressed files.
 BROADCAST_BLOWUP = 8
 
+#: Bytes of a kept table that one task works on, where a step's rows are no more than the table's.
+TASK_BYTES = 1 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -61,6 +64,11 @@ def written_bytes(frame: DataFrame) -> int:
     return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def dealt_like(frame: DataFrame, kept: DataFrame) -> DataFrame:
+    """``frame`` in as many tasks, at most, as the size of the kept table asks for: small steps don't take all partitions of a shuffle."""
+    return frame.coalesce(1 + written_bytes(kept) // TASK_BYTES)
+
+
 def fits(kept: DataFrame, megabytes: int) -> bool:
     """Whether the files of a kept table times BROADCAST_BLOWUP are within the bound."""
     return written_bytes(kept) * BROADCAST_BLOWUP <= megabytes << 20

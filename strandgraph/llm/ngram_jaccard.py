@@ -215,17 +215,19 @@ def jaccard_classes(scratch: Scratch, docs: DataFrame) -> DataFrame:
     classes = scratch.keep(classes, "classes")
     copies = join_counted(rows.filter("n > 0").select("rid", "doc_id", "version", "n", "f1", "f2"), classes, ["n", "f1", "f2"], "copies", -1 - F.col("rid"))
     copies = scratch.keep(copies.select("rid", "doc_id", "version", "n", "id"), "copies")
-    others = copies.filter("rid <> id").select("rid")
-    heads = rows.filter("n > 0").select("rid", "n", "keys").join(others, "rid", "left_anti")
-    each = heads.select(F.col("rid").alias("id"), "n", F.size("keys").alias("columns"), F.element_at("keys", -1).alias("last"), F.posexplode("keys").alias("pos", "key"))
+    others = scratch.keep(copies.filter("rid <> id").select("rid"), "others")
+    heads = rows.filter("n > 0").select("rid", "n", "keys").join(bounded_bytes(others, 64), "rid", "left_anti")
+    each = heads.select(F.col("rid").alias("id"), F.posexplode("keys").alias("pos", "key"))
     often = F.broadcast(frequent(scratch, each.select("key", "id"), "key"))
     counted = each.join(often, "key", "left_anti").withColumn("ids", F.count("*").over(W.partitionBy("key"))).filter("ids > 1").drop("ids")
     shared = scratch.keep(counted.unionByName(each.join(often, "key", "left_semi")), "shared")
-    scratch.drop("rows")
+    # what holds for a whole row meets its shared columns only after those that no other row has are gone
+    sized = rows.filter("n > 0").select(F.col("rid").alias("id"), "n", F.size("keys").alias("columns"), F.element_at("keys", -1).alias("last"))
     # a set can have no more in common with one whose prefix ends no earlier than its columns that are shared and those
     # beyond its prefix; if the other prefix ends earlier, columns of this prefix may stand behind it
     reach = F.col("n") - F.col("columns") + F.count("*").over(W.partitionBy("id"))
-    shared = scratch.keep(shared.withColumn("reach", reach).drop("columns"), "postings")
+    shared = scratch.keep(shared.join(sized, "id").withColumn("reach", reach).drop("columns"), "postings")
+    scratch.drop("rows")
     scratch.drop("shared")
     places = copies.filter("rid = id").select("id", "doc_id", "version", "n")
     turn = count()

@@ -408,3 +408,29 @@ def test_pii_keeps_a_person_one_in_a_document(spark):
     assert len({john, smith, lee[:-1], "John", "Smith", "Lee"}) == 6 and mail != "a.Smith@b.org"
     assert got[2].text == rows[1][1] and got[3].text == f"Mrs. {smith}"
     assert got[1].n_entities == len(got[1].entities) == 6 and text[got[1].entities[0].start : got[1].entities[0].end] == "John Smith"
+
+
+def test_small_components_take_few_tasks(spark, monkeypatch):
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, frame, label: (written.append((label, frame.rdd.getNumPartitions())), keep(self, frame, label))[1])
+    with line_dedup.setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        components(Scratch(spark, "test"), spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), "x").collect()
+    assert {n for label, n in written if label != "x-edges-0"} == {1}
+
+
+def test_pivots_that_are_linked_with_nothing_are_not_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(_groups, "FEW_PAIRS", 0)
+    monkeypatch.setattr(_groups, "LEAST_HITS", 0)
+    calls = []
+
+    def linked(pairs):
+        calls.append(pairs.count())
+        return pairs.filter("b - a = 40")
+
+    postings = spark.createDataFrame([(0, i) for i in range(60)], "key long, id long")
+    roots = _groups.groups(Scratch(spark, "test"), postings, lambda left, right: F.lit(True), lambda pairs: pairs.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")).distinct(), linked)
+    found = defaultdict(set)
+    for r in roots.collect():
+        found[r.root].add(r.id)
+    assert {k: v for k, v in found.items() if len(v) > 1} == {i: {i, i + 40} for i in range(20)}
+    assert len(calls) <= 4  # leaders, two rounds at most, and the rest
