@@ -33,17 +33,20 @@ from .bpe import arrow_rows
 
 LENGTH = 100
 GRAM = 32
-#: Bytes that one symbol of a transform holds: the most for which a merge has no more than SYMBOLS different ones.
-STEPS = (4, 2)
+#: Bytes that one symbol of a transform holds: the most for which a merge has no more than SYMBOLS different ones. A merge of
+#: MERGE_BYTES has hardly more places than that, so it takes the longest and the fewest rounds; that of a large leader may not.
+STEPS = (10, 4, 2)
 SYMBOLS = 1 << 16
+#: Bytes that a number of 64 bits holds.
+WORD = 8
 #: Different segments of a leader that meet in one merge, at most.
 LEADER_SEGMENTS = 4096
 #: Groups that the segments of a frequent leader are dealt into before copies meet.
 SALTS = 256
 #: Bytes of segments in a shard, in one merge (a task has DEALT merges on average), and of text that is cut into segments at once.
 SHARD_BYTES = 1 << 15
-MERGE_BYTES = 1 << 17
-DEALT = 8
+MERGE_BYTES = 1 << 16
+DEALT = 16
 PIECE_BYTES = 1 << 20
 #: Megabytes up to which segments and spans are broadcast to the documents.
 BROADCAST_MB = 10
@@ -174,16 +177,21 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> list[np.ndarra
     text[inside] = code[raw]
     index = np.arange(len(text))
     seg_start, seg_end = np.repeat(starts, lengths), np.repeat(ends, lengths)
-    after = np.zeros(len(text), np.uint32)
-    for k in range(pad):
+    after = np.zeros(len(text), np.uint64)
+    for k in range(WORD):
         place = np.minimum(index + k, len(text) - 1)
-        after = after << np.uint32(8) | np.where(index + k < seg_end, text[place], 0)
+        after = after << np.uint64(8) | np.where(index + k < seg_end, text[place], 0).astype(np.uint64)
     for step in STEPS:
-        at = index - step
-        before = np.zeros(len(text), np.uint32)  # the bytes before each place, a segment's end coming before its start
-        for k in range(step):
-            place = at + k
-            before = before << np.uint32(8) | text[np.where(place < seg_start, place + (seg_end - seg_start), place)]
+        # the bytes before each place, a segment's end coming before its start; more than a word holds are two halves by their order
+        half = step if step <= WORD else step // 2
+        before = np.zeros(len(text), np.uint64)
+        for k in range(half):
+            place = index - half + k
+            before = before << np.uint64(8) | text[np.where(place < seg_start, place + (seg_end - seg_start), place)]
+        if half < step:
+            before = np.unique(before, return_inverse=True)[1].astype(np.uint64)
+            place = index - half
+            before = before[np.where(place < seg_start, place + (seg_end - seg_start), place)] << np.uint64(32) | before
         found, symbols = np.unique(before, return_inverse=True)
         if len(found) <= SYMBOLS:
             break
@@ -196,7 +204,7 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray) -> list[np.ndarra
     places, transforms = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = starts[a], ends[b - 1]
-        order = lo + _ordered(after[lo:hi], pad, ends[a:b] - lo, lengths[a:b])
+        order = lo + _ordered(after[lo:hi], WORD, ends[a:b] - lo, lengths[a:b])
         transforms.append(symbols[order])
         places.append(order)
     order, border = merge_transforms(transforms, LENGTH // step)

@@ -1,6 +1,7 @@
 """Parts of the operators that need no session."""
 
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -146,3 +147,19 @@ def test_words_of_regular_patterns_are_told_apart():
     other = word.translate({97: "b", 98: "a"})
     hashes, bounds = ngram_jaccard.shingle_sets(pa.array([word, other, word.upper(), None, "", "x y", "y x", "xy"]))
     assert bounds.tolist() == [0, 1, 2, 3, 3, 3, 4, 5, 6] and hashes[0] == hashes[2] and len(set(hashes.tolist())) == 5
+
+
+def test_merges_take_long_symbols_and_few_rounds(monkeypatch):
+    draw = random.Random(5)
+    text = lambda n: bytes(draw.randrange(97, 123) for _ in range(n))
+    bodies = [text(150) for _ in range(suffix_dedup.MERGE_BYTES // 200)]
+    bodies += [bodies[0][20:] + text(10), text(3) + bodies[1][:125], bodies[2][:120]]
+    windows = np.array([len(b) - suffix_dedup.LENGTH + 1 for b in bodies])
+    rounds, merge = [], suffix_dedup.merge_transforms
+    monkeypatch.setattr(suffix_dedup, "merge_transforms", lambda transforms, n: (rounds.append(n), merge(transforms, n))[1])
+    few = suffix_dedup.repeated_windows(bodies, windows)
+    monkeypatch.setattr(suffix_dedup, "STEPS", (4, 2))
+    many = suffix_dedup.repeated_windows(bodies, windows)
+    assert rounds == [10, 25]
+    assert [f.tolist() for f in few] == [f.tolist() for f in many]
+    assert [int(f.sum()) for f in few[-3:]] == [31, 26, 21]
