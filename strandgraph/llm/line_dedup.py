@@ -45,8 +45,8 @@ AT_ONCE = 1
 FEW_PAIRS = 50_000
 #: Values for each possible bucket from which on more blocks are used.
 FILL = 8
-#: Words whose hashes are added up bit by bit in columns; more are added up in lanes of a fold.
-COLUMNS = 63
+#: Words whose hashes are added up bit by bit in columns; more are added up in lanes of a fold, which takes far longer for a word.
+COLUMNS = 191
 #: Words that lanes of 8 bits can count with a bit to spare.
 LANE_WORDS = 127
 
@@ -57,7 +57,7 @@ def lines_of(text: Column) -> Column:
 
 def normal(text: Column) -> Column:
     """A text in lower case, with all but letters, digits and ends of lines as single spaces; a line of it, trimmed, is a normal form."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]++", " ")
 
 
 def version_of(text: Column) -> Column:
@@ -122,13 +122,15 @@ def with_simhash(rows: DataFrame, words: Column) -> DataFrame:
     language alike. Up to COLUMNS hashes are added up by full adders: of three
     columns of one weight one stays, and one of twice the weight comes about,
     until there is one of each weight. Each step is a projection of its own,
-    which computes a column once.
+    which computes a column once; the first one reads the hashes.
     """
     kept = [F.col(c) for c in rows.columns]
     rows = rows.select(*kept, F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("_h"))
-    rows = rows.select(*kept, F.size("_h").alias("_n"), F.when(F.size("_h") > COLUMNS, _folded(F.col("_h"))).alias("_folded"), *[F.coalesce(F.get("_h", F.lit(j)), F.lit(0).cast("long")).alias(f"_0_{j}") for j in range(COLUMNS)])
+    rows = rows.select(*kept, F.size("_h").alias("_n"), F.when(F.size("_h") > COLUMNS, _folded(F.col("_h"))).alias("_folded"), "_h")
     kept += [F.col("_n"), F.col("_folded")]
     weights, made = {0: [f"_0_{j}" for j in range(COLUMNS)]}, COLUMNS
+    hashes = {name: F.coalesce(F.get("_h", F.lit(j)), F.lit(0).cast("long")) for j, name in enumerate(weights[0])}
+    column = lambda name: hashes[name].alias(name) if name in hashes else F.col(name)  # noqa: B023, E731
     while any(len(names) > 1 for names in weights.values()):
         after: dict[int, list[str]] = {}
         columns = list(kept)
@@ -136,17 +138,17 @@ def with_simhash(rows: DataFrame, words: Column) -> DataFrame:
             whole = len(names) - len(names) % 3
             pairs = [names[whole:]] if len(names) - whole == 2 else []
             for group in [names[i : i + 3] for i in range(0, whole, 3)] + pairs:
-                x, y = F.col(group[0]), F.col(group[1])
-                z = F.col(group[2]) if len(group) == 3 else F.lit(0).cast("long")
+                x, y = column(group[0]), column(group[1])
+                z = column(group[2]) if len(group) == 3 else F.lit(0).cast("long")
                 either = x.bitwiseXOR(y)
                 for at, value in ((weight, either.bitwiseXOR(z)), (weight + 1, x.bitwiseAND(y).bitwiseOR(either.bitwiseAND(z)))):
                     columns.append(value.alias(f"_{at}_{made}"))
                     after.setdefault(at, []).append(f"_{at}_{made}")
                     made += 1
             if len(names) - whole == 1:
-                columns.append(F.col(names[-1]))
+                columns.append(column(names[-1]))
                 after.setdefault(weight, []).append(names[-1])
-        rows, weights = rows.select(*columns), after
+        rows, weights, hashes = rows.select(*columns), after, {}
     half = F.shiftright("_n", 1).cast("long")
     more, equal = F.lit(0).cast("long"), F.lit(-1).cast("long")
     for weight in sorted(weights, reverse=True):
@@ -158,7 +160,8 @@ def with_simhash(rows: DataFrame, words: Column) -> DataFrame:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """Every line with a normal form: doc_id, version, line, its hashes h1 and h2, length and SimHash."""
-    rows = docs.select("doc_id", version_of(F.col("text")).alias("version"), F.posexplode(F.split(normal(F.col("text")), "\n", -1)).alias("line", "body"))
+    texts = docs.select("doc_id", version_of(F.col("text")).alias("version"), normal(F.col("text")).alias("text"))
+    rows = texts.select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     rows = rows.withColumn("body", F.trim("body")).filter("body <> ''")
     hashed = rows.select("doc_id", "version", "line", F.xxhash64("body").alias("h1"), F.hash("body").alias("h2"), F.length("body").alias("length"), "body")
     return with_simhash(hashed, F.split("body", " ")).drop("body")
@@ -194,7 +197,7 @@ def close_values(scratch: Scratch, values: DataFrame) -> tuple[DataFrame, DataFr
     found = []
     for turn in range(REFINED + 1):
         rows = rows.select((F.col("p.part") + turn * 100_000).alias("part"), F.col("simhash").bitwiseAND(F.col("p.mask")).alias("bits"), "simhash")
-        bucket = W.partitionBy("part", "bits").orderBy("simhash")
+        bucket = W.partitionBy("bits", "part").orderBy("simhash")  # bits first: they tell most rows of a sort apart
         met = rows.select(
             "part",
             "bits",
@@ -204,7 +207,7 @@ def close_values(scratch: Scratch, values: DataFrame) -> tuple[DataFrame, DataFr
         ).filter("size > 1")
         near = F.filter("later", lambda x: F.bit_count(x.bitwiseXOR(F.col("simhash"))) <= LOOSE)
         met = met.select("part", "bits", "simhash", "size", F.when(F.col("size") <= CAP, F.get(near, F.lit(0))).alias("first"))
-        met = met.withColumn("any", F.count("first").over(W.partitionBy("part", "bits"))).filter((F.col("size") > CAP) | (F.col("any") > 0)).drop("any")
+        met = met.withColumn("any", F.count("first").over(W.partitionBy("bits", "part"))).filter((F.col("size") > CAP) | (F.col("any") > 0)).drop("any")
         met = scratch.keep(met, f"met{turn}")
         found.append(met.filter(F.col("size") <= CAP).drop("size"))
         crowded = met.filter(F.col("size") > CAP)

@@ -286,6 +286,13 @@ def test_simhash_counts_any_number_of_words(spark):
     assert {r.n: r.simhash & (1 << 64) - 1 for r in line_dedup.with_simhash(frame, F.split("body", " ")).collect()} == want
 
 
+def test_simhash_of_lines_up_to_three_times_63_words_takes_no_fold(spark, monkeypatch):
+    frame = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (64, 100, 189)], "n int, body string")
+    want = line_dedup.with_simhash(frame, F.split("body", " ")).collect()
+    monkeypatch.setattr(line_dedup, "_folded", lambda hashes: F.lit(0).cast("long"))
+    assert line_dedup.with_simhash(frame, F.split("body", " ")).collect() == want and all(r.simhash for r in want)
+
+
 def test_language_of_texts_without_letters(spark):
     rows = [(i, "the cat and the dog" if i % 2 else "der Hund und die Katze", "en" if i % 2 else "de") for i in range(60)] + [(100, "12345", None), (101, "!!!", None), (102, " ", None), (103, None, None), (104, "a", None)]
     got = {r.doc_id: r for r in language.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
