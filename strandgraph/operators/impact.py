@@ -57,25 +57,37 @@ def seeds(changes: DataFrame, hunks: DataFrame, occurrences: DataFrame, entities
     return ids.unionByName(exact).unionByName(wide)
 
 
+#: Levels of a queue that stay in one plan.
+LEVELS_IN_ONE = 2
+
+
 def queue(start: DataFrame, relations: DataFrame, entities: DataFrame, depth: int = IMPACT_DEPTH) -> DataFrame:
     """id, kind, lifecycle, resolution, distance and reasons of everything within reach of the seeds (id, reason).
 
     Reasons also gather on ids reached before. Endpoints that are no entity
-    are skipped; unknown public ids among the seeds stay as ``unknown``.
+    are skipped; unknown public ids among the seeds stay as ``unknown``. Up to
+    LEVELS_IN_ONE levels are one plan, where equal shuffles are made once, and
+    columns that nobody asks for are never shuffled; the ids of the seeds and
+    of each further frontier are written.
     """
     idle = idle_ends(relations, entities.select("id").union(start.select("id")))
     ways = without_ends(without_ends(_both_ways(relations), "from_id", idle), "to_id", idle)
-    known = entities.select(F.col("id").alias("to_id"))
-    distance = start.select("id").distinct().withColumn("distance", F.lit(0))
-    frontier, reasons = distance, start.select("id", "reason")
+    known = entities.select("id")
+    levels, reasons = [cut(start.select("id").distinct())], start.select("id", "reason")
     for level in range(depth):
-        steps = frontier.select(F.col("id").alias("from_id")).join(ways, "from_id").join(known, "to_id", "left_semi")
+        steps = levels[-1].select(F.col("id").alias("from_id")).join(ways, "from_id").withColumnRenamed("to_id", "id")
         why = _reason("related_entity", path=F.col("path"), line=F.col("line"), source_id=F.col("from_id"), relation=F.col("type"), record_id=F.col("record_id"), field=F.col("field"))
-        reasons = reasons.unionByName(steps.select(F.col("to_id").alias("id"), why.alias("reason")))
-        frontier = cut(steps.select(F.col("to_id").alias("id")).distinct().join(distance, "id", "left_anti").withColumn("distance", F.lit(level + 1)))
-        distance = distance.unionByName(frontier)
+        reasons = reasons.unionByName(steps.select("id", why.alias("reason")))
+        new = steps.select("id").distinct().join(known, "id", "left_semi")
+        for before in levels:
+            new = new.join(before, "id", "left_anti")
+        levels.append(new if level < LEVELS_IN_ONE else cut(new))
+    distance = levels[0].withColumn("distance", F.lit(0))
+    for level, ids in enumerate(levels[1:], 1):
+        distance = distance.unionByName(ids.withColumn("distance", F.lit(level)))
     gathered = reasons.groupBy("id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
-    joined = distance.join(gathered, "id").join(entities, "id", "left")
+    # every id has a reason; by a left join, reasons that nobody asks for are not gathered
+    joined = distance.join(gathered, "id", "left").join(entities, "id", "left")
     public = F.col("id").rlike("^(SPEC-|TEST-|contract:|component:)")
     kind = F.coalesce("kind", F.lit("unknown"))
     kept = joined.filter(F.col("kind").isin("spec", "test", "contract", "component") | (F.col("resolution").isNull() & public))

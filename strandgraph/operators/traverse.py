@@ -29,16 +29,23 @@ def _both_ways(relations: DataFrame) -> DataFrame:
 
 #: Ends of more than 1/HOT_SHARE of all relations are looked at by themselves; there can be no more than 2 * HOT_SHARE of them.
 HOT_SHARE = 1000
+#: Buckets that ends are counted in at first; a bucket without a frequent end holds far less than 1/HOT_SHARE.
+END_BUCKETS = 65536
 
 
 def idle_ends(relations: DataFrame, inside: DataFrame) -> DataFrame:
     """Frequent ends of ``relations`` that are not among ``inside`` (id), so that no traversal goes on from them: id.
 
     A place in code is the end of many relations; in a join by id they would
-    all gather in one task, and meet nothing there.
+    all gather in one task, and meet nothing there. Ends are counted by
+    buckets of their hashes, and one by one only in buckets that are large
+    enough to hold a frequent one, so that few ids are shuffled.
     """
-    ends = relations.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    hot = cut(ends.filter(F.col("n") > relations.count() // HOT_SHARE).select("id"))
+    ends = relations.select(F.explode(F.array("src", "dst")).alias("id")).withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(END_BUCKETS)).cast("int"))
+    sizes = cut(ends.groupBy("_bucket").agg(F.count("*").alias("n")))
+    bound = (sizes.agg(F.sum("n")).first()[0] or 0) // 2 // HOT_SHARE
+    large = sizes.filter(F.col("n") > bound).select("_bucket")
+    hot = cut(ends.join(F.broadcast(large), "_bucket", "left_semi").groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > bound).select("id"))
     held = cut(inside.select("id").join(F.broadcast(hot), "id", "left_semi").distinct())
     return hot.join(F.broadcast(held), "id", "left_anti")
 

@@ -146,6 +146,37 @@ def test_impact_queue_and_warning(spark):
     assert len(ids) == 4 and warnings == []
 
 
+def test_queue_of_several_levels(spark):
+    """Distances and reasons of four levels, the last two of which are written, with frequent, unknown and missing ends."""
+    rng = random.Random(4)
+    links = [(f"SPEC-A-{rng.randrange(40)}", f"SPEC-A-{rng.randrange(40)}") for _ in range(45)] + [("a.go:1", f"SPEC-A-{i}") for i in range(40)]
+    known, start = {f"SPEC-A-{i}" for i in range(40) if i % 9}, ["SPEC-A-1", "SPEC-Z-1"]
+    near, frontier, why = dict.fromkeys(start, 0), start, {x: {None} for x in start}
+    for level in range(1, 5):
+        steps = [(y, x) for a, b in links for x, y in ((a, b), (b, a)) if x in frontier and y in known]
+        for y, x in steps:
+            why.setdefault(y, set()).add(x)
+        frontier = {y for y, _ in steps if y not in near}
+        near |= dict.fromkeys(frontier, level)
+    relations = spark.createDataFrame([(a, b, "depends_on", "p", 1, "f", a) for a, b in links], "src string, dst string, type string, path string, line int, field string, record_id string")
+    entities = spark.createDataFrame([(x, "spec", "active", "resolved", ("p", 1)) for x in known], "id string, kind string, lifecycle string, resolution string, owner struct<path: string, line: int>")
+    seeds = spark.createDataFrame([(x,) for x in start], "id string").withColumn("reason", impact._reason("changed_annotation", path=F.lit("p")))
+    items = impact.queue(seeds, relations, entities, 4).collect()
+    assert {r.id: r.distance for r in items} == near and len(items) == len(near) and max(near.values()) >= 3
+    assert {r.id: {x.source_id for x in r.reasons} for r in items} == why
+
+
+def test_idle_ends_are_those_counted_one_by_one(spark):
+    """Ends are counted by buckets first; the bound is the same."""
+    rows = [(f"x{i % 7}", f"y{i}") for i in range(4000)] + [(None, f"z{i % 3}") for i in range(12)] + [("z0", None)] * 4
+    links = spark.createDataFrame(rows, "src string, dst string")
+    counts = {}
+    for x in [x for r in rows for x in r if x]:
+        counts[x] = counts.get(x, 0) + 1
+    found = traverse.idle_ends(links, spark.createDataFrame([("x1",)], "id string")).filter("id IS NOT NULL").collect()
+    assert sorted(r.id for r in found) == sorted(x for x, n in counts.items() if n > len(rows) // traverse.HOT_SHARE and x != "x1")
+
+
 def test_impact_of_unknown_ids(spark):
     assert run_impact(spark, [("x.go", None, "modified", ["SPEC-Z-1"])])[0] == []
     ids, _, items, _ = run_impact(spark, [("x.go", None, "deleted", ["SPEC-Z-1"])])

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from strandgraph.operators import impact, storage, traverse
 from strandgraph.plans import applied, documents, relational, sources
 from strandgraph.streaming import changes
 
@@ -51,6 +52,23 @@ def test_facts_that_are_read_again_are_written_once(spark):
     assert not any("Join" in plan(x) or "Window" in plan(x) or "Relation" in plan(x) for x in applied.traced(spark, DATA).values())
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """The columns of everything that a query writes to the checkpoint folder."""
+    found = []
+    for module in (applied, impact, traverse):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", lambda frame, write=storage.cut: (found.append(frame.columns), write(frame))[1])
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_review_queue_moves_no_more_than_ids(spark, written):
+    plan = applied.QUERIES["e17_review_queue"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert written and all(set(columns) <= {"_bucket", "n", "id"} for columns in written)
+    assert "Window" not in plan and "collect_" not in plan
+
+
 def test_stream(spark, tmp_path):
     data = spark.createDataFrame([("a", 0), ("a", 100), ("b", 400)], "id string, s long").select("id", F.timestamp_seconds("s").alias("ts"))
     data.write.parquet(str(tmp_path / "in"))
