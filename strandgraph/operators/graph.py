@@ -155,17 +155,21 @@ def evidence_kind(identifier_type: Column, origin: Column) -> Column:
     return F.when(origin == "doc", F.lit("declaration")).when(identifier_type == "TEST", F.lit("test_evidence")).otherwise(F.lit("implementation"))
 
 
-def with_occurrence_ids(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``id``: the readable key, and ``#n`` from the second of equal keys on."""
+def with_occurrence_ids(rows: DataFrame, dealt: bool = False) -> DataFrame:
+    """``rows`` with ``id``: the readable key, and ``#n`` from the second of equal keys on; ``dealt`` as in ``occurrences``."""
     base = ids.occurrence_key(*[F.col(c) for c in ("entity_id", "path", "line", "kind", "field", "record_id")])
     ordered = rows.withColumn("_base", base)
-    order = W.partitionBy("_base").orderBy(*[c for c in ("seq", "title", "description") if c in rows.columns])
+    order = W.partitionBy(*["entity_id"] * dealt, "_base").orderBy(*[c for c in ("seq", "title", "description") if c in rows.columns])
     ordered = ordered.withColumn("_n", F.row_number().over(order))
     return ordered.withColumn("id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("#", "_base", F.col("_n").cast("string")))).drop("_base", "_n")
 
 
-def occurrences(identifiers: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
-    """Declarations, evidence and references, and the ``mentions`` (entity_id, path, line) given."""
+def occurrences(identifiers: DataFrame, mentions: DataFrame | None = None, dealt: bool = False) -> DataFrame:
+    """Declarations, evidence and references, and the ``mentions`` (entity_id, path, line) given.
+
+    With ``dealt``, rows are dealt by entity_id once and stay so, for what
+    gathers them by id anyway; ids must not hold the ``|`` of keys then.
+    """
     code = F.when(F.col("type") == "TEST", F.lit("test")).otherwise(F.lit("source"))
     own = identifiers.select(
         F.col("id").alias("entity_id"),
@@ -188,7 +192,7 @@ def occurrences(identifiers: DataFrame, mentions: DataFrame | None = None) -> Da
     if mentions is not None:
         extra = mentions.select("entity_id", "path", "line").withColumns({"origin": F.lit("doc"), "kind": F.lit("mention"), "seq": F.lit(0).cast("long")})
         found = found.unionByName(extra, allowMissingColumns=True)
-    return with_occurrence_ids(found)
+    return with_occurrence_ids(found.repartition("entity_id") if dealt else found, dealt)
 
 
 def _links(identifiers: DataFrame) -> DataFrame:

@@ -54,29 +54,40 @@ def without_ends(steps: DataFrame, end: str, idle: DataFrame) -> DataFrame:
     return steps.join(F.broadcast(idle.select(F.col("id").alias(end))), end, "left_anti")
 
 
-def trace(roots: DataFrame, relations: DataFrame, entities: DataFrame, depth: int, mentions: bool = False) -> tuple[DataFrame, DataFrame]:
+def trace(roots: DataFrame, relations: DataFrame, entities: DataFrame, depth: int, mentions: bool = False, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """What lies within ``depth`` relations of each root (root_id), in either direction.
 
     Returns (root_id, id, depth) of the entities reached, and the relations
     with root_id, the depth at which each is first seen, and its direction:
     outbound or inbound, as the first frontier id that sees it decides,
     outbound before inbound. Endpoints that are no entity are not entered.
-    A round joins the frontier only; at most five rounds are possible.
+    A round joins the frontier only; at most five rounds are possible. The
+    first is dealt by root_id, and so is what it finds. With ``carried``,
+    entities are unique, ids reached keep those columns of theirs, and the
+    last frontier, from which nothing goes on, is not written.
     """
     if not 0 <= depth <= TRACE_DEPTH_MAX:
         raise ValueError(f"a depth from 0 to {TRACE_DEPTH_MAX} is needed")
     used = relations if mentions else relations.filter("type <> 'mentions'")
     idle = idle_ends(used, entities.select("id").union(roots.select("root_id")))
     ways = without_ends(_both_ways(used), "from_id", idle)
-    known = entities.select(F.col("id").alias("to_id")).distinct()
-    reached = roots.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth")).distinct()
+    known, how = entities.select(F.col("id").alias("to_id"), *carried), "inner" if carried else "left_semi"
+    own = roots.select("root_id").distinct()
+    reached = own.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth"))
     frontier, seen = reached, None
     for level in range(1, depth + 1):
-        steps = frontier.select("root_id", F.col("id").alias("from_id")).join(ways, "from_id").withColumn("depth", F.lit(level))
+        if level == 1:
+            # roots are distinct; a semi join would be made once in each part of the union, and what it finds dealt anew
+            steps = ways.withColumn("root_id", F.col("from_id")).join(own, "root_id")
+        else:
+            steps = frontier.select("root_id", F.col("id").alias("from_id")).join(ways, "from_id")
+        steps = steps.withColumn("depth", F.lit(level))
         seen = steps if seen is None else seen.unionByName(steps)
-        new = without_ends(steps.select("root_id", "to_id"), "to_id", idle).distinct().join(known, "to_id", "left_semi").withColumnRenamed("to_id", "id")
-        frontier = cut(new.join(reached, ["root_id", "id"], "left_anti").withColumn("depth", F.lit(level)))
-        reached = reached.unionByName(frontier.select("root_id", "id", "depth"))
+        new = without_ends(steps.select("root_id", "to_id").filter("to_id <> root_id"), "to_id", idle).distinct().join(known, "to_id", how).withColumnRenamed("to_id", "id")
+        new = new if level == 1 else new.join(reached, ["root_id", "id"], "left_anti")
+        frontier = new.withColumn("depth", F.lit(level))
+        frontier = frontier if carried and level == depth else cut(frontier)
+        reached = reached.unionByName(frontier.select("root_id", "id", "depth", *carried), allowMissingColumns=True)
     if seen is None:
         seen = roots.select("root_id").join(ways, F.lit(False)).withColumn("depth", F.lit(0))
     keys = [c for c in ("src", "dst", "type", "path", "line", "field", "record_id") if c in relations.columns]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, impact, render, rules, slots
 from ..sources import code
 from ..sources.relational import read
-from .applied import FACTS, OCCURRENCES, facts, identifiers, traced
+from .applied import FACTS, OCCURRENCES, facts, identifiers
 from .documents import HEADED, LINES, document_lines, headed_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,7 +212,8 @@ FROM roots
 """)
 def g10_dossiers(spark, sf):
     """A dossier of every order as JSON: its lists, sorted, and how many items they have."""
-    known = traced(spark, sf)
+    found = identifiers(spark, sf)
+    known = {"occurrences": graph.occurrences(found, dealt=True), "relations": graph.relations(found), "entities": graph.entities(graph.occurrences(found), found)}
     roots = read(spark, sf, "orders").select(F.concat(F.lit("SPEC-ORD-"), F.col("o_orderkey").cast("string")).alias("root_id")).distinct()
     rows = render.dossiers(roots, known, 1)
     lists = rows.select("root_id", F.from_json("json", "owners array<string>, occurrences array<struct<id: string>>, outbound_relations array<string>, inbound_relations array<string>").alias("j"))

@@ -69,6 +69,20 @@ def test_review_queue_moves_no_more_than_ids(spark, written):
     assert "Window" not in plan and "collect_" not in plan
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_dossiers_deal_facts_once(spark, written):
+    """Facts are not written; occurrences and relations are shuffled once; lists of the same rows are made together."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = sources.QUERIES["g10_dossiers"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert written and all(set(columns) <= {"_bucket", "n", "id"} for columns in written)
+    dealt = [x for x in made.split("\n") if "Exchange hashpartitioning(" in x]
+    assert not any("_base#" in x or "src#" in x and "root_id#" in x for x in dealt) and made.count("ObjectHashAggregate(") <= 6
+
+
 def test_stream(spark, tmp_path):
     data = spark.createDataFrame([("a", 0), ("a", 100), ("b", 400)], "id string, s long").select("id", F.timestamp_seconds("s").alias("ts"))
     data.write.parquet(str(tmp_path / "in"))
